@@ -17,6 +17,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(_documents(spark, sf_dir))
 
 
+def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contentsort import mark_copies
+
+    return mark_copies(_documents(spark, sf_dir), keep="max")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -26,4 +32,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 #: Op1, op3, op6 and op10 need whole-table texts shifted, encoded or digested: too slow or not expressible in SQL.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_content_sort": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+        FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+              FROM documents)
+        WINDOW g AS (PARTITION BY norm)""",
+}
