@@ -17,6 +17,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(_documents(spark, sf_dir))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), similarity=80, width=2)
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contentsort import mark_copies
 
