@@ -17,6 +17,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(_documents(spark, sf_dir))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfiles import read_token_files, write_token_files
+    from .tokens import default_vocabulary
+
+    return read_token_files(write_token_files(_documents(spark, sf_dir), default_vocabulary("word_bpe_49k.json"), end=2))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -29,6 +36,13 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(_documents(spark, sf_dir), keep="max")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+    from .tokens import default_vocabulary
+
+    return packed(_documents(spark, sf_dir), default_vocabulary("byte_bpe_50k.json"), capacity=1024, end=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
