@@ -39,7 +39,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

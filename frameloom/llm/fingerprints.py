@@ -7,7 +7,7 @@ root, a fingerprint carries the smallest hashes of the text's short word runs (f
 which two fingerprints alone give a likeness.
 
 Null texts count as empty; an empty text has a root and a likeness of 1 to another empty one. Rows with the same
-identifier are ordered by their text.
+identifier are ordered by a hash of their text.
 """
 
 from __future__ import annotations
@@ -147,7 +147,8 @@ def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(shuffle_width(spark), F.col("doc_id").desc(), F.col("text")).sortWithinPartitions(F.col("doc_id").desc(), "text")
+    tie = F.xxhash64("text")  # splitters are sampled from the keys, so texts must not be among them
+    ordered = ordered.repartitionByRange(shuffle_width(spark), F.col("doc_id").desc(), tie).sortWithinPartitions(F.col("doc_id").desc(), tie, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), None

@@ -6,7 +6,7 @@ shard is: the ids of its documents, WIDTH bytes each (2 if the vocabulary fits,
 these parts, the width and a magic number. The manifest has a row for each shard, and its running sum of ids places a
 shard in the whole array.
 
-Null texts are empty documents of the end id alone. Rows with the same identifier stand together, ordered by text;
+Null texts are empty documents of the end id alone. Rows with the same identifier stand together, ordered by a hash of their text;
 missing identifiers come first and are read back as missing. An empty table has no shards.
 Memory: a task holds a few batches of texts, and a few bytes for each document of its shard.
 """
@@ -44,7 +44,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int = 2, key: str =
     folder = new_folder(spark, "tokens")
     kind = np.dtype({2: "<u2", 4: "<u4"}[id_bytes])
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(shuffle_width(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")  # splitters are sampled from the keys, so texts must not be among them
+    rows = rows.repartitionByRange(shuffle_width(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = encoder(vocabulary)
