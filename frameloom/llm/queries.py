@@ -30,6 +30,13 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), similarity=80, width=2)
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import headers, read_archives, resolved, write_archives
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return read_archives(write_archives(pages, resolved(headers(pages), least=0)), bodies=False).drop("url", "body")
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contentsort import mark_copies
 
