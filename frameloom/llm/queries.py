@@ -30,6 +30,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), similarity=80, width=2)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(_documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2).drop("members")
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import headers, read_archives, resolved, write_archives
 
@@ -60,6 +66,32 @@ def oracle_sql() -> dict[str, str]:
 
 #: Op1, op3, op6 and op10 need whole-table texts shifted, encoded or digested: too slow or not expressible in SQL.
 SQL: dict[str, str] = {
+    "op5_source_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS n, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+              FROM d GROUP BY source),
+        c AS (SELECT *, 2 * n / w AS ratio, sum(n) OVER () AS total,
+                     coalesce(sum(2 * n) OVER before, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weight
+              FROM s WINDOW before AS (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT (1.5 * total::DOUBLE - capped::DOUBLE) / weight::DOUBLE AS level FROM c WHERE ratio >= (1.5 * total::DOUBLE - capped::DOUBLE) / weight::DOUBLE
+              ORDER BY ratio, source NULLS LAST LIMIT 1),
+        t AS (SELECT source, n, least(2.0::DOUBLE * n, w * level) AS target FROM s, l),
+        o AS (SELECT d.doc_id, d.size, t.n, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+                     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size::BIGINT AS size, n AS source_size, target,
+               CASE WHEN n = 0 THEN 0 ELSE (quota // n) * size + greatest(0, least(size, quota % n - before)) END::BIGINT AS taken
+        FROM o""",
+    "op6_warc_revisits": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + (((('0x' || substr(d, (5 * (k // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31))::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
     "op8_content_sort": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
