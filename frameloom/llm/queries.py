@@ -49,6 +49,12 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(_documents(spark, sf_dir), keep="max")
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudonyms import pseudonymised
+
+    return pseudonymised(_documents(spark, sf_dir), key="a key of at least 16 random bytes goes here")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
     from .tokens import default_vocabulary
