@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import workers_import_this
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return workers_import_this(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +41,16 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import headers, read_archives, resolved, write_archives
 
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = workers_import_this(spark).read.parquet(f"{sf_dir}/pages.parquet")
     return read_archives(write_archives(pages, resolved(headers(pages), least=0)), bodies=False).drop("url", "body")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contentsort import mark_copies
 
