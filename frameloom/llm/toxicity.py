@@ -2,10 +2,11 @@
 
 1. The channel's language model counts the characters of all documents.
 2. On a bounded sample of labelled rows, the documents of either class that hold a feature are counted. A feature is a
-   word in small letters or its first 4, 5 or 6 letters; a document has those of its words as written and as restored.
+   word in small letters or its first 3 to 8 letters; a document has those of its words as written and as restored.
    Features whose likelihood ratio stands out among all features stay, with their log odds.
-3. A logistic regression on the same sample weighs a document's strongest and second strongest feature and the number
-   of its strong words.
+3. A logistic regression on the same sample weighs a document's strongest and second strongest word and the number of
+   its strong words. For it, features come from the other half of the sample, so chance finds count as little as they
+   will in new documents.
 4. One more pass scores every document.
 
 Only text is looked at. Null, empty and blank texts have no features and get the score of such texts in the sample's
@@ -29,8 +30,8 @@ from .deobfuscate import DISGUISED, LONGEST, Channel, character_counts, spaced_w
 from .regression import fitted, sigmoid
 
 #: Labelled rows that the classifier is fitted on at most, and features that it keeps at most.
-LABELLED_ROWS, MOST_FEATURES = 20_000, 50_000
-STEMS = (4, 5, 6)
+LABELLED_ROWS, MOST_FEATURES = 60_000, 50_000
+STEMS = (3, 4, 5, 6, 7, 8)
 #: Log odds from which a word counts as strong.
 STRONG = 2.0
 _OUTER = ".,;:!?()[]{}<>\"'|#$%&*+-_=/\\~^`@"
@@ -83,38 +84,44 @@ class Words:
 
 
 def _counted(rows: DataFrame, channel) -> DataFrame:
-    """(feature, n1, n0): documents of either label with a feature."""
+    """(feature, half, n1, n0): documents of either label with a feature, by half of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = Words(batch.column("text"), channel.value)
-            labels = batch.column("label").to_numpy()
+            kind = 2 * batch.column("half").to_numpy() + batch.column("label").to_numpy()
             for own in found.features():
                 coded = own.dictionary_encode()
-                code = coded.indices.to_numpy(zero_copy_only=False)
-                code = np.where(np.isnan(code), -1, code).astype(np.int64) if code.dtype.kind == "f" else code.astype(np.int64)
-                code = code[found.word]
-                pair = np.unique(found.text[code >= 0] * (len(coded.dictionary) + 1) + code[code >= 0])
-                text, feature = np.divmod(pair, len(coded.dictionary) + 1)
-                ones = np.bincount(feature[labels[text] == 1], minlength=len(coded.dictionary))
-                every = np.bincount(feature, minlength=len(coded.dictionary))
-                if len(every):
-                    yield pa.RecordBatch.from_pydict({"feature": coded.dictionary.cast(pa.string()), "n1": ones.astype(np.int64), "n0": (every - ones).astype(np.int64)})
-
-    return rows.select("text", "label").mapInArrow(run, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-
-
-def _chosen(counts: DataFrame, ones: int, zeros: int) -> dict[str, float]:
-    """Log odds of the features of label 1 whose likelihood ratio is larger than chance gives among so many features."""
-    share = ones / (ones + zeros)
+                many = len(coded.dictionary)
+                code = pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy()[found.word]
+                pair = np.unique(found.text[code >= 0] * (many + 1) + code[code >= 0])
+                text, feature = np.divmod(pair, many + 1)
+                table = np.bincount(kind[text] * many + feature, minlength=4 * many).reshape(4, many) if many else np.zeros((4, 0), np.int64)
+                for half in (0, 1):
+                    seen = np.flatnonzero(table[2 * half] + table[2 * half + 1])
+                    if len(seen):
+                        yield pa.RecordBatch.from_pydict(
+                            {"feature": coded.dictionary.take(pa.array(seen)).cast(pa.string()), "half": np.full(len(seen), half, np.int32), "n1": table[2 * half + 1][seen], "n0": table[2 * half][seen]}
+                        )
+
+    counted = rows.select("text", "label", "half").mapInArrow(run, "feature string, half int, n1 long, n0 long")
+    return counted.groupBy("feature", "half").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def _chosen(counts: DataFrame, ones: int, zeros: int) -> tuple[pa.Array, np.ndarray]:
+    """Features of label 1 whose likelihood ratio is larger than chance gives among so many, and their log odds."""
+    share = ones / max(ones + zeros, 1)
+    counts = counts.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 + n0 >= 2")
     n = F.col("n1") + F.col("n0")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
-    ratio = 2 * (part(F.col("n1"), share) + part(F.col("n0"), 1 - share))
-    counts = counts.where("n1 + n0 >= 2").withColumn("ratio", ratio)
-    many = counts.count()
-    strong = counts.where((F.col("n1") > n * share) & (F.col("ratio") >= 2 * math.log(max(many, 2))))
-    rows = strong.orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).collect()
-    return {x.feature: math.log((x.n1 + 0.5) / (ones + 1)) - math.log((x.n0 + 0.5) / (zeros + 1)) for x in rows}
+    rows = []
+    if ones and zeros:
+        counts = counts.withColumn("ratio", 2 * (part(F.col("n1"), share) + part(F.col("n0"), 1 - share)))
+        many = counts.count()
+        strong = counts.where((F.col("n1") > n * share) & (F.col("ratio") >= 2 * math.log(max(many, 2))))
+        rows = strong.orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).collect()
+    odds = [math.log((x.n1 + 0.5) / (ones + 1)) - math.log((x.n0 + 0.5) / (zeros + 1)) for x in rows]
+    return pa.array([x.feature for x in rows], pa.large_string()), np.array(odds, float)
 
 
 def _measures(found: Words, many: int, names: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -149,21 +156,23 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str =
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     channel = share(Channel.of(character_counts(rows)))
     known = spark.createDataFrame([tuple(x) for x in labelled(labels, label).collect()], "doc_id long, label int")  # LABELLED_ROWS at most
-    few = saved(rows.join(F.broadcast(known), "doc_id"), "labelled")
-    counts = {x.label: x.n for x in few.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = counts.get(1, 0), counts.get(0, 0)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int")
+    few = saved(rows.join(F.broadcast(known), "doc_id").withColumn("half", half), "labelled")
+    counts = {(x.half, x.label): x.n for x in few.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
+    ones, zeros = (sum(n for (_, label), n in counts.items() if label == k) for k in (1, 0))
     if not ones or not zeros:
         return rows.select("doc_id", held_out().alias("held_out"), F.lit(float(ones > 0)).alias("score"), F.lit(int(ones > 0)).alias("predicted"))
-    chosen = _chosen(_counted(few, channel), ones, zeros)
-    names, weights = pa.array(list(chosen), pa.large_string()), np.array(list(chosen.values()))
-    model = share((names, weights))
+    counted = saved(_counted(few, channel), "features")
+    halves = share([_chosen(counted.where(F.col("half") != k), counts.get((1 - k, 1), 0), counts.get((1 - k, 0), 0)) for k in (0, 1)])
+    model = share(_chosen(counted, ones, zeros))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x = _measures(Words(batch.column("text"), channel.value), batch.num_rows, *model.value)
+            found, own = Words(batch.column("text"), channel.value), batch.column("half").to_numpy()
+            x = np.where((own == 0)[:, None], *(_measures(found, batch.num_rows, *halves.value[k]) for k in (0, 1)))
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
 
-    sample = few.select("label", "text").mapInArrow(measured, "label int, a double, b double, c double").toPandas()  # LABELLED_ROWS at most
+    sample = few.select("label", "half", "text").mapInArrow(measured, "label int, a double, b double, c double").toPandas()  # LABELLED_ROWS at most
     beta = fitted(sample[["a", "b", "c"]].to_numpy(), sample["label"].to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
