@@ -48,8 +48,8 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in pieces of about KERNEL_BYTES of text; null texts become empty."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces of about size bytes of text; null texts become empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -60,7 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + KERNEL_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(at, to - at)
             at = to
 
