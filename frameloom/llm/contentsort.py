@@ -68,3 +68,28 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
         marked = marked.withColumn("keep_id", F.when(F.col("salt") >= 0, F.col("whole_id")).otherwise(F.col("keep_id")))
         marked = marked.withColumn("group_size", F.when(F.col("salt") >= 0, F.col("whole_size")).otherwise(F.col("group_size")))
     return marked.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
+    """One row of docs, all columns, for each normalised text: that of the largest (max) or smallest (min) identifier.
+
+    Of rows that share this too, any one stays. Copies of frequent texts go before the sort: only rows with the
+    identifier that stays are left of those. A missing identifier stays only if all are missing.
+    """
+    if keep not in ("max", "min"):
+        raise ValueError("keep is max or min")
+    width, names = shuffle_width(docs.sparkSession), docs.columns
+    norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    hot = frequent_digests(docs.select(norm.alias("norm")), docs.count())
+    keyed = docs.withColumns({"_norm": norm, "_id": F.col(key).cast("long")}).withColumn("_digest", F.sha2("_norm", 256))
+    if hot:
+        best = F.max if keep == "max" else F.min
+        frequent = keyed.where(F.col("_digest").isin(hot)).groupBy("_digest", "_norm").agg(best("_id").alias("_best"))
+        # as many rows as hot has, give or take digests that two texts share
+        first = F.broadcast(frequent.select(F.col("_digest").alias("_of"), "_best").where("_best is not null"))
+        keyed = keyed.join(first, F.col("_digest") == F.col("_of"), "left").where("_of is null or _id = _best").drop("_of", "_best")
+    keyed = keyed.withColumn("_lead", F.substring(F.col("_norm").cast("binary"), 1, LEAD))
+    dealt = keyed.repartitionByRange(width, "_lead", "_digest")
+    order = F.col("_id").desc_nulls_last() if keep == "max" else F.col("_id").asc_nulls_last()
+    before = F.lag("_norm").over(Window.partitionBy("_lead", "_digest").orderBy("_norm", order))
+    return dealt.withColumn("_copy", F.col("_norm").eqNullSafe(before)).where("not _copy").select(names)
