@@ -7,15 +7,18 @@
 2. Documents with equal sets form a class; its smallest identifier stands for it from here on.
 3. In every band bucket each member is paired with the bucket's smallest member. Pairs that the sketches don't rule out
    are confirmed on the full sets, and the links' connected components are formed.
-4. In buckets whose members still lie in several components, the pairs between different components are taken up in
-   the same way. After that every pair that shares a bucket is linked, refuted or already in one component; a group of
-   near copies costs its size times the bands, not its square.
+4. In buckets whose members still lie in several components, the pairs between different components are weighed. Small
+   buckets give them as rows. Larger ones are cut into blocks, and each two blocks meet in one task, which weighs their
+   pairs in the first bucket that they share, by odd sketch and then by bottom-k sketch, and returns those that may
+   reach the similarity. After confirming these, every pair that shares a bucket is linked, refuted or already in one
+   component, and rows are made for likely links only, not for all pairs of a group.
 
 A pair with similarity s shares no bucket with probability (1 - s^ROWS)^BANDS: 5e-8 at 0.8. The sketch rejects only
 pairs whose estimate lies five standard errors or more below the threshold.
 
 Null or empty texts and texts of white space have an empty set and are linked with nothing. Rows that repeat an
-identifier count as one document if their sets are equal; of different sets under one identifier, one is compared.
+identifier count as one document if their sets are equal; of different sets under one identifier, one is compared. Rows
+without an identifier are linked with nothing and kept.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ from ..graph import connected_components
 from .common import mix64, saved, slices, words_of
 
 BANDS, ROWS = 32, 4
+#: Buckets up to SMALL members give pairs as rows; larger ones are weighed in blocks of about BLOCK members.
+SMALL, BLOCK = 12, 512
+#: The smallest hashes of a set that blocks weigh; a set of no more is weighed exactly.
+LOWEST = 256
 SKETCH_BITS = 1024
 _N = BANDS * ROWS
 _LONGS = SKETCH_BITS // 64
@@ -151,7 +158,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, width: int = 5, key:
     """
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = saved(signatures(texts, width), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = saved(classes, "classes")
     stands = signed.where("n_shingles > 0").join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keys = stands.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
@@ -166,13 +173,14 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, width: int = 5, key:
     first = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sketches, sets, similarity)
     first = saved(first, "links")
     parts = connected_components(first)
-    placed = members.join(parts, "id", "left").select("bucket", "hub", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    placed = saved(placed.join(split, "bucket", "left_semi"), "split")
-    left = placed.select("bucket", F.col("id").alias("a"), F.col("component").alias("part_a"), "hub")
-    right = placed.select("bucket", F.col("id").alias("b"), F.col("component").alias("part_b"))
-    # pairs with the hub were looked at before
-    across = left.join(right, "bucket").where("a < b and part_a <> part_b and a <> hub and b <> hub").select("a", "b").distinct()
+    placed = members.join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("bucket", "n")
+    placed = saved(placed.join(split, "bucket"), "split")
+    few = placed.where(F.col("n") <= SMALL)
+    left = few.select("bucket", F.col("id").alias("a"), F.col("component").alias("part_a"))
+    right = few.select("bucket", F.col("id").alias("b"), F.col("component").alias("part_b"))
+    across = left.join(right, "bucket").where("a < b and part_a <> part_b").select("a", "b")
+    across = across.unionByName(weighed(placed.where(F.col("n") > SMALL), stands, sets, similarity)).distinct()
     second = saved(confirmed(across, sketches, sets, similarity), "links")
 
     links = first.unionByName(second)
@@ -180,8 +188,66 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, width: int = 5, key:
     count = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
     told = classes.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").join(count, "class_id", "left")
     rows = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(told, ["set_a", "set_b", "n_shingles"], "left")
-    own = F.coalesce("class_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", own).alias("component_id"), (F.coalesce("component", own) == F.col("doc_id")).alias("kept"), own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = F.col("doc_id").isNotNull()
+    own = F.when(known, F.coalesce("class_id", "doc_id"))
+    component = F.when(known, F.coalesce("component", own))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), own.alias("class_id"), F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).alias("n_links"))
+
+
+def weighed(members: DataFrame, stands: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of members (bucket, id, component, n) of different components that may reach the similarity."""
+    asked = members.select(F.col("id").alias("doc_id")).distinct()
+    lowest = F.transform(F.slice("hashes", 1, LOWEST), lambda h: F.shiftright(h, 32).cast("int")).alias("low")
+    about = sets.join(asked, "doc_id", "left_semi").select("doc_id", lowest)
+    about = about.join(stands.select("doc_id", "n_shingles", "bands", F.array(*[f"s{k}" for k in range(_LONGS)]).alias("sketch")), "doc_id")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    rows = members.select("bucket", "id", "component", blocks.alias("blocks"), own.alias("own"))
+    # a block meets itself and every other: as (smaller, larger)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(about, F.col("id") == F.col("doc_id")).drop("doc_id")
+    allowed, least = sketch_bits_allowed(similarity / 100), similarity / 100 - 5 * math.sqrt(similarity / 100 * (1 - similarity / 100) / LOWEST)
+
+    def weigh(key: tuple, rows: pa.Table) -> pa.Table:
+        bucket, i, j = (x.as_py() for x in key)
+        ids, parts, sizes = (rows.column(x).to_numpy() for x in ("id", "component", "n_shingles"))
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        sketches = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, _LONGS).view(np.uint64)
+        lists = rows.column("low").combine_chunks()
+        ends, low = lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint32)
+        low = [low[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        own = rows.column("own").to_numpy()
+        found = []
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
+        for x in np.flatnonzero(own == i).tolist():
+            y = own == j if i != j else np.arange(len(ids)) > x
+            y &= parts != parts[x]
+            y &= (100 * np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x])) & ~(bands[:, :band] == bands[x, :band]).any(axis=1)
+            y = np.flatnonzero(y)
+            y = y[np.bitwise_count(sketches[y] ^ sketches[x]).sum(axis=1) <= allowed]
+            for k in y.tolist():
+                if _likeness(low[x], low[k], int(sizes[x]), int(sizes[k]), similarity, least):
+                    found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(weigh, "a long, b long")
+
+
+def _likeness(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, similarity: int, least: float) -> bool:
+    """Whether sets of n_a and n_b hashes, of which the smallest are known, may reach the similarity."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = both[1:] == both[:-1]
+    if n_a <= LOWEST and n_b <= LOWEST:
+        common = int(same.sum())
+        return 100 * common >= similarity * (n_a + n_b - common)
+    first = np.concatenate([[True], ~same])
+    place = np.cumsum(first)
+    whole = min(LOWEST, int(place[-1]))
+    return int(same[place[1:] <= whole].sum()) >= least * whole
 
 
 def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
