@@ -33,7 +33,7 @@ class BatchEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab()
-        self.spaced = "Ġ" in vocabulary  # a leading space belongs to the token
+        self.spaced = bool(self.library.encode(" ", add_special_tokens=False).ids)  # a leading space belongs to the token
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
             self.opens[k] = token.startswith("Ġ")
