@@ -174,7 +174,7 @@ def labelled(mask: np.ndarray, eight: bool = True) -> np.ndarray:
             both = (new[a] > 0) & (new[b] > 0)
             least = np.minimum(new[a], new[b])
             new[a] = np.where(both, least, new[a])
-            new[b] = np.where(both, least, new[b])
+            new[b] = np.where(both, np.minimum(least, new[b]), new[b])
         roots = new[mask] - 1
         flat = new.reshape(-1)
         while len(roots) and not np.array_equal(jumped := flat[roots] - 1, roots):
