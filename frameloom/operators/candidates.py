@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clamp, ratio, reasons
+from ..functions.expr import clamp, ratio
 from ..graph import connected_components
 from .joins import binned_join
 
@@ -19,7 +19,7 @@ PRIORITY_TERMS = {
     "trace_snr": (0.25, 6.0),
     "local_correlation": (0.2, 1.0),
     "event_support": (0.2, 1.0),
-    "artifact_score": (-0.15, None),
+    "artifact_score": (-0.15, 1.0),
 }
 #: Weight of lying within two pixels of an edge.
 EDGE_WEIGHT, EDGE_PIXELS = -0.05, 2.0
@@ -119,16 +119,3 @@ def metric_winners(metrics: DataFrame, directions: dict[str, str]) -> DataFrame:
     signed = F.when(way[F.col("metric")] == "lower", F.col("value")).otherwise(-F.col("value"))
     best = metrics.where("value is not null and not isnan(value)").groupBy("metric").agg(F.min(F.struct(signed.alias("s"), F.col("run").alias("run"), F.col("value").alias("value"))).alias("b"))
     return best.select("metric", "b.run", "b.value")
-
-
-# Weights of the artifact cues.
-ARTIFACT_CUES = (("large", 0.25), ("small", 0.15), ("flat", 0.2), ("near_border", 0.1), ("no_events", 0.15), ("low_snr", 0.15))
-
-
-def artifact_risk(cues: dict[str, Column]) -> tuple[Column, Column]:
-    """(risk from 0 to 1, reasons joined by commas) of boolean cues."""
-    weights = dict(ARTIFACT_CUES)
-    total = F.lit(0.0)
-    for name, present in cues.items():
-        total = total + F.when(present, weights[name]).otherwise(0.0)
-    return clamp(total, 0.0, 1.0), F.array_join(reasons(*[(c, n) for n, c in cues.items()]), ",")

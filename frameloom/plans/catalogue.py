@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..graph import connected_components
-from ..operators import activity, candidates, detection, diagnostics, joins, review, signal
+from ..operators import activity, candidates, detection, diagnostics, images, joins, review, scoring, signal
 from ..session import workers_import_this
 from .tables import DAYS, EVENTS_SQL, HOURS, events, table
 
@@ -355,22 +355,68 @@ def next_batch(spark: SparkSession, d: str) -> DataFrame:
     return review.next_batch(table(spark, d, "customer"), children, "c_custkey", "o_orderkey", "c_acctbal", "o_totalprice", 20, 40, 100000.0)
 
 
-@query(f"""WITH {_FEATURES}, s AS (SELECT p_partkey, round({_SCORE}, 6) AS score FROM f), m AS (SELECT median(score) AS mid FROM s)
-    SELECT p_partkey, round(score + 0.75 + greatest(0, 1 - abs(score - mid) / 10), 6) AS active_score FROM s, m ORDER BY active_score DESC, p_partkey LIMIT 30""")
-def active_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The parts whose review teaches most: priority, being unlabelled, and nearness to the median priority."""
-    rows = _ranked(spark, d)
-    middle = F.broadcast(rows.agg(F.median("score").alias("mid")))  # one row
-    unsure = F.greatest(F.lit(0.0), 1 - F.abs(F.col("score") - F.col("mid")) / 10)
-    return rows.crossJoin(middle).select("p_partkey", F.round(F.col("score") + 0.75 + unsure, 6).alias("active_score")).orderBy(F.desc("active_score"), "p_partkey").limit(30)
+#: The features as a region's, with places for what parts lack.
+_REGION = """f2 AS (SELECT *, local_correlation * 10 AS lc, event_support * 10 AS es, peak_z * 5 AS area, peak_z / 6 AS elongation FROM f)"""
+
+
+def _ramp_sql(ramps, names: dict[str, str], switched=frozenset()) -> str:
+    parts = []
+    for name, zero, one, weight in ramps:
+        x = names.get(name)
+        if x:
+            part = f"{weight} * greatest(0, least(1, ({x} - {float(zero)}) / {float(one - zero)}))"
+            parts.append(f"CASE WHEN {x} > 0 THEN {part} ELSE 0 END" if (name, zero) in switched else part)
+    return "(" + " + ".join(parts) + ")::DOUBLE"
+
+
+_NAMES = {"event_count": "event_count", "trace_snr": "trace_snr", "local_correlation": "lc", "event_support": "es", "artifact_score": "artifact_score", "area": "area", "elongation": "elongation"}
+
+
+def _region(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    rows = _features(spark, d).withColumns({"lc": F.col("local_correlation") * 10, "es": F.col("event_support") * 10, "area": F.col("peak_z") * 5, "elongation": F.col("peak_z") / 6})
+    return rows, {k: F.col(v) for k, v in _NAMES.items()} | {"raw_score": F.col("raw_score")}
+
+
+@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(raw_score + {_ramp_sql(scoring.REGION_RAMPS, _NAMES)} + CASE WHEN peak_z > 25 THEN 0 ELSE 2.0 END + CASE WHEN event_count > 35 THEN 0.6 ELSE 0 END
+    + CASE WHEN area BETWEEN 20 AND 180 THEN 0.35 ELSE 0 END, 6)::DOUBLE AS score,
+    CASE WHEN NOT peak_z > 25 THEN CASE WHEN artifact_score >= 0.4 THEN 'artifact_check' WHEN trace_snr < 1.5 THEN 'weak_trace_check' WHEN event_count > 0 THEN 'event_supported' ELSE 'unlabelled' END
+    WHEN peak_z > 40 AND NOT event_count > 30 THEN 'readiness_check' ELSE 'follow_up' END AS category FROM f2""")
+def region_priority(spark: SparkSession, d: str) -> DataFrame:
+    rows, c = _region(spark, d)
+    reviewed = F.col("peak_z") > 25
+    score = scoring.region_priority(c, reviewed, F.col("event_count") > 35)
+    category = scoring.region_category(c, reviewed, F.col("peak_z") > 40, F.col("event_count") > 30)
+    return rows.select("p_partkey", F.round(score, 6).alias("score"), category.alias("category"))
 
 
-@query(f"""WITH {_FEATURES} SELECT p_partkey, round(least(1, 0.25 * (peak_z > 45)::INT + 0.15 * (peak_z < 5)::INT + 0.15 * (event_count = 0)::INT + 0.15 * (trace_snr < 2.3)::INT)::DOUBLE, 6) AS risk,
-    concat_ws(',', CASE WHEN peak_z > 45 THEN 'large' END, CASE WHEN peak_z < 5 THEN 'small' END, CASE WHEN event_count = 0 THEN 'no_events' END, CASE WHEN trace_snr < 2.3 THEN 'low_snr' END) AS reasons FROM f""")
+@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(greatest(0, least(1, {_ramp_sql(scoring.ARTIFACT_RAMPS, _NAMES, scoring.SWITCHED)} + CASE WHEN peak_z <= 2 THEN 0.08 ELSE 0 END + CASE WHEN event_count > 45 THEN 0.15 ELSE 0 END)), 6)::DOUBLE AS risk FROM f2""")
 def artifact_risk(spark: SparkSession, d: str) -> DataFrame:
-    z = F.col("peak_z")
-    risk, why = candidates.artifact_risk({"large": z > 45, "small": z < 5, "no_events": F.col("event_count") == 0, "low_snr": F.col("trace_snr") < 2.3})
-    return _features(spark, d).select("p_partkey", F.round(risk, 6).alias("risk"), why.alias("reasons"))
+    rows, c = _region(spark, d)
+    return rows.select("p_partkey", F.round(scoring.artifact_risk(c, F.col("peak_z") <= 2, F.col("event_count") > 45), 6).alias("risk"))
+
+
+@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(greatest(0, least(1, {_ramp_sql(scoring.PROPOSAL_RAMPS, _NAMES | {"priority": "es", "max_z": "trace_snr", "active_frames": "event_count"})} + CASE WHEN peak_z <= 2 THEN -0.05 ELSE 0 END
+    + CASE WHEN peak_z > 45 THEN -0.35 WHEN peak_z < 6 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS score FROM f2""")
+def proposal_score(spark: SparkSession, d: str) -> DataFrame:
+    rows, c = _region(spark, d)
+    c |= {"priority": F.col("es"), "max_z": F.col("trace_snr"), "active_frames": F.col("event_count")}
+    state = F.when(F.col("peak_z") > 45, "rejected").when(F.col("peak_z") < 6, "accepted").otherwise("")
+    return rows.select("p_partkey", F.round(scoring.proposal_score(c, F.col("peak_z") <= 2, state), 6).alias("score"))
+
+
+@query(f"""WITH {_FEATURES}, {_REGION}, s AS (SELECT *, round({_SCORE}, 6) AS score FROM f2), m AS (SELECT median(score) AS mid FROM s)
+    SELECT p_partkey, round(score + CASE WHEN abs(score - mid) <= greatest(0.25, 0.15 * abs(mid)) THEN 0.35 ELSE 0 END + CASE WHEN trace_snr > 0.5 AND trace_snr < 1.8 THEN 0.35 ELSE 0 END
+    + CASE WHEN lc > 0.2 AND lc < 0.45 THEN 0.25 ELSE 0 END + CASE WHEN es > 0.2 AND es < 0.45 THEN 0.25 ELSE 0 END + CASE WHEN artifact_score > 0.3 AND artifact_score < 0.65 THEN 0.35 ELSE 0 END
+    + CASE WHEN artifact_score >= 0.4 AND (event_count > 0 OR trace_snr >= 1.5 OR es >= 0.35) THEN 0.75 ELSE 0 END + CASE WHEN peak_z > 25 THEN 0 ELSE 0.75 END, 6)::DOUBLE AS active_score
+    FROM s, m ORDER BY active_score DESC, p_partkey LIMIT 30""")
+def active_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The thirty parts whose review teaches most."""
+    rows, c = _region(spark, d)
+    own = {name: F.col(name) for name in candidates.PRIORITY_TERMS}
+    rows = rows.withColumn("score", F.round(candidates.priority(own, F.col("peak_z")), 6))
+    middle = F.broadcast(rows.agg(F.median("score").alias("mid")))  # one row
+    score = scoring.active_score(c, F.col("score"), F.col("mid"), F.col("peak_z") > 25)
+    return rows.crossJoin(middle).select("p_partkey", F.round(score, 6).alias("active_score")).orderBy(F.desc("active_score"), "p_partkey").limit(30)
 
 
 # --- diagnostics ---
@@ -553,6 +599,70 @@ def ring_pixels(spark: SparkSession, d: str) -> DataFrame:
     return signal.ring_pixels(regions, 1, 3)
 
 
+# --- images: a day of errors as a picture of hour by value ---
+
+
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.readers import long_frames
+
+    rows = events(spark, d).where("day between 0 and 29")
+    cells = rows.groupBy(F.col("day").alias("frame"), (F.col("hour") % 24).alias("y"), F.least(F.lit(23), F.floor(F.col("value") / 10)).cast("int").alias("x")).agg(F.count("*").cast("double").alias("v"))
+    return long_frames(cells, 24, 24)
+
+
+_CELLS = "c AS (SELECT day AS frame, (hour % 24)::INT AS y, least(23, floor(value / 10))::INT AS x, count(*)::DOUBLE AS v FROM e WHERE day BETWEEN 0 AND 29 GROUP BY ALL)"
+
+
+@query(f"""WITH {{e}}, {_CELLS}, g AS (SELECT f.r::INT AS frame, y.r::INT AS y, x.r::INT AS x FROM range(30) f(r), range(24) y(r), range(24) x(r))
+    SELECT y, x, round(avg(coalesce(v, 0)), 9) AS mean, round(stddev_pop(coalesce(v, 0)), 9) AS std, max(coalesce(v, 0)) AS peak, count(*) FILTER (v >= 2) AS n_active FROM g LEFT JOIN c USING (frame, y, x) GROUP BY ALL""")
+def frame_projections(spark: SparkSession, d: str) -> DataFrame:
+    out = signal.projections(signal.pixels(_pictures(spark, d)))
+    return out.withColumns({"mean": F.round("mean", 9), "std": F.round("std", 9)})
+
+
+@query(f"""WITH RECURSIVE {{e}}, {_CELLS}, m AS (SELECT frame, y, x, y * 24 + x AS id FROM c WHERE v >= 2),
+    l AS (SELECT a.frame, a.id AS a, b.id AS b FROM m a JOIN m b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+    r AS (SELECT frame, id, id AS root FROM m UNION SELECT l.frame, l.b, r.root FROM r JOIN l ON l.frame = r.frame AND l.a = r.id),
+    p AS (SELECT frame, id, min(root) AS part FROM r GROUP BY ALL)
+    SELECT p.frame, part AS first_pixel, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, count(*) AS area FROM p JOIN m ON m.frame = p.frame AND m.id = p.id GROUP BY ALL HAVING count(*) >= 2""")
+def frame_components(spark: SparkSession, d: str) -> DataFrame:
+    rows = signal.by_frame(_pictures(spark, d), _components_of, "frame int, first_pixel int, cx double, cy double, area long")
+    return rows.withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
+
+
+def _components_of(frame: int, image):
+    import numpy as np
+    import pandas as pd
+
+    parts = signal.labelled(image >= 2)
+    rows = []
+    for k in range(1, int(parts.max(initial=0)) + 1):
+        y, x = np.nonzero(parts == k)
+        if len(y) >= 2:
+            rows.append((frame, int((y * image.shape[1] + x).min()), x.mean(), y.mean(), len(y)))
+    return pd.DataFrame(rows, columns=["frame", "first_pixel", "cx", "cy", "area"])
+
+
+@query()
+def cfar_detections(spark: SparkSession, d: str) -> DataFrame:
+    return signal.cfar_detections(_pictures(spark, d), 1, 4, 0.01).withColumn("score", F.round("score", 6))
+
+
+@query()
+def stage_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks of the smoothed pictures' clutter-adaptive scores."""
+    from ..sources.readers import long_frames
+
+    scores = images.stage_scores(_pictures(spark, d), images.gamma_decay(1.5), images.gamma_decay(4.0), 9).withColumnRenamed("z", "v")
+    return images.peaks(long_frames(scores, 24, 24), 2.0, 2, 3.0, 10).withColumn("v", F.round("v", 4))
+
+
+@query("""WITH {e}, c AS (SELECT hour AS frame, count(*) AS n FROM e GROUP BY 1), b AS (SELECT min(frame) AS low, max(frame) AS high FROM c)
+    SELECT DISTINCT frame FROM (SELECT least(high, greatest(low, g)) AS frame FROM (SELECT unnest([-5, 100, 9999])::INT AS g), b UNION ALL (SELECT frame FROM c ORDER BY n DESC, frame LIMIT 5) UNION ALL (SELECT frame FROM c ORDER BY n, frame LIMIT 5))""")
+def review_frames(spark: SparkSession, d: str) -> DataFrame:
+    return images.review_frames(events(spark, d).groupBy(F.col("hour").alias("frame")).agg(F.count("*").alias("n")), [-5, 100, 9999], 5)
+
+
 # --- windows over event time ---
 
 
