@@ -140,8 +140,8 @@ def radial_power(frames: DataFrame, bins: int) -> DataFrame:
 
 def circle_pixels(circles: DataFrame) -> DataFrame:
     """(region, y, x) of the pixels within each circle (region, cx, cy, radius)."""
-    reach = lambda c: F.explode(F.sequence(F.ceil(c - F.col("radius")), F.floor(c + F.col("radius"))))
-    rows = circles.where("radius >= 0").withColumn("y", reach(F.col("cy")).cast("int")).withColumn("x", reach(F.col("cx")).cast("int"))
+    reach = lambda c: F.explode(F.sequence(F.ceil(c - F.col("radius")).cast("int"), F.floor(c + F.col("radius")).cast("int")))
+    rows = circles.where("radius >= 0").withColumn("y", reach(F.col("cy"))).withColumn("x", reach(F.col("cx")))
     return rows.where(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= F.col("radius")).select("region", "y", "x")
 
 
