@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..graph import connected_components
-from ..operators import activity, candidates, detection, diagnostics, images, joins, review, scoring, signal
+from ..operators import activity, annotations, candidates, detection, diagnostics, images, joins, review, scoring, signal
 from ..session import workers_import_this
 from .tables import DAYS, EVENTS_SQL, HOURS, events, table
 
@@ -315,6 +315,35 @@ def disagreement_queue(spark: SparkSession, d: str) -> DataFrame:
     return review.disagreements(*_raters(spark, d), "doc_id", "label")
 
 
+@query(f"WITH {_RATERS} SELECT coalesce(x::VARCHAR, 'missing') AS first, coalesce(y::VARCHAR, 'missing') AS second, count(*) AS n FROM j GROUP BY ALL")
+def label_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return annotations.label_pairs(*_raters(spark, d), "doc_id", "label")
+
+
+@query("""SELECT l_suppkey AS run_id, round(avg(l_quantity), 6) AS object_quantity, round(max(l_tax), 6) AS runtime_tax FROM lineitem GROUP BY 1""")
+def run_comparison(spark: SparkSession, d: str) -> DataFrame:
+    per = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run_id")).agg(F.round(F.avg("l_quantity"), 6).alias("quantity"), F.round(F.max("l_tax"), 6).alias("tax"))
+    tall = per.unpivot(["run_id"], ["quantity", "tax"], "metric", "value").withColumn("section", F.when(F.col("metric") == "tax", "runtime").otherwise("object"))
+    return annotations.comparison(tall, [("object", "quantity"), ("runtime", "tax")])
+
+
+@query("""SELECT 'roi:' || c_custkey AS task_id, 'roi' AS task_type, c_custkey::VARCHAR AS subject_id, c_acctbal AS priority FROM customer WHERE c_acctbal > 9000
+    UNION ALL SELECT 'event:' || o_custkey || ':' || o_orderkey, 'event', o_custkey || ':' || o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 480000
+    UNION ALL SELECT 'suggestion:' || s_suppkey, 'suggestion', s_suppkey::VARCHAR, s_acctbal FROM supplier WHERE s_acctbal > 5000""")
+def review_tasks(spark: SparkSession, d: str) -> DataFrame:
+    regions = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("region_id"), F.col("c_acctbal").alias("score"))
+    found = table(spark, d, "orders").where("o_totalprice > 480000").select(F.col("o_custkey").alias("region_id"), F.col("o_orderkey").alias("frame"), F.col("o_totalprice").alias("score"))
+    hints = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("suggestion_id"), F.col("s_acctbal").alias("score"))
+    return annotations.review_tasks(regions, found, hints)
+
+
+@query("""WITH {e}, p AS (SELECT event_type AS k, hour::DOUBLE AS a, micros / 3600000000 AS b FROM e)
+    SELECT k, count(*) AS n_points, count(*) AS n_errors, round(max(abs(a - (b - 0.5))), 9) AS max_error, round(avg(abs(a - (b - 0.5))), 9) AS mean_error, 0.4::DOUBLE AS tolerance, CASE WHEN max(abs(a - (b - 0.5))) > 0.4 THEN 'failed' ELSE 'ok' END AS sync FROM p GROUP BY k""")
+def sync_errors(spark: SparkSession, d: str) -> DataFrame:
+    points = events(spark, d).select(F.col("event_type").alias("k"), F.col("hour").cast("double").alias("imaging_sec"), (F.col("micros") / 3_600_000_000).alias("behavior_sec"), F.lit(-0.5).alias("offset_sec"), F.lit(0.4).alias("tolerance_sec"))
+    return annotations.sync_errors(points, "k").withColumns({"max_error": F.round("max_error", 9), "mean_error": F.round("mean_error", 9)})
+
+
 @query("""SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'P') AS n_p,
     round(avg((o_orderstatus IN ('O', 'F'))::INT), 9) AS reviewed_share FROM orders GROUP BY 1""")
 def annotation_summary(spark: SparkSession, d: str) -> DataFrame:
