@@ -85,3 +85,14 @@ def binary_label(c: Column, yes: Sequence[str], no: Sequence[str]) -> Column:
 def reasons(*pairs: tuple[Column, str]) -> Column:
     """The texts of the conditions that hold, in the order given."""
     return F.filter(F.array(*[F.when(condition, text) for condition, text in pairs]), lambda x: x.isNotNull())
+
+
+def duration_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two ISO texts, not below 0; null if either is none."""
+    micros = F.unix_micros(F.try_to_timestamp(end)) - F.unix_micros(F.try_to_timestamp(start))
+    return F.greatest(F.lit(0.0), micros / 1_000_000.0)
+
+
+def two_case(values: Column, name: str) -> Column:
+    """A map's value under a name, else under the name in small letters."""
+    return F.coalesce(F.try_element_at(values, F.lit(name)), F.try_element_at(values, F.lit(name.lower())))

@@ -73,3 +73,36 @@ def runtime_summary(runs: DataFrame, seconds: str, status: str) -> DataFrame:
         F.count("*").alias("n_runs"), F.count_if(F.col(status) == "completed").alias("n_completed"), F.count_if(F.col(status) == "failed").alias("n_failed"),
         F.sum(seconds).alias("total_seconds"), F.avg(seconds).alias("mean_seconds"), F.max(seconds).alias("max_seconds"),
     )
+
+
+def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(bin, n, mean, std): counts of finite values from low to high in equal bins, with the Gaussian that fits all of them."""
+    v = F.col(value).cast("double")
+    kept = rows.where(v.between(low, high) & ~F.isnan(v)).select(v.alias("_v"))
+    fit = kept.agg(F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
+    place = F.least(F.lit(bins - 1), F.floor((F.col("_v") - low) / ((high - low) / bins))).cast("int")
+    return kept.groupBy(place.alias("bin")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(fit))  # fit has one row
+
+
+def sensitivity(results: DataFrame, down: str, across: str, value: str, order: str) -> DataFrame:
+    """A matrix of a value over two parameters; of several results for a cell the last in order counts."""
+    levels = [r[0] for r in results.select(across).distinct().orderBy(across).collect()]  # values of one parameter
+    return results.groupBy(down).pivot(across, levels).agg(F.max_by(value, order))
+
+
+def distribution(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per group the number, mean, extremes of a value and its nearest-rank quartiles."""
+    v = F.col(value)
+    ranks = {q: latency_percentiles_at(rows, by, value, q) for q in (0.25, 0.75)}
+    out = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"))
+    for q, found in ranks.items():
+        out = out.join(found.withColumnRenamed("_rank", f"p{round(100 * q)}"), list(by), "left")
+    return out
+
+
+def latency_percentiles_at(rows: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:
+    """Per group the nearest-rank quantile of a value, by counts of distinct values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    along = Window.partitionBy(*by).orderBy(value)
+    placed = counts.withColumn("_upto", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    return placed.where(F.col("_upto") > F.bround((F.col("_all") - 1) * F.lit(q), 0)).groupBy(*by).agg(F.min(value).alias("_rank"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .signal import by_frame
+from .signal import box_sums, by_frame
 
 
 def gamma_decay(half_decay: float) -> float:
@@ -196,3 +196,66 @@ def review_frames(activity: DataFrame, fixed: Sequence[int], top: int, frame: st
     least = activity.orderBy(value, frame).limit(top).select(frame)
     return given.unionByName(most).unionByName(least).distinct()
 
+
+
+def local_z(image: np.ndarray, radius: int, floor: float) -> np.ndarray:
+    """How far each pixel lies above the mean of the square around it, in its deviations (at least floor), not below 0."""
+    n = (2 * radius + 1) ** 2
+    mean = box_sums(image, radius) / n
+    spread = np.sqrt(np.maximum(box_sums(image * image, radius) / n - mean * mean, 0))
+    return np.maximum((image - mean) / np.maximum(spread, floor), 0)
+
+
+def local_median_z(image: np.ndarray, radius: int, floor: float = 1e-6) -> np.ndarray:
+    """As local_z with the median and the scaled median deviation of the square; edge pixels are repeated beyond the edges."""
+    padded = np.pad(image, radius, mode="edge")
+    squares = np.lib.stride_tricks.sliding_window_view(padded, (2 * radius + 1, 2 * radius + 1)).reshape(*image.shape, -1)
+    middle = np.median(squares, axis=-1)
+    spread = np.median(np.abs(squares - middle[..., None]), axis=-1)
+    return np.maximum((image - middle) / (1.4826 * spread + floor), 0)
+
+
+def smoothed(image: np.ndarray) -> np.ndarray:
+    """The mean of the 3 by 3 square around each pixel, within the image."""
+    inside = np.pad(np.ones_like(image), 1)
+    padded = np.pad(image, 1)
+    total = sum(padded[dy : dy + image.shape[0], dx : dx + image.shape[1]] for dy in range(3) for dx in range(3))
+    return total / sum(inside[dy : dy + image.shape[0], dx : dx + image.shape[1]] for dy in range(3) for dx in range(3))
+
+
+def normalised(image: np.ndarray, low: float = 1.0, high: float = 99.5) -> np.ndarray:
+    """Values from 0 to 1 between two percentiles."""
+    a, b = np.percentile(image, [low, high])
+    return np.clip((image - a) / max(b - a, 1e-12), 0, 1)
+
+
+def pixel_samples(long: DataFrame, truth: DataFrame, seed: int = 3) -> DataFrame:
+    """(frame, y, x, v, kind): the pixels of truth (frame, y, x) that lie in the image, and as many others of each frame, drawn by a seeded hash."""
+    front = long.join(truth.select("frame", "y", "x").distinct(), ["frame", "y", "x"]).withColumn("kind", F.lit("foreground"))
+    rest = long.join(truth.select("frame", "y", "x"), ["frame", "y", "x"], "left_anti")
+    wanted = front.groupBy("frame").agg(F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("frame").orderBy(F.xxhash64("frame", "y", "x", F.lit(seed)), "y", "x"))
+    back = rest.join(wanted, "frame").withColumn("_k", place).where("_k <= _n").drop("_k", "_n").withColumn("kind", F.lit("background"))
+    return front.unionByName(back)
+
+
+def temporal_score(candidate: Column, rise: Column, peak: Column, coincidence: Column, collapse: Column) -> Column:
+    """A component's score from its own, the rise of the raw signal, the filtered peak and activity nearby, less a penalty for collapsing."""
+    return 0.25 * candidate + 0.35 * rise + 0.25 * peak + 0.25 * coincidence - collapse
+
+
+def neighbouring_activity(components: DataFrame, labelled: DataFrame, margin: int, offsets: Sequence[int] = (-1, 1, 2)) -> DataFrame:
+    """Per component (frame, det_idx, bx, by, bw, bh) the labelled pixels (frame, y, x) of nearby frames within its widened box."""
+    rows = components.withColumn("_offset", F.explode(F.array(*[F.lit(k) for k in offsets]))).withColumn("_frame", F.col("frame") + F.col("_offset"))
+    cells = labelled.select(F.col("frame").alias("_frame"), F.col("y").alias("_y"), F.col("x").alias("_x"))
+    near = F.col("_x").between(F.col("bx") - margin, F.col("bx") + F.col("bw") - 1 + margin) & F.col("_y").between(F.col("by") - margin, F.col("by") + F.col("bh") - 1 + margin)
+    found = rows.join(cells, "_frame").where(near).groupBy("frame", "det_idx").agg(F.count("*").alias("n_near"), F.count_distinct("_offset").alias("n_frames"))
+    return components.select("frame", "det_idx").join(found, ["frame", "det_idx"], "left").fillna(0, ["n_near", "n_frames"])
+
+
+def active_neighbours(frames: DataFrame, at: int, frame: str = "frame") -> DataFrame:
+    """(previous, next): the frames with events before and after a frame, going round at the ends."""
+    days = frames.select(frame).distinct()
+    return days.agg(
+        F.coalesce(F.max(F.when(F.col(frame) < at, F.col(frame))), F.max(frame)).alias("previous"), F.coalesce(F.min(F.when(F.col(frame) > at, F.col(frame))), F.min(frame)).alias("next"),
+    )

@@ -160,3 +160,20 @@ def default_registry() -> Registry:
             Stage("components", lambda df, threshold, least, eight: signal.components(df, threshold, least, None, eight), 55, "frames", "detections", {"threshold": number(2.0), "least": whole(1, 1), "eight": Parameter("boolean", True)}),
         ]
     )
+
+
+# Thresholds of the ready-made sweeps.
+PRESETS = {
+    "permissive": {"threshold": 1.5, "least": 1},
+    "balanced": {"threshold": 2.0, "least": 2},
+    "strict": {"threshold": 3.0, "least": 3},
+}
+
+
+def preset_runs(spec: Mapping[str, Any], step: str) -> list[dict[str, Any]]:
+    """A specification for each preset, its values given to one step."""
+    out = []
+    for name, values in PRESETS.items():
+        own = sweep(spec, {f"{step}.{k}": [v] for k, v in values.items()})[0]
+        out.append(own | {"id": f"{spec.get('id', 'run')}__{name}"})
+    return out

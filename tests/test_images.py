@@ -99,3 +99,41 @@ def test_artifact_outranks_a_clean_region(spark):
     assert rows[1].risk >= 0.4 > rows[0].risk and rows[0].p > rows[1].p
     assert rows[0].why == ["unlabelled", "events", "usable signal", "coherent", "event support"] and "artifact risk" in rows[1].why
     assert rows[0].p == pytest.approx(4 * 0.45 + 3 * 0.25 + 0.8 * 1.2 + 0.6 * 1.1 + 2.0 + 0.35)
+
+
+def test_local_scores():
+    image = np.random.default_rng(6).normal(size=(12, 12))
+    image[6, 6] += 20
+    for z in (images.local_z(image, 3, 0.1), images.local_median_z(image, 3)):
+        assert np.unravel_index(z.argmax(), z.shape) == (6, 6) and z.min() == 0
+    flat = images.smoothed(np.ones((5, 5)))
+    assert np.allclose(flat, 1) and images.normalised(image).max() == 1
+
+
+def test_samples_and_neighbours(spark):
+    long = spark.createDataFrame([(f, y, x, float(x)) for f in range(2) for y in range(3) for x in range(3)], "frame int, y int, x int, v double")
+    truth = spark.createDataFrame([(0, 1, 1), (0, 9, 9), (1, 0, 0), (1, 2, 2)], "frame int, y int, x int")
+    kinds = {(r.frame, r.kind): r.n for r in images.pixel_samples(long, truth).groupBy("frame", "kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {(0, "foreground"): 1, (0, "background"): 1, (1, "foreground"): 2, (1, "background"): 2}
+    parts = spark.createDataFrame([(1, 0, 1, 1, 1, 1), (5, 0, 0, 0, 1, 1)], "frame int, det_idx int, bx int, by int, bw int, bh int")
+    near = {(r.frame): (r.n_near, r.n_frames) for r in images.neighbouring_activity(parts, long, 1).collect()}
+    assert near == {1: (9, 1), 5: (0, 0)}
+    days = spark.createDataFrame([(2,), (5,), (9,)], "frame int")
+    assert tuple(images.active_neighbours(days, 9).first()) == (5, 2)
+
+
+def test_histograms_and_ranks(spark):
+    from frameloom.functions import expr
+    from frameloom.operators import diagnostics
+    from frameloom.plans.pipeline import preset_runs
+
+    df = spark.createDataFrame([("g", float(k)) for k in range(10)] + [("g", float("nan")), ("g", None)], "g string, v double")
+    assert {r.bin: r.n for r in diagnostics.histogram(df, "v", 0, 10, 5).collect()} == {k: 2 for k in range(5)}
+    row = diagnostics.distribution(df.where("v < 10"), ["g"], "v").first()
+    assert (row.n, row.low, row.high, row.p25, row.p75) == (10, 0.0, 9.0, 2.0, 7.0)
+    cells = spark.createDataFrame([(1, 1, 0.1, 1), (1, 1, 0.2, 2), (1, 2, 0.3, 3)], "a int, b int, auc double, pos int")
+    assert tuple(diagnostics.sensitivity(cells, "a", "b", "auc", "pos").first()) == (1, 0.2, 0.3)
+    times = spark.createDataFrame([("2024-01-01T00:00:00Z", "2024-01-01T00:00:02.5Z"), ("x", "2024-01-01T00:00:00Z")], "a string, b string")
+    assert [r[0] for r in times.select(expr.duration_seconds(F.col("a"), F.col("b"))).collect()][:1] == [2.5]
+    runs = preset_runs({"id": "s", "steps": [{"id": "c", "stage": "components"}]}, "c")
+    assert [r["id"] for r in runs] == ["s__permissive", "s__balanced", "s__strict"]
