@@ -31,7 +31,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a vertex to the smallest vertex around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+    # repeated edges may come of it; the small step, which follows, drops them
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
