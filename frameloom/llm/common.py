@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and text bytes that the numpy kernels take at a time; a larger Arrow batch is cut, a longer text stays whole.
-KERNEL_BYTES = 16 << 20
+#: Text bytes that the numpy kernels take at a time; a larger Arrow batch is cut, a longer text stays whole.
+KERNEL_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,8 +50,30 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in pieces of about size bytes of text; null texts become empty."""
+#: What a Python worker, used again and again, holds from the tasks before; each entry frees something.
+_HELD: list[Callable[[], None]] = []
+
+
+def held_by_worker(free: Callable[[], None]) -> None:
+    """Names what other operators' tasks may free when they get this worker."""
+    _HELD.append(free)
+
+
+def trim() -> None:
+    """Gives memory that is free but still held by the allocators back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = KERNEL_BYTES, keep_held: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's batches in pieces of about size bytes of text; null texts become empty.
+
+    Frees what the worker holds from other operators unless keep_held, and trims its memory when the task has read all.
+    """
+    if not keep_held:
+        while _HELD:
+            _HELD.pop()()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = KERNEL_BYTE
             to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def words_of(texts: pa.Array, lower: str = "ascii") -> tuple[np.ndarray, np.ndarray, list[str]]:

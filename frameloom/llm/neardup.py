@@ -64,10 +64,10 @@ def shingle_hashes(codes: np.ndarray, offsets: np.ndarray, words: list[str], wid
         if b - a >= width:
             out.append(np.unique(rolled[a : b - width + 1]))
         elif b > a:
-            own = h[a]
+            own = h[a : a + 1]
             for k in range(a + 1, b):
-                own = mix64(np.array([own * step + h[k]]))[0]
-            out.append(mix64(np.array([own ^ np.uint64(b - a)])))
+                own = mix64(own * step + h[k : k + 1])
+            out.append(mix64(own ^ np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

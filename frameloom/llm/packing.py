@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, slices
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 Groups = list[tuple[tuple[int, ...], int]]
 
@@ -173,7 +173,7 @@ def measured(docs: DataFrame, vocabulary: str, capacity: int, end: int = 2, key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, part = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES, keep_held=True):
             ids, offsets = codes.encode(batch.column("text"), end)
             view = memoryview(ids.astype("<u4")).cast("B")
             sizes = np.diff(offsets)

@@ -33,7 +33,6 @@ LABELLED_ROWS, TAUGHT_ROWS = 20_000, 2_000
 ROUNDS = 3
 #: Calibrated probability of a label from which a view is sure.
 SURE = 0.98
-_SLICE = 4 << 20
 #: Classes of bytes: small, capital, digit, blank, line end, sentence mark, other sign, beyond ASCII.
 _CLASSES = 8
 _CLASS = np.full(256, 6, np.uint8)
@@ -143,7 +142,7 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _SLICE):
+        for batch in slices(batches, "text"):
             x = text_measures(batch.column("text")).astype(np.float32)
             lengths = pc.utf8_length(batch.column("text")).cast(pa.int64())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
@@ -243,7 +242,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _SLICE):
+        for batch in slices(batches, "text"):
             s = share.value.scores(*_views(batch))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_score": s[:, 0], "metadata_score": s[:, 1], "score": s[:, 2]})
 
@@ -263,7 +262,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", key: st
         for batch in batches:
             at = 0
             inner = pa.RecordBatch.from_arrays([batch.column(text).cast(pa.large_string()), *[batch.column(c).cast(pa.string()) if c in names else pa.nulls(batch.num_rows, pa.string()) for c, _ in METADATA]], ["text", *[c for c, _ in METADATA]])
-            for part in slices(iter([inner]), "text", _SLICE):
+            for part in slices(iter([inner]), "text"):
                 good = share.value.scores(*_views(part))[:, 2] >= 0.5
                 yield batch.slice(at, part.num_rows).filter(pa.array(good))
                 at += part.num_rows

@@ -84,7 +84,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-#: Op1, op3, op6 and op10 need whole-table texts shifted, encoded or digested: too slow or not expressible in SQL.
+#: Op1, 2, 3, 4, 7, 9 and 10 have none: tree digests, models, tokenizers and keyed permutations are not expressible, and links
+#: between all texts too slow.
 SQL: dict[str, str] = {
     "op5_source_mix": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import saved, shuffle_width, slices
 from .eliasfano import EliasFano
 from .files import new_file, new_folder, opened
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 _FOOT = "<QQQB7s"  # bytes of ids, identifiers and boundaries, width, magic
 _MAGIC = b"FLTOK01"
@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int = 2, key: str =
         codes = encoder(vocabulary)
         where = path = out = None
         numbers, sizes = [], []
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES, keep_held=True):
             if out is None:
                 path = new_file(folder, ".tok")
                 where, inner = opened(path)

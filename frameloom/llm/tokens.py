@@ -14,11 +14,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held_by_worker
+
 #: White space as the vocabularies' patterns see it, and the separators that Python adds to it.
 _SPACE = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RISKY = rf"^[{_SPACE}]| $| [{_SPACE}]|[{_SPACE}] "
 #: Pieces and ids that an encoder remembers before it starts anew.
 MOST_PIECES, MOST_IDS = 900_000, 12_000_000
+#: Text bytes that are encoded at a time: the more, the more words are looked up once.
+ENCODE_BYTES = 6 << 20
 #: Encodes as one string: this many new pieces.
 _TOGETHER = 20_000
 
@@ -155,9 +159,11 @@ _ENCODERS: dict[str, BatchEncoder] = {}
 
 
 def encoder(path: str) -> BatchEncoder:
-    """The encoder of this Python worker, kept between its tasks."""
+    """The encoder of this Python worker, kept between its tasks until other work comes."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = BatchEncoder(path)
+        held_by_worker(_ENCODERS.clear)
     return _ENCODERS[path]
 
 

@@ -31,6 +31,8 @@ from .regression import fitted, sigmoid
 
 #: Labelled rows that the classifier is fitted on at most, and features that it keeps at most.
 LABELLED_ROWS, MOST_FEATURES = 60_000, 50_000
+#: Text bytes whose features are counted together before they are shuffled.
+COUNTED_BYTES = 8 << 20
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Log odds from which a word counts as strong.
 STRONG = 2.0
@@ -87,7 +89,7 @@ def _counted(rows: DataFrame, channel) -> DataFrame:
     """(feature, half, n1, n0): documents of either label with a feature, by half of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", COUNTED_BYTES):
             found = Words(batch.column("text"), channel.value)
             kind = 2 * batch.column("half").to_numpy() + batch.column("label").to_numpy()
             for own in found.features():
