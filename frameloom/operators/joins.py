@@ -66,7 +66,7 @@ def greedy_match(pairs: DataFrame, left: str, right: str, order: Sequence[str],
     """One-to-one matching of candidate pairs: the first pair in order is taken, both its ends go, and so on.
 
     Pairs that share no end, directly or through others, don't influence one another, so each connected component of
-    the pairs is matched in a task of its own; `within` columns separate components from the start.
+    the pairs is matched within one task; `within` columns separate components from the start.
     """
     own = list(within)
     ends = pairs.select(F.concat_ws("\x1f", F.lit("l"), *own, left).alias("a"), F.concat_ws("\x1f", F.lit("r"), *own, right).alias("b"))
@@ -75,16 +75,20 @@ def greedy_match(pairs: DataFrame, left: str, right: str, order: Sequence[str],
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(order), kind="stable")
+        ends = zip(*(zip(*(rows[c] for c in (*own, end)), strict=True) for end in (left, right)), strict=True)
         lefts, rights, keep = set(), set(), []
-        for a, b in zip(rows[left], rows[right], strict=True):
+        for a, b in ends:
             free = a not in lefts and b not in rights
             keep.append(free)
             if free:
                 lefts.add(a)
                 rights.add(b)
-        return rows[keep].drop(columns="_part")
+        return rows[keep].drop(columns="_bucket")
 
-    return keyed.groupBy("_part").applyInPandas(match, pairs.schema)
+    # whole components go together; several share a group, as a group for each would cost more than its matching
+    buckets = 8 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.withColumn("_bucket", F.pmod(F.xxhash64("_part"), F.lit(buckets))).drop("_part")
+    return dealt.groupBy("_bucket").applyInPandas(match, pairs.schema)
 
 
 def pairs_of(rows: DataFrame, within: Sequence[str], by: Column, names: Sequence[str]) -> DataFrame:
