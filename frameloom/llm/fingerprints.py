@@ -3,8 +3,9 @@
 Paragraphs are the lines of a text, sections the runs of lines between blank ones. A paragraph's node is the digest of
 its text, a section's node the digest of its paragraphs' nodes, the root that of the sections' nodes; so equal roots
 mean equal texts, and where roots differ, comparing the branches leads to the paragraphs that were edited. Beside the
-root, a fingerprint carries the smallest hashes of the text's short word runs (four words within one paragraph), from
-which two fingerprints alone give a likeness.
+root, a fingerprint carries the smallest hashes of the text's short word runs (every four successive words of a
+paragraph, overlapping; a shorter paragraph is one run), from which two fingerprints alone give a likeness. Of an
+unbroken word longer than 64 characters each character counts as a word.
 
 Null texts count as empty; an empty text has a root and a likeness of 1 to another empty one. Rows with the same
 identifier are ordered by a hash of their text.
@@ -13,8 +14,8 @@ identifier are ordered by a hash of their text.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_width, slices
+from .common import mix64, saved, shuffle_width, slices
 
-#: Up to four words of up to 64 characters in one line.
-RUN = re.compile(r"\S{1,64}(?:[ \t]+\S{1,64}){0,3}")
+#: Words of a run, and characters of a word from which on its characters stand for words (text without spaces, keys).
+RUN, LONG_WORD = 4, 64
 #: How many of the smallest run hashes a fingerprint holds.
 SKETCH = 64
 
 
+def run_hashes(text: str) -> np.ndarray:
+    """A hash of every RUN successive words within a line, in order; a line of fewer words has one, of all its words."""
+    lines = [x for x in map(str.split, text.split("\n")) if x]
+    for k, line in enumerate(lines):
+        if max(map(len, line)) > LONG_WORD:
+            lines[k] = list(chain.from_iterable(x if len(x) > LONG_WORD else (x,) for x in line))
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words from here to the end of the line
+    size = np.repeat(np.minimum(sizes, RUN), sizes)
+    at = np.flatnonzero(left >= size)
+    size, out = size[at], words[at]
+    for k in range(1, RUN):
+        more = size > k
+        out[more] = mix64(out[more] * np.uint64(0x9E3779B97F4A7C15) + words[at[more] + k])
+    return out
+
+
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -55,8 +74,7 @@ class Tree:
                 first = len(self.paragraphs)
         self._close(first)
         self.root = _digest(b"".join(x[0] for x in self.sections)).hex()
-        runs = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in RUN.findall(text)), np.uint64)
-        self.sketch = np.unique((runs >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+        self.sketch = np.unique((run_hashes(text) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
         self.print = self.root + "." + self.sketch.astype(">u4").tobytes().hex()
 
     def _close(self, first: int) -> None:

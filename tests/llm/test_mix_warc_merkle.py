@@ -147,3 +147,33 @@ def test_branches_locate_edits(spark):
     found = fingerprints.changed_branches(fingerprints.merkle_nodes(before), fingerprints.merkle_nodes(after)).collect()
     assert {(r.doc_id, r.level, r.node) for r in found} == {(1, "root", 0), (1, "section", 1), (1, "paragraph", 4)}
     assert [r.start_before for r in found if r.level == "paragraph"] == [7]
+
+
+def exact_runs(text):
+    """Every four successive words of each line, by brute force."""
+    out = set()
+    for line in text.split("\n"):
+        words = [y for x in line.split() for y in (x if len(x) > 64 else [x])]
+        out |= {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3)) if words}
+    return out
+
+
+def test_likeness_is_that_of_all_overlapping_runs(prose):
+    rng = random.Random(8)
+    kanji = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(300))
+    pairs = [(kanji, "字" + kanji), ("one two three", "one two three four"), ("a b c d e", "z a b c d e")]
+    for k in range(40):
+        text = prose(k, 200).replace("\n", " " if k % 2 else "\n")
+        words = text.split(" ")
+        pairs.append((text, "inserted " + text))
+        pairs.append((text, " ".join(w for x in words for w in ([x] if rng.random() > 0.02 else ["inserted", x]))))
+        pairs.append((text, " ".join(w for w in words if rng.random() > 0.05)))
+    off = []
+    for a, b in pairs:
+        x, y = exact_runs(a), exact_runs(b)
+        assert len(set(fingerprints.run_hashes(a).tolist())) == len(x)
+        got, want = fingerprints.likeness(fingerprints.Tree(a).print, fingerprints.Tree(b).print), len(x & y) / len(x | y)
+        off.append(abs(got - want))
+        assert off[-1] < 1e-9 if len(x | y) <= 64 else off[-1] < 0.3
+    assert sum(off) / len(off) < 0.06
+    assert all(fingerprints.likeness(fingerprints.Tree(a).print, fingerprints.Tree(b).print) > 0.9 for a, b in pairs[3::3])
