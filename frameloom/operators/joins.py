@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import connected_components
+from ..graph import _kept
+
+#: Pairs that greedy matching takes one after another in one task at most.
+AT_ONCE = 50_000
 
 
 def binned_join(left: DataFrame, right: DataFrame, on: Sequence[str], near: Sequence[tuple[str, str, float]], how: str = "inner") -> DataFrame:
@@ -65,30 +69,50 @@ def nearest(points: DataFrame, targets: DataFrame, xy: tuple[str, str], target_x
 def greedy_match(pairs: DataFrame, left: str, right: str, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """One-to-one matching of candidate pairs: the first pair in order is taken, both its ends go, and so on.
 
-    Pairs that share no end, directly or through others, don't influence one another, so each connected component of
-    the pairs is matched within one task; `within` columns separate components from the start.
+    Runs in rounds, each written to a table: pairs that are first in order for both their ends are taken, as nothing
+    before them can claim an end, and all pairs of their ends go. Where that frees few pairs (long chains, many ties),
+    the next round takes the first AT_ONCE of all pairs one after another, so no task holds more. Ends with the same
+    identifier but different `within` columns are different. Nulls come last in order; pairs that are equal in order
+    are taken by their ends.
     """
     own = list(within)
-    ends = pairs.select(F.concat_ws("\x1f", F.lit("l"), *own, left).alias("a"), F.concat_ws("\x1f", F.lit("r"), *own, right).alias("b"))
-    parts = connected_components(ends).withColumnRenamed("component", "_part")
-    keyed = pairs.withColumn("_end", F.concat_ws("\x1f", F.lit("l"), *own, left)).join(parts, F.col("_end") == F.col("id")).drop("_end", "id")
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        ends = zip(*(zip(*(rows[c] for c in (*own, end)), strict=True) for end in (left, right)), strict=True)
-        lefts, rights, keep = set(), set(), []
-        for a, b in ends:
-            free = a not in lefts and b not in rights
-            keep.append(free)
-            if free:
-                lefts.add(a)
-                rights.add(b)
-        return rows[keep].drop(columns="_bucket")
-
-    # whole components go together; several share a group, as a group for each would cost more than its matching
-    buckets = 8 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.withColumn("_bucket", F.pmod(F.xxhash64("_part"), F.lit(buckets))).drop("_part")
-    return dealt.groupBy("_bucket").applyInPandas(match, pairs.schema)
+    ends = [F.struct(*own, left).alias("_left"), F.struct(*own, right).alias("_right")]
+    rank = F.struct(*[x.alias(f"{kind}{k}") for k, c in enumerate([*order, *own, left, right]) for kind, x in (("n", F.col(c).isNull()), ("v", F.col(c)))]).alias("_rank")
+    now = _kept(pairs.select("*", *ends, rank))
+    many, slow, taken = now.count(), False, []
+    while many:
+        won = _kept(_first_in_turn(now) if slow or many <= AT_ONCE else _first_for_both(now))
+        taken.append(won.select(*pairs.columns))
+        if many <= AT_ONCE:
+            break
+        now = _kept(now.join(won.select("_left"), "_left", "left_anti").join(won.select("_right"), "_right", "left_anti").select(now.columns))
+        rest = now.count()
+        slow, many = not slow and rest > 0.75 * many, rest
+    return reduce(DataFrame.unionByName, taken) if taken else now.select(*pairs.columns)
+
+
+def _first_for_both(pairs: DataFrame) -> DataFrame:
+    """The pairs that are first in order for their left and for their right end."""
+    first = [pairs.groupBy(end).agg(F.min("_rank").alias("_rank")).select("_rank") for end in ("_left", "_right")]
+    return pairs.join(first[0].join(first[1], "_rank"), "_rank", "left_semi").select(pairs.columns).dropDuplicates(["_left", "_right"])
+
+
+def _first_in_turn(pairs: DataFrame) -> DataFrame:
+    """What the first AT_ONCE pairs in order give, taken one after another in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lefts, rights = set(), set()
+        for batch in batches:
+            keep = []
+            for a, b in zip(*(map(str, batch.column(end).to_pylist()) for end in ("_left", "_right")), strict=True):
+                free = a not in lefts and b not in rights
+                keep.append(free)
+                if free:
+                    lefts.add(a)
+                    rights.add(b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.orderBy("_rank").limit(AT_ONCE).coalesce(1).sortWithinPartitions("_rank").mapInArrow(run, pairs.schema)
 
 
 def pairs_of(rows: DataFrame, within: Sequence[str], by: Column, names: Sequence[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from frameloom.graph import connected_components
 from frameloom.operators import joins
 
@@ -52,6 +54,31 @@ def test_greedy_is_the_sequential_greedy(spark):
     assert rows_of(joins.greedy_match(df, "a", "b", ["cost", "a", "b"])) == sorted(want)
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 50_000])
+@pytest.mark.parametrize("kind", ["random", "one chain", "all ties", "nulls"])
+def test_greedy_takes_one_large_component_in_rounds(spark, monkeypatch, at_once, kind):
+    monkeypatch.setattr(joins, "AT_ONCE", at_once)
+    monkeypatch.setattr(type(spark.range(1).groupBy()), "applyInPandas", None)  # no group of pairs is loaded whole
+    rng = random.Random(2)
+    if kind == "one chain":
+        rows = [("u", k // 2, (k + 1) // 2, k) for k in range(9)]
+    elif kind == "all ties":
+        rows = [("u", a, b, 0) for a in range(5) for b in range(5)]
+    else:
+        some = (lambda x: x if rng.random() < 0.8 else None) if kind == "nulls" else (lambda x: x)
+        rows = [(some(rng.choice("uv")), some(rng.randint(0, 5)), some(rng.randint(0, 5)), some(rng.randint(0, 3))) for _ in range(40)]
+    last = lambda x: (x is None, x or 0)
+    lefts, rights, want = set(), set(), []
+    for u, a, b, c in sorted(rows, key=lambda r: (last(r[3]), r[0] is None, r[0] or "", last(r[1]), last(r[2]))):
+        if (u, a) not in lefts and (u, b) not in rights:
+            lefts.add((u, a))
+            rights.add((u, b))
+            want.append((u, a, b, c))
+    df = spark.createDataFrame(rows, "u string, a int, b int, cost int")
+    assert sorted(map(str, map(tuple, joins.greedy_match(df, "a", "b", ["cost"], ["u"]).collect()))) == sorted(map(str, want))
+    assert joins.greedy_match(df.limit(0), "a", "b", ["cost"], ["u"]).columns == df.columns
+
+
 def test_components_of_chains_loops_and_nothing(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     found = dict(rows_of(connected_components(spark.createDataFrame(edges, "a int, b int"))))
