@@ -2,7 +2,7 @@
 
 The channel turns letters into look-alike digits and signs, repeats them, and puts marks or spaces between them. Each
 disguised word becomes a lattice of the letters that it may stand for, and a Viterbi search with the last two characters
-as state finds the likeliest path under trigram counts of all words of the corpus.
+as state, none of them dropped, finds the likeliest path under trigram counts of all words of the corpus.
 """
 
 from __future__ import annotations
@@ -31,12 +31,11 @@ MARKS = ".-_·*~'​"
 LONGEST = 32
 #: Log probabilities of the channel: a sign for a letter, a sign for itself, a mark put in, letters repeated once or more.
 _SIGN, _ITSELF, _MARK, _TWICE = -1.0, -9.0, -0.5, -1.5
-_BEAM = 48
 
 _LETTERS = r"\p{L}"
 _SIGNS = "".join("\\" + x if x.isascii() and not x.isalnum() else x for x in LOOKS_LIKE)
-#: A disguised word, its outer signs trimmed: letters with signs or marks between, or a letter three times.
-DISGUISED = rf"{_LETTERS}[{_SIGNS}\.\-_·~']+{_LETTERS}|[0-9@$!|+]{_LETTERS}|{_LETTERS}[0-9@$!|+]|" + "|".join(f"{x}{{3}}" for x in "abcdefghijklmnopqrstuvwxyz")
+#: A disguised word: letters with signs or marks between, a sign before or after a letter, or a letter three times.
+DISGUISED = rf"{_LETTERS}[{_SIGNS}\.\-_·~']+{_LETTERS}|[{_SIGNS}]{_LETTERS}|{_LETTERS}[{_SIGNS}]|" + "|".join(f"{x}{{3}}" for x in "abcdefghijklmnopqrstuvwxyz")
 
 
 def symbols(points: np.ndarray) -> np.ndarray:
@@ -81,6 +80,9 @@ class Channel:
         cube = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64) + 0.02
         self.model = np.log(cube / cube.sum(axis=2, keepdims=True)).astype(np.float32)
         self.known: dict[str, str] = {}
+        self.flat: list[float] | None = None
+        self.led: dict = {}
+        self.ends: dict = {}
 
     @classmethod
     def of(cls, counted: DataFrame) -> Channel:
@@ -100,24 +102,67 @@ class Channel:
         return found
 
     def _decode(self, word: str) -> str:
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in lattice(word):
-            ahead: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, path) in beam.items():
-                for letter, cost in options:
+        model = self._listed()
+        states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []  # for each place, where a state came from
+        places = lattice(word)
+        lead, tail = len(word) - len(word.lstrip("*")), len(word) - len(word.rstrip("*"))
+        if lead in self.led:  # the same after as many * for all words
+            states, back = self.led[lead][0], list(self.led[lead][1])
+        for options in places[len(back) : len(places) - tail]:
+            moves = [(x, ord(x) - 96 if "a" <= x <= "z" else int(symbols(np.array([ord(x)]))[0]) if x else 0, cost) for x, cost in options]
+            ahead: dict[tuple[int, int], float] = {}
+            came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            for state, score in states.items():
+                at = (state[0] * SYMBOLS + state[1]) * SYMBOLS
+                for letter, c, cost in moves:
                     if letter:
-                        c = int(symbols(np.array([ord(letter)]))[0]) if not "a" <= letter <= "z" else ord(letter) - 96
-                        state, new = (b, c), (score + cost + float(self.model[a, b, c]), path + letter)
+                        to, new = (state[1], c), score + cost + model[at + c]
                     else:
-                        state, new = (a, b), (score + cost, path)
-                    if state not in ahead or new > ahead[state]:
-                        ahead[state] = new
-            beam = dict(sorted(ahead.items(), key=lambda x: -x[1][0])[:_BEAM])
-        return max((score + float(self.model[a, b, 0]), path) for (a, b), (score, path) in beam.items())[1]
+                        to, new = state, score + cost
+                    if to not in ahead or new > ahead[to]:
+                        ahead[to], came[to] = new, (state, letter)
+            states = ahead
+            back.append(came)
+            if len(back) == lead:
+                self.led[lead] = states, list(back)
+        state = max(states, key=lambda x: states[x] + self._finish(x, tail)[0])
+        path = [self._finish(state, tail)[1]]
+        for came in reversed(back):
+            state, letter = came[state]
+            path.append(letter)
+        return "".join(reversed(path))
+
+    def _finish(self, state: tuple[int, int], stars: int) -> tuple[float, str]:
+        """Log probability and letters of the likeliest end of a word from a state on, with so many * left."""
+        if (found := self.ends.get((state, stars))) is None:
+            at = (state[0] * SYMBOLS + state[1]) * SYMBOLS
+            if not stars:
+                found = (self.flat[at], "")
+            else:
+                options = lattice("*")[0]
+                after = [(x, cost, ord(x) - 96 if x.isalpha() else int(symbols(np.array([ord(x)]))[0])) for x, cost in options if x]
+                rest = [(cost + self.flat[at + c] + (end := self._finish((state[1], c), stars - 1))[0], x + end[1]) for x, cost, c in after]
+                rest += [(cost + (end := self._finish(state, stars - 1))[0], end[1]) for x, cost in options if not x]
+                found = max(rest)
+            self.ends[(state, stars)] = found
+        return found
+
+    def _listed(self) -> list[float]:
+        """The model as one list, which is read faster; made in each process anew."""
+        if self.flat is None:
+            self.flat = self.model.ravel().tolist()
+        return self.flat
+
+    def __getstate__(self) -> dict:
+        return {"model": self.model, "known": {}, "flat": None, "led": {}, "ends": {}}
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each place of a word the letters that it may stand for, with log probabilities; an empty one is left out."""
+    """For each place of a word the letters that it may stand for, with log probabilities; an empty one is left out.
+
+    Three or more equal characters stand for one or two letters, but each * for one of its own.
+    """
     out: list[list[tuple[str, float]]] = []
     k = 0
     while k < len(word):
@@ -133,7 +178,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             options = [(c, 0.0)]
         if c in MARKS:
             options.append(("", _MARK))
-        out += [options] * min(n, 2) if n < 3 else [options, [(x, p + _TWICE) for x, p in options] + [("", 0.0)]]
+        out += [options] * n if n < 3 or c == "*" else [options, [(x, p + _TWICE) for x, p in options] + [("", 0.0)]]
         k += n
     return out
 

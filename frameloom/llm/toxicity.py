@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, slices, words_of
-from .deobfuscate import DISGUISED, LONGEST, Channel, character_counts, spaced_words
+from .deobfuscate import DISGUISED, LONGEST, LOOKS_LIKE, Channel, character_counts, spaced_words
 from .regression import fitted, sigmoid
 
 #: Labelled rows that the classifier is fitted on at most, and features that it keeps at most.
@@ -37,6 +37,8 @@ STEMS = (3, 4, 5, 6, 7, 8)
 #: Log odds from which a word counts as strong.
 STRONG = 2.0
 _OUTER = ".,;:!?()[]{}<>\"'|#$%&*+-_=/\\~^`@"
+#: Of these, what stands for no letter.
+_PLAIN_OUTER = "".join(x for x in _OUTER if x not in LOOKS_LIKE)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -51,28 +53,53 @@ def labelled(labels: DataFrame, label: str, key: str = "doc_id", most: int = LAB
     return rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(most)
 
 
+def readings(word: str) -> list[str]:
+    """A word with its outer signs that may stand for letters: with all of them, and without the outermost kinds."""
+    core = word.strip(_OUTER)
+    if not core:
+        return [word]
+    at = word.index(core)
+    end = at + len(core)
+    first, last = at, end
+    while first and word[first - 1] in LOOKS_LIKE:
+        first -= 1
+    while last < len(word) and word[last] in LOOKS_LIKE:
+        last += 1
+    # * may be left out by the channel, so it needs no reading of its own; equal signs stay together
+    starts = [k for k in range(first, at + 1) if k in (first, at) or word[k - 1] not in (word[k], "*")]
+    ends = [k for k in range(end, last + 1) if k in (end, last) or word[k] not in (word[k - 1], "*")]
+    return sorted({word[a:b] for a in starts for b in ends} - {core})
+
+
 class Words:
     """The words of a batch of texts: as written and as restored."""
 
     def __init__(self, texts: pa.Array, channel: Channel):
         codes, offsets, words = words_of(texts, "utf8")
         listed = pc.utf8_trim(pa.array(words, pa.large_string()), _OUTER)
-        size = pc.utf8_length(listed).to_numpy(zero_copy_only=False)
-        odd = pc.match_substring_regex(listed, DISGUISED).to_numpy(zero_copy_only=False).astype(bool) & (size <= LONGEST)
-        places = np.flatnonzero(odd)
-        restored = [channel.restore(x) for x in listed.take(pa.array(places)).to_pylist()]
-        again = np.full(len(words), -1, np.int64)
-        again[places] = len(words) + np.arange(len(places))
-        extra = again[codes]
+        signed = pc.utf8_trim(pa.array(words, pa.large_string()), _PLAIN_OUTER)  # outer signs may be letters
+        odd = [pc.match_substring_regex(x, DISGUISED).to_numpy(zero_copy_only=False).astype(bool) & (pc.utf8_length(x).to_numpy(zero_copy_only=False) <= LONGEST) for x in (listed, signed)]
+        odd[1] &= pc.not_equal(signed, listed).to_numpy(zero_copy_only=False).astype(bool)
+        asked = [(k, 0, x) for k, x in zip(np.flatnonzero(odd[0]).tolist(), listed.filter(pa.array(odd[0])).to_pylist(), strict=True)]
+        spelt = zip(np.flatnonzero(odd[1]).tolist(), map(readings, signed.filter(pa.array(odd[1])).to_pylist()), strict=True)
+        asked += [(k, n, x) for k, own in spelt for n, x in enumerate(own, 1)]
+        restored = [channel.restore(x) for _, _, x in asked]
+        extras = []
+        for n in range(max((n for _, n, _ in asked), default=0) + 1):  # the nth other reading of each word
+            again = np.full(len(words), -1, np.int64)
+            for at, (k, own, _) in enumerate(asked):
+                if own == n:
+                    again[k] = len(words) + at
+            extras.append(again[codes])
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         single = (pc.utf8_length(pa.array(words, pa.large_string())).to_numpy(zero_copy_only=False) == 1) if words else np.zeros(0, bool)
         joined = spaced_words(single, offsets, codes, words) if single.any() else []
         spelled = [channel.restore(x) for _, x in joined]
-        hit = extra >= 0
+        hits = [x >= 0 for x in extras]
         #: Distinct words, and the (text, word) of every place.
         self.listed = pa.concat_arrays([listed, pa.array(restored + spelled, pa.large_string())])
-        self.text = np.concatenate([owner, owner[hit], np.array([x for x, _ in joined], np.int64)])
-        self.word = np.concatenate([codes, extra[hit], len(words) + len(restored) + np.arange(len(spelled))]).astype(np.int64)
+        self.text = np.concatenate([owner, *(owner[x] for x in hits), np.array([x for x, _ in joined], np.int64)])
+        self.word = np.concatenate([codes, *(x[x >= 0] for x in extras), len(words) + len(restored) + np.arange(len(spelled))]).astype(np.int64)
 
     def features(self) -> list[pa.Array]:
         """The features of every distinct word; null where it has none of that kind."""

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from frameloom.llm import quality, toxicity
@@ -132,3 +133,38 @@ def test_regression_recovers_odds():
     x = rng.normal(size=(20_000, 2))
     y = (rng.random(20_000) < sigmoid(0.5 + x @ [1.0, -2.0])).astype(int)
     assert fitted(x, y, ridge=0.01) == pytest.approx([0.5, 1.0, -2.0], abs=0.1)
+
+
+def best_path(channel, word):
+    """The likeliest path through a word's lattice: all states, by the full table of two characters."""
+    number = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (SYMBOLS - 27)
+    best = {(0, 0): (0.0, "")}
+    for options in lattice(word):
+        ahead = {}
+        for (a, b), (score, path) in best.items():
+            for x, cost in options:
+                to, new = ((b, number(x)), score + cost + float(channel.model[a, b, number(x)])) if x else ((a, b), score + cost)
+                ahead[to] = max(ahead.get(to, (-1e9, "")), (new, path + x))
+        best = ahead
+    return max((score + float(channel.model[a, b, 0]), path) for (a, b), (score, path) in best.items())[1]
+
+
+def test_no_state_is_dropped():
+    rng = np.random.default_rng(6)
+    for _ in range(3):
+        channel = Channel(rng.integers(0, 50, SYMBOLS**3) ** 3)
+        for word in ("f**k", "a**1*b", "**x**"):
+            assert channel.restore(word) == best_path(channel, word)
+    assert len(lattice("f****d")) == 6
+
+
+def test_signs_at_the_edges_of_words(spark, prose):
+    bad = ["stupid", "asshole", "ass", "idiot"]
+    channel = Channel.of(character_counts(spark.createDataFrame([(prose(k, 200) + " " + " ".join(bad * 3),) for k in range(20)], "text string")))
+    texts = ["you $tupid one", "(@sshole)", "an a$$.", "what an !diot!", "id**t", "a st***d one", "stupid!"]
+    found = toxicity.Words(pa.array(texts, pa.large_string()), channel)
+    words = [set() for _ in texts]
+    for t, w in zip(found.text.tolist(), found.word.tolist(), strict=True):
+        words[t].add(found.listed[w].as_py())
+    for own, told in zip(words, ["stupid", "asshole", "ass", "idiot", "idiot", "stupid", "stupid"], strict=True):
+        assert any(x == told or x[: len(told)] == told for x in own), (own, told)
