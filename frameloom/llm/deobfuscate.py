@@ -2,7 +2,8 @@
 
 The channel turns letters into look-alike digits and signs, repeats them, and puts marks or spaces between them. Each
 disguised word becomes a lattice of the letters that it may stand for, and a Viterbi search with the last two characters
-as state, none of them dropped, finds the likeliest path under trigram counts of all words of the corpus.
+as state, none of them dropped, finds the likeliest path under trigram counts of all words of the corpus. Spaces between
+short pieces are part of the lattice too, so that the counts cut a spelled-out run into words.
 """
 
 from __future__ import annotations
@@ -98,7 +99,9 @@ class Channel:
         if found is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            found = self.known[word] = self._decode(word)
+            found = self._decode(word)
+            if len(word) <= 4 * LONGEST:
+                self.known[word] = found
         return found
 
     def _decode(self, word: str) -> str:
@@ -116,7 +119,9 @@ class Channel:
             for state, score in states.items():
                 at = (state[0] * SYMBOLS + state[1]) * SYMBOLS
                 for letter, c, cost in moves:
-                    if letter:
+                    if letter == " ":  # a word's end; of a word without letters nothing is left
+                        to, new = (0, 0), score + cost + (model[at] if state != (0, 0) else 0.0)
+                    elif letter:
                         to, new = (state[1], c), score + cost + model[at + c]
                     else:
                         to, new = state, score + cost
@@ -138,7 +143,7 @@ class Channel:
         if (found := self.ends.get((state, stars))) is None:
             at = (state[0] * SYMBOLS + state[1]) * SYMBOLS
             if not stars:
-                found = (self.flat[at], "")
+                found = (self.flat[at] if state != (0, 0) else 0.0, "")
             else:
                 options = lattice("*")[0]
                 after = [(x, cost, ord(x) - 96 if x.isalpha() else int(symbols(np.array([ord(x)]))[0])) for x, cost in options if x]
@@ -161,14 +166,20 @@ class Channel:
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each place of a word the letters that it may stand for, with log probabilities; an empty one is left out.
 
-    Three or more equal characters stand for one or two letters, but each * for one of its own.
+    Three or more equal characters stand for one or two letters, but each * for one of its own. A space in the word ends
+    a word or is left out, and signs at the edges of pieces between spaces may be left out.
     """
     out: list[list[tuple[str, float]]] = []
+    spaced = " " in word
     k = 0
     while k < len(word):
-        c, n = word[k], 1
-        while k + n < len(word) and word[k + n] == c:
-            n += 1
+        c, to, n = word[k], k + 1, 1
+        if c == " ":
+            out.append([(" ", 0.0), ("", _MARK)])
+            k += 1
+            continue
+        while (at := to + (word[to : to + 1] == " ")) < len(word) and word[at] == c:
+            to, n = at + 1, n + 1
         if c in LOOKS_LIKE:
             letters = LOOKS_LIKE[c]
             options = [(x, _SIGN - math.log(len(letters))) for x in letters] + [(c, _ITSELF)]
@@ -176,25 +187,35 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             options = []
         else:
             options = [(c, 0.0)]
-        if c in MARKS:
+        if c in MARKS or (spaced and not c.isalnum() and (word[k - 1 : k] in ("", " ")) != (word[k + 1 : k + 2] in ("", " "))):
             options.append(("", _MARK))
-        out += [options] * n if n < 3 or c == "*" else [options, [(x, p + _TWICE) for x, p in options] + [("", 0.0)]]
-        k += n
+        if n < 3 or c == "*":
+            out.append(options)
+            k += 1
+        else:
+            out += [options, [(x, p + _TWICE) for x, p in options] + [("", 0.0)]]
+            k = to
     return out
 
 
-def spaced_words(singles: np.ndarray, offsets: np.ndarray, codes: np.ndarray, words: list[str], least: int = 3) -> list[tuple[int, str]]:
-    """(text, word) of runs of at least so many single characters, put together."""
-    own = singles[codes]
-    edge = np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def spaced_runs(sizes: np.ndarray, offsets: np.ndarray, codes: np.ndarray, words: list[str]) -> list[tuple[int, str]]:
+    """(text, run) of what may be words with spaces put in, of any length: three or more pieces in a row, of up to three
+    characters with two or more single ones, or of up to two characters with a single one. sizes: of the distinct words."""
+    if not len(codes):
+        return []
+    first = np.zeros(len(codes) + 1, bool)
+    first[offsets] = True  # a run ends with its text
+    single = np.concatenate([[0], np.cumsum((sizes == 1)[codes])])
+    free = np.ones(len(codes), bool)
     out = []
-    long = stops - starts >= least
-    for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
-        text = int(np.searchsorted(offsets, a, "right")) - 1
-        while a < b:  # a run may go over texts
-            end = min(b, int(offsets[text + 1]))
-            if least <= end - a <= LONGEST:
-                out.append((text, "".join(words[k] for k in codes[a:end].tolist())))
-            a, text = end, text + 1
+    for longest, singles in ((3, 2), (2, 1)):
+        own = (sizes <= longest)[codes] & free
+        starts = np.flatnonzero(own & (first[:-1] | ~np.concatenate([[False], own[:-1]])))
+        stops = np.flatnonzero(own & (first[1:] | ~np.concatenate([own[1:], [False]]))) + 1
+        good = (stops - starts >= 3) & (single[stops] - single[starts] >= singles)
+        for a, b in zip(starts[good].tolist(), stops[good].tolist(), strict=True):
+            run = " ".join(words[k] for k in codes[a:b].tolist())
+            free[a:b] = False
+            if any(map(str.isalnum, run)):
+                out.append((int(np.searchsorted(offsets, a, "right")) - 1, run))
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, slices, words_of
-from .deobfuscate import DISGUISED, LONGEST, LOOKS_LIKE, Channel, character_counts, spaced_words
+from .deobfuscate import DISGUISED, LONGEST, LOOKS_LIKE, Channel, character_counts, spaced_runs
 from .regression import fitted, sigmoid
 
 #: Labelled rows that the classifier is fitted on at most, and features that it keeps at most.
@@ -92,9 +92,10 @@ class Words:
                     again[k] = len(words) + at
             extras.append(again[codes])
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        single = (pc.utf8_length(pa.array(words, pa.large_string())).to_numpy(zero_copy_only=False) == 1) if words else np.zeros(0, bool)
-        joined = spaced_words(single, offsets, codes, words) if single.any() else []
-        spelled = [channel.restore(x) for _, x in joined]
+        pieces = pc.if_else(pc.equal(pc.utf8_length(signed), 0), pa.array(words, pa.large_string()), signed)
+        sizes = pc.utf8_length(pieces).to_numpy(zero_copy_only=False)
+        joined = [(t, x) for t, run in spaced_runs(sizes, offsets, codes, pieces.to_pylist()) for x in channel.restore(run).split()]
+        spelled = [x for _, x in joined]
         hits = [x >= 0 for x in extras]
         #: Distinct words, and the (text, word) of every place.
         self.listed = pa.concat_arrays([listed, pa.array(restored + spelled, pa.large_string())])

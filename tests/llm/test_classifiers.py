@@ -168,3 +168,17 @@ def test_signs_at_the_edges_of_words(spark, prose):
         words[t].add(found.listed[w].as_py())
     for own, told in zip(words, ["stupid", "asshole", "ass", "idiot", "idiot", "stupid", "stupid"], strict=True):
         assert any(x == told or x[: len(told)] == told for x in own), (own, told)
+
+
+def test_spaced_runs_are_cut_into_words(spark, prose):
+    bad = ["idiot", "stupid", "you", "a", "are", "the"]
+    channel = Channel.of(character_counts(spark.createDataFrame([(prose(k, 200) + " " + " ".join(bad * 9),) for k in range(20)], "text string")))
+    long = "y o u a r e s t u p i d " * 6
+    texts = ["so y o u i d i o t there", "what a i d i o t", "the id i ot there", long, "i d i o o o o t", "s t u p i d !", "", "i", "$ t u p 1 d", "one s t", "u p i d"]
+    found = toxicity.Words(pa.array(texts, pa.large_string()), channel)
+    words = [[] for _ in texts]
+    for t, w in zip(found.text.tolist(), found.word.tolist(), strict=True):
+        words[t].append(found.listed[w].as_py())
+    assert {"you", "idiot"} <= set(words[0]) and "idiot" in words[1] and "idiot" in words[2] and "idiot" in words[4]
+    assert words[3].count("stupid") == 6 and any(x.startswith("stupid") for x in words[5]) and "stupid" in words[8]
+    assert not any("stupid" in x for own in words[9:] for x in own)  # runs end with their texts
