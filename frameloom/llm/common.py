@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +50,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: What a Python worker, used again and again, holds from the tasks before; each entry frees something.
-_HELD: list[Callable[[], None]] = []
-
-
-def held_by_worker(free: Callable[[], None]) -> None:
-    """Names what other operators' tasks may free when they get this worker."""
-    _HELD.append(free)
-
-
 def trim() -> None:
     """Gives memory that is free but still held by the allocators back to the machine."""
     pa.default_memory_pool().release_unused()
@@ -66,14 +57,11 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = KERNEL_BYTES, keep_held: bool = False) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a task's batches in pieces of about size bytes of text; null texts become empty.
 
-    Frees what the worker holds from other operators unless keep_held, and trims its memory when the task has read all.
+    Trims the worker's memory when the task has read all.
     """
-    if not keep_held:
-        while _HELD:
-            _HELD.pop()()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -5,14 +5,16 @@ counted on the cluster, the plan is made from those counts (a table of at most `
 length take that length's places in the plan in turn.
 
 The plan: a set of pieces that fits a sequence dominates another if the other's pieces can be dealt into as many groups
-as the set has pieces, each no longer than its piece. For the longest piece left, if one set with it dominates all
-others, some best packing holds that set, and it is fixed for good; the rest shrinks by it. When no set dominates, what
-is left is packed best fit, longest first.
+as the set has pieces, each no longer than its piece. If one set with a piece dominates all other sets with it, some best
+packing holds that set, and it is fixed for good; the rest shrinks by it. Pieces without such a set are passed over.
+What is left when no set can be fixed any more is packed best fit, longest first.
 
 A document longer than `capacity` is cut from its end into full pieces; the first piece takes what is left over, so that
 every document has one piece at most that must share a sequence.
 
 Null texts are empty documents of the end id alone. Repeated rows are documents of their own. Missing identifiers stay.
+An empty table gives no pieces, and very long texts as many as they need. Documents of equal length are alike to the
+plan; which of them takes which place follows from the order in which tasks read them. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,50 +38,61 @@ Groups = list[tuple[tuple[int, ...], int]]
 def reduce_by_dominance(counts: np.ndarray, capacity: int) -> tuple[Groups, np.ndarray]:
     """(sets of lengths fixed for good, how often each; counts of what is left). counts[l]: pieces of length l.
 
-    For the longest piece w and the room r beside it: if nothing fits, w stands alone. Let k be the longest piece that
-    fits the room. {w, k} dominates all sets if no two pieces fit the room together, if k fills it, or if no two pieces
-    that fit it together are longer than k, and three can't fit. Sets are fixed as often as the counts let the same
-    reasoning repeat.
+    Every length is tried, longest first, and again as long as something was fixed; a piece without a dominating set is
+    passed over. Taking pieces away only takes away rivals of a set, so a set is fixed as often as its pieces last.
     """
     counts = counts.copy()
     fixed: Groups = []
-    present = np.flatnonzero(counts).tolist()
-    while present:
-        w = present[-1]
-        room = capacity - w
-        least = present[0]
-        if least > room:  # nothing fits beside w
-            fixed.append(((w,), int(counts[w])))
-            counts[w] = 0
-            present.pop()
-            continue
-        at = bisect_left(present, room + 1) - 1  # the longest that fits; w itself when two of it fit
-        k = present[at]
-        if k == w and counts[w] == 1:
-            at -= 1
-            if at < 0:
-                fixed.append(((w,), 1))
-                counts[w] = 0
-                present.pop()
-                continue
-            k = present[at]
-        if k < room and 3 * least <= room:
-            break
-        if k < room and _best_pair(present, counts, room, w) > k:
-            break
-        times = int(counts[w]) // 2 if k == w else min(int(counts[w]), int(counts[k]))
-        fixed.append(((w, k), times))
-        for x in (w, k):
-            counts[x] -= times
-        for x in {w, k}:
-            if not counts[x]:
-                present.remove(x)
+    again = True
+    while again:
+        again = False
+        for w in np.flatnonzero(counts)[::-1].tolist():
+            while counts[w] and (beside := _dominating(np.flatnonzero(counts).tolist(), counts, w, capacity - w)) is not None:
+                own = (w, *beside)
+                times = min(int(counts[x]) // own.count(x) for x in own)
+                fixed.append((own, times))
+                for x in own:
+                    counts[x] -= times
+                again = True
     return fixed, counts
 
 
-def _best_pair(present: list[int], counts: np.ndarray, room: int, w: int) -> int:
-    """The largest sum up to room of two pieces, one w set aside; 0 if no two fit."""
-    best, lo, hi = 0, 0, bisect_left(present, room + 1) - 1
+def _dominating(present: list[int], counts: np.ndarray, w: int, room: int) -> tuple[int, ...] | None:
+    """What stands beside a piece of length w in a set of up to three that dominates all its sets; None if none is known.
+
+    Let a be the longest other piece that fits the room. {w} dominates if nothing fits; {w, a} if a fills the room, if
+    no two pieces fit it together, or if three don't and no two that do are longer than a. If three don't fit and b is the longest
+    that fits beside a, {w, a, b} dominates unless two pieces, both longer than b, fit together and are longer than a.
+    """
+    least: list[int] = []
+    for x in present:
+        least += [x] * min(3 - len(least), int(counts[x]) - (x == w))
+        if len(least) == 3:
+            break
+    if not least or least[0] > room:
+        return ()
+    a = _longest(present, counts, room, (w,))
+    if a == room or sum(least[:2]) > room or len(least) == 1:
+        return (a,)
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    if _best_pair(present, counts, room, w, 0) <= a:
+        return (a,)
+    b = _longest(present, counts, room - a, (w, a))
+    return (a, b) if b and _best_pair(present, counts, room, w, b) <= a else None
+
+
+def _longest(present: list[int], counts: np.ndarray, room: int, aside: tuple[int, ...]) -> int:
+    """The longest piece that fits a room, some pieces set aside; 0 if there is none."""
+    for at in range(bisect_left(present, room + 1) - 1, -1, -1):
+        if counts[present[at]] > aside.count(present[at]):
+            return present[at]
+    return 0
+
+
+def _best_pair(present: list[int], counts: np.ndarray, room: int, w: int, above: int) -> int:
+    """The largest sum up to room of two pieces longer than above, one w set aside; 0 if no two fit."""
+    best, lo, hi = 0, bisect_left(present, above + 1), bisect_left(present, room + 1) - 1
     have = lambda x: int(counts[x]) - (x == w)
     while lo <= hi:
         a, b = present[lo], present[hi]
@@ -173,7 +186,7 @@ def measured(docs: DataFrame, vocabulary: str, capacity: int, end: int = 2, key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, part = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text", ENCODE_BYTES, keep_held=True):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             ids, offsets = codes.encode(batch.column("text"), end)
             view = memoryview(ids.astype("<u4")).cast("B")
             sizes = np.diff(offsets)

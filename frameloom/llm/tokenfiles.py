@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int = 2, key: str =
         codes = encoder(vocabulary)
         where = path = out = None
         numbers, sizes = [], []
-        for batch in slices(batches, "text", ENCODE_BYTES, keep_held=True):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             if out is None:
                 path = new_file(folder, ".tok")
                 where, inner = opened(path)

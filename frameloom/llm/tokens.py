@@ -2,8 +2,8 @@
 
 A text's ids are those of its space-separated pieces, one after another: both kinds of vocabulary used here never let a
 token reach across a single space between two visible characters. So each distinct piece is encoded once by the
-library and remembered, and a batch of texts becomes array lookups. Texts with other white space next to a space are
-encoded whole.
+library and remembered, and a batch of texts becomes array lookups. Texts with other white space next to a space, and
+texts that hold the string of one of the vocabulary's added tokens, are encoded whole by the library as it comes.
 """
 
 from __future__ import annotations
@@ -14,28 +14,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import held_by_worker
-
 #: White space as the vocabularies' patterns see it, and the separators that Python adds to it.
 _SPACE = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RISKY = rf"^[{_SPACE}]| $| [{_SPACE}]|[{_SPACE}] "
-#: Pieces and ids that an encoder remembers before it starts anew.
-MOST_PIECES, MOST_IDS = 900_000, 12_000_000
-#: Text bytes that are encoded at a time: the more, the more words are looked up once.
-ENCODE_BYTES = 6 << 20
+#: Pieces and ids that an encoder remembers before it starts anew: some 30 MB.
+MOST_PIECES, MOST_IDS = 200_000, 1_500_000
+#: Text bytes that are encoded at a time.
+ENCODE_BYTES = 2 << 20
 #: Encodes as one string: this many new pieces.
 _TOGETHER = 20_000
 
 
 class BatchEncoder:
-    """ids of Arrow arrays of texts under one vocabulary file; special tokens' strings are ordinary text."""
+    """ids of Arrow arrays of texts under one vocabulary file, as the library gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = sorted(x.content for x in self.library.get_added_tokens_decoder().values())
         vocabulary = self.library.get_vocab()
         self.spaced = bool(self.library.encode(" ", add_special_tokens=False).ids)  # a leading space belongs to the token
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -45,12 +43,12 @@ class BatchEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots: dict[str | int, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remembers pieces whose ids stand one after another."""
         n, at = len(self.slots), self.used
         while len(self.starts) < n + len(pieces):
@@ -64,20 +62,25 @@ class BatchEncoder:
         self.slots.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def _singly(self, pieces: list[str]) -> None:
-        ids = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = self._library_ids(pieces)
         self._add(pieces, np.array([k for x in ids for k in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
+    def _library_ids(self, texts: list[str], added: bool = False) -> list[list[int]]:
+        """What the library gives; strings of added tokens are those tokens only if told so."""
+        self.library.encode_special_tokens = not added
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _together(self, pieces: list[str]) -> None:
         """Encodes pieces as one string and cuts its ids at the spaces or marks."""
         if self.spaced:
-            ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self._library_ids(["".join(pieces)])[0], np.uint32)
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(pieces) or cuts[0]:
                 return self._singly(pieces)
             return self._add(pieces, ids, np.diff(np.append(cuts, len(ids))))
         if len(self.mark) != 1 or any("\x01" in x for x in pieces):
             return self._singly(pieces)
-        ids = np.array(self.library.encode_batch_fast([" \x01 ".join(pieces) + " \x01"], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self._library_ids([" \x01 ".join(pieces) + " \x01"])[0], np.uint32)
         marks = ids == self.mark[0]
         ends = np.flatnonzero(marks)
         if len(ends) != len(pieces):
@@ -131,14 +134,22 @@ class BatchEncoder:
             self._forget()
         n = len(texts)
         whole = pc.match_substring_regex(texts, _RISKY).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(n, bool)
+        for token in self.added:  # in either case: the library decides whether it is one
+            whole = whole | pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
         per, parts = np.ones(n, np.int64), []
         if not whole.all():
             slots, offsets = self._split(texts.filter(pa.array(~whole)))
             per[~whole] = np.diff(offsets)
             parts.append((~whole, slots))
         if whole.any():
-            odd = texts.filter(pa.array(whole)).to_pylist()
-            parts.append((whole, self._find(odd, True)))
+            # whole texts are not remembered: their ids lie behind the others' and their slots go again
+            kept, used = len(self.slots), self.used
+            ids = self._library_ids(texts.filter(pa.array(whole)).to_pylist(), True)
+            self._add(list(range(len(ids))), np.array([k for x in ids for k in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+            for k in range(len(ids)):
+                del self.slots[k]
+            self.used = used
+            parts.append((whole, kept + np.arange(len(ids))))
         bounds = np.concatenate([[0], np.cumsum(per)])
         slots = np.empty(bounds[-1], np.int64)
         for mask, own in parts:
@@ -159,11 +170,10 @@ _ENCODERS: dict[str, BatchEncoder] = {}
 
 
 def encoder(path: str) -> BatchEncoder:
-    """The encoder of this Python worker, kept between its tasks until other work comes."""
+    """The encoder of this Python worker, kept between its tasks."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = BatchEncoder(path)
-        held_by_worker(_ENCODERS.clear)
     return _ENCODERS[path]
 
 
