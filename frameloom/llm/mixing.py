@@ -10,8 +10,9 @@
    hash. The place in that order where the rest ends is narrowed down bucket by bucket with sums per bucket, so a
    pattern with a third of all documents is never ordered in one task. The document at that place gives its first words.
 
-A null text has size 0 and is never taken. Null sources are a source of their own, ordered last. A null identifier is
-hashed as an empty one. Repeated rows are documents of their own. An empty table gives an empty mix.
+A null text has size 0 and is never taken. Null sources are a source of their own, ordered last. A document without an
+identifier is drawn by its text. Repeated rows, and rows that share an identifier, are documents of their own; ties of the
+hash are ordered by identifier and size. An empty table gives an empty mix. Columns with other meanings are not looked at.
 """
 
 from __future__ import annotations
@@ -107,14 +108,13 @@ def _path(start: int, members: Sequence[Sequence[int]], need: list[int], given:
     return None
 
 
-def selected(sized: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame:
-    """sized (pattern, size, h and others) with taken. wanted: (pattern, full uses, words more) of each pattern."""
+def narrowed(sized: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame:
+    """(pattern, full, rest, prefix): full uses of each pattern's documents, and the bucket of the hash in which rest words
+    more end (-1: no rest). sized: pattern, size, h. wanted: (pattern, full uses, words more) of each pattern."""
     spark = sized.sparkSession
     state = [(p, full, rest, -1) for p, full, rest in wanted]
     cut = "pattern int, full long, rest long, prefix long"
-    bits = 0
-    for _ in range(LEVELS):
-        bits += BITS
+    for bits in range(BITS, BITS * LEVELS + 1, BITS):
         bucket = F.shiftright("h", _HASH_BITS - bits)
         plan = F.broadcast(spark.createDataFrame(state, cut))  # a row for each pattern
         inside = sized.join(plan, "pattern").where("rest > 0 and size > 0")
@@ -125,9 +125,14 @@ def selected(sized: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame:
         now = {x.pattern: x for x in found.collect()}  # one bucket for each pattern
         # what lies before the bucket is taken whole, so the rest shrinks by it
         state = [(p, full, now[p].rest - (now[p].after - now[p].n), now[p].bucket) if p in now else (p, full, 0, prefix) for p, full, rest, prefix in state]
-    plan = F.broadcast(spark.createDataFrame(state, cut))
-    joined = sized.join(plan, "pattern", "left")
-    place = F.shiftright("h", _HASH_BITS - bits)
+    return spark.createDataFrame(state, cut)
+
+
+def selected(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """sized (pattern, size, h, doc_id and others) with taken, under the plan of narrowed(). Rows stay where they are, but
+    for those of the last bucket of each pattern."""
+    joined = sized.join(F.broadcast(plan), "pattern", "left")
+    place = F.shiftright("h", _HASH_BITS - BITS * LEVELS)
     edge = (F.col("prefix") >= 0) & (place == F.col("prefix")) & (F.col("size") > 0)
     whole = F.col("full") * F.col("size") + F.when((F.col("prefix") >= 0) & (place < F.col("prefix")), F.col("size")).otherwise(0)
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,6 +142,42 @@ def selected(sized: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame:
     return rest.unionByName(last).drop("full", "rest", "prefix")
 
 
+class Mix:
+    """A planned mix of a table of documents: told has a row for each pattern, plan its uses (both None for an empty table)."""
+
+    def __init__(self, docs: DataFrame, sources: Column | None, weights: Sequence[float], share: float, most: int, seed: int, key: str, text: str, source: str):
+        spark = docs.sparkSession
+        self.member = F.array_sort(F.array_distinct(sources)) if sources is not None else F.array(F.col(source).cast("string"))
+        # a missing identifier is drawn by its text, so such documents don't all share one place
+        own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+        self.draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, _HASH_BITS // 4), 16, 10).cast("long")
+        self.key, self.size = F.col(key).cast("long"), words(text)
+        self.rows = saved(docs.select(self.key.alias("doc_id"), self.member.alias("members"), self.size.alias("size"), self.draw.alias("h")), "sizes")
+        sums = self.rows.groupBy("members").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+        if len(sums) > MOST_PATTERNS:
+            raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+        self.told = self.plan = None
+        if not sums:
+            return
+        names = sorted({s for x in sums for s in x.members}, key=lambda s: (s is None, s or ""))
+        number = {s: k for k, s in enumerate(names)}
+        sums = sorted(sums, key=lambda x: [number[s] for s in x.members])
+        held = [0] * len(names)
+        for x in sums:
+            for s in x.members:
+                held[number[s]] += x.n
+        aims = targets(held, [weights[k % len(weights)] for k in range(len(names))], share, most)
+        given = flow([x.n for x in sums], [[number[s] for s in x.members] for x in sums], [int(x + 0.5) for x in aims], most)
+        wanted = [(p, *divmod(sum(given[p].values()), x.n)) if x.n else (p, 0, 0) for p, x in enumerate(sums)]
+        told = [(p, x.members, held[number[x.members[0]]], float(aims[number[x.members[0]]])) for p, x in enumerate(sums) if x.members]
+        self.told = F.broadcast(spark.createDataFrame(told, "pattern int, held_by array<string>, source_size long, target double"))  # a row for each pattern
+        self.plan = narrowed(self.named(self.rows), wanted)
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows (members and others) with their pattern's number, source_size and target."""
+        return rows.join(self.told, F.col("members").eqNullSafe(F.col("held_by"))).drop("held_by")
+
+
 def mixed(
     docs: DataFrame, sources: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17,
     key: str = "doc_id", text: str = "text", source: str = "source",
@@ -146,27 +187,24 @@ def mixed(
     sources: an array column where documents belong to several sources; by default each has the one in column source.
     source_size and target are those of the first source in members.
     """
-    spark = docs.sparkSession
-    member = F.array_sort(F.array_distinct(sources)) if sources is not None else F.array(F.col(source).cast("string"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, _HASH_BITS // 4), 16, 10).cast("long")
-    rows = saved(docs.select(F.col(key).cast("long").alias("doc_id"), member.alias("members"), words(text).alias("size"), draw.alias("h")), "sizes")
-    sums = rows.groupBy("members").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(sums) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    if not sums:
-        return rows.select("doc_id", "members", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    names = sorted({s for x in sums for s in x.members}, key=lambda s: (s is None, s or ""))
-    number = {s: k for k, s in enumerate(names)}
-    sums = sorted(sums, key=lambda x: [number[s] for s in x.members])
-    held = [0] * len(names)
-    for x in sums:
-        for s in x.members:
-            held[number[s]] += x.n
-    aims = targets(held, [weights[k % len(weights)] for k in range(len(names))], share, most)
-    given = flow([x.n for x in sums], [[number[s] for s in x.members] for x in sums], [int(x + 0.5) for x in aims], most)
-    wanted = [(p, *divmod(sum(given[p].values()), x.n)) if x.n else (p, 0, 0) for p, x in enumerate(sums)]
-
-    told = [(p, x.members, held[number[x.members[0]]], float(aims[number[x.members[0]]])) for p, x in enumerate(sums) if x.members]
-    told = F.broadcast(spark.createDataFrame(told, "pattern int, held_by array<string>, source_size long, target double"))  # a row for each pattern
-    named = rows.join(told, F.col("members").eqNullSafe(F.col("held_by"))).drop("held_by")
-    return selected(named, wanted).select("doc_id", "members", "size", "source_size", "target", "taken")
+    mix = Mix(docs, sources, weights, share, most, seed, key, text, source)
+    if mix.plan is None:
+        return mix.rows.select("doc_id", "members", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+    return selected(mix.named(mix.rows), mix.plan).select("doc_id", "members", "size", "source_size", "target", "taken")
+
+
+def repeated(
+    docs: DataFrame, sources: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17,
+    key: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix uses it; the one at which a pattern's words run out is rounded.
+
+    Every row is decided where it stands, so texts are not shuffled and rows that share an identifier are told apart.
+    """
+    mix = Mix(docs, sources, weights, share, most, seed, key, text, source)
+    if mix.plan is None:
+        return docs
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mix.key.alias("doc_id"), mix.member.alias("members"), mix.size.alias("size"), mix.draw.alias("h"))
+    rows = selected(mix.named(rows), mix.plan).where("taken > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    return rows.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times)).alias("use")).select("row.*")

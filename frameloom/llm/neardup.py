@@ -4,8 +4,8 @@
    a 128-bit digest of the set, BANDS band keys of ROWS MinHash values each, and an odd sketch: every (position, value)
    of the MinHash sample flips one of SKETCH_BITS parity bits, so that the bits in which two sketches differ count the
    positions in which the samples differ.
-2. Documents with equal sets form a class; its smallest identifier stands for it from here on.
-3. In every band bucket each member is paired with the bucket's smallest member. Pairs that the sketches don't rule out
+2. Documents with equal sets form a class, which has a number of its own; classes, not identifiers, are what is linked.
+3. In every band bucket each class is paired with the bucket's smallest one. Pairs that the sketches don't rule out
    are confirmed on the full sets, and the links' connected components are formed.
 4. In buckets whose members still lie in several components, the pairs between different components are weighed. Small
    buckets give them as rows. Larger ones are cut into blocks, and each two blocks meet in one task, which weighs their
@@ -17,8 +17,9 @@ A pair with similarity s shares no bucket with probability (1 - s^ROWS)^BANDS: 5
 pairs whose estimate lies five standard errors or more below the threshold.
 
 Null or empty texts and texts of white space have an empty set and are linked with nothing. Rows that repeat an
-identifier count as one document if their sets are equal; of different sets under one identifier, one is compared. Rows
-without an identifier are linked with nothing and kept.
+identifier are told apart by their sets: each is linked as its own text is. Rows without an identifier are linked with
+nothing and kept. Very long texts are read whole, an empty table gives no rows, and columns other than the identifier and
+the text are not looked at.
 """
 
 from __future__ import annotations
@@ -97,14 +98,14 @@ def sketch_bits_allowed(similarity: float) -> int:
     return math.ceil(mean + 5 * math.sqrt(mean * (1 - mean / SKETCH_BITS)))
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(_LONGS))
+_SIGNED = "doc_id long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(_LONGS))
 _SIGNED_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), *[(f"s{k}", pa.int64()) for k in range(_LONGS)]]
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), *[(f"s{k}", pa.int64()) for k in range(_LONGS)]]
 )
 
 
 def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's set size, set digest, band keys (null for an empty set) and odd sketch."""
+    """Each document's set size, set digest, band keys (null for an empty set) and odd sketch; mark: a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(BANDS, dtype=np.uint64)
@@ -129,24 +130,28 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "te
                 held = lists.to_pylist()
                 lists = pa.array([x if s else None for x, s in zip(held, sizes, strict=True)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists, *[pa.array(np.ascontiguousarray(sketches[:, k]).view(np.int64)) for k in range(_LONGS)]],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists, *[pa.array(np.ascontiguousarray(sketches[:, k]).view(np.int64)) for k in range(_LONGS)]],
                 schema=_SIGNED_ARROW,
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _SIGNED)
+    return _texts(docs, key, text).mapInArrow(run, _SIGNED)
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and the array of its shingle hashes."""
+    """id and the array of its shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_hashes(*words_of(batch.column("text")), width)
             ends = np.cumsum([0, *[len(x) for x in sets]]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, hashes array<long>")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 80, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,19 +161,42 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, width: int = 5, key:
     component_id: the smallest identifier that links reach; class_id: that of the documents with the same set;
     n_links: confirmed links of the class with other classes. kept: doc_id is component_id.
     """
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = saved(signatures(texts, width), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    classes = saved(classes, "classes")
-    stands = signed.where("n_shingles > 0").join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = stands.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    return _decided(docs, similarity, width, key, text).drop("mark")
+
+
+def without_near_copies(docs: DataFrame, similarity: int = 80, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs, all columns, for each group of near-duplicates: that of the smallest identifier.
+
+    Where a group has several texts under that identifier, the one with the smallest hash stays; rows that are equal in
+    identifier and text share their fate. Rows with an empty set or without an identifier stay.
+    """
+    rows = saved(_decided(docs, similarity, width, key, text).where("n_shingles > 0 and doc_id is not null").select("doc_id", "mark", "component_id", "kept"), "decided")
+    heads = rows.where("kept").groupBy("doc_id").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last")
+    second = rows.where("kept").join(heads, "doc_id").where("mark <> first").select("doc_id", "mark")
+    gone = rows.where("not kept").select("doc_id", "mark").unionByName(second).toDF("gone_id", "gone_mark").alias("gone")
+    both = (docs[key].cast("long") == F.col("gone.gone_id")) & (F.xxhash64(docs[text]) == F.col("gone.gone_mark"))
+    return docs.join(gone, both, "left_anti")
+
+
+def _decided(docs: DataFrame, similarity: int, width: int, key: str, text: str) -> DataFrame:
+    """near_duplicates() with mark, a hash of the row's text."""
+    spans = [f"s{k}" for k in range(_LONGS)]
+    signed = saved(signatures(docs, width, key, text), "signatures")
+    # bands and sketch follow from the set, so any row of a class has them; its head is its smallest identifier's row
+    head = F.min(F.struct("doc_id", "mark")).alias("head")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(head, F.first("bands").alias("bands"), *[F.first(x).alias(x) for x in spans])
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "set_a", "set_b", "n_shingles", F.col("head.doc_id").alias("class_id"), F.col("head.mark").alias("mark"), "bands", *spans)
+    classes = saved(classes, "classes")  # written, so the numbers stand
+    keys = classes.select("id", F.explode("bands").alias("bucket"))
     full = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("bucket", "hub")
     members = saved(keys.join(full, "bucket"), "buckets")  # only buckets with two or more classes
 
-    asked = members.select(F.col("id").alias("doc_id")).distinct()
-    wanted = texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = saved(shingle_sets(wanted, width), "sets")
-    sketches = saved(stands.join(asked, "doc_id", "left_semi").select("doc_id", "n_shingles", *[f"s{k}" for k in range(_LONGS)]), "sketches")
+    asked = members.select("id").distinct()
+    stands = classes.join(asked, "id", "left_semi")
+    wanted = stands.select("id", F.col("class_id").alias("doc_id"), "mark")
+    texts = _texts(docs, key, text).join(wanted.hint("shuffle_hash"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    sets = saved(shingle_sets(texts, width), "sets")
+    sketches = saved(stands.select("id", "n_shingles", *spans), "sketches")
 
     first = confirmed(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sketches, sets, similarity)
     first = saved(first, "links")
@@ -185,29 +213,31 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, width: int = 5, key:
 
     links = first.unionByName(second)
     parts = connected_components(parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second))
-    count = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    told = classes.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").join(count, "class_id", "left")
-    rows = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(told, ["set_a", "set_b", "n_shingles"], "left")
+    named = parts.join(classes.select("id", "class_id"), "id")
+    parts = named.join(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "component").select("id", "component_id")
+    count = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    told = classes.select("id", "set_a", "set_b", "n_shingles", "class_id").join(parts, "id", "left").join(count, "id", "left").drop("id")
+    rows = signed.select("doc_id", "mark", "n_shingles", "set_a", "set_b").join(told, ["set_a", "set_b", "n_shingles"], "left")
     known = F.col("doc_id").isNotNull()
     own = F.when(known, F.coalesce("class_id", "doc_id"))
-    component = F.when(known, F.coalesce("component", own))
+    component = F.when(known, F.coalesce("component_id", own))
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), own.alias("class_id"), F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"), own.alias("class_id"), F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).alias("n_links"))
 
 
 def weighed(members: DataFrame, stands: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) of members (bucket, id, component, n) of different components that may reach the similarity."""
-    asked = members.select(F.col("id").alias("doc_id")).distinct()
+    asked = members.select("id").distinct()
     lowest = F.transform(F.slice("hashes", 1, LOWEST), lambda h: F.shiftright(h, 32).cast("int")).alias("low")
-    about = sets.join(asked, "doc_id", "left_semi").select("doc_id", lowest)
-    about = about.join(stands.select("doc_id", "n_shingles", "bands", F.array(*[f"s{k}" for k in range(_LONGS)]).alias("sketch")), "doc_id")
+    about = sets.join(asked, "id", "left_semi").select("id", lowest)
+    about = about.join(stands.select("id", "n_shingles", "bands", F.array(*[f"s{k}" for k in range(_LONGS)]).alias("sketch")), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     rows = members.select("bucket", "id", "component", blocks.alias("blocks"), own.alias("own"))
     # a block meets itself and every other: as (smaller, larger)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(about, F.col("id") == F.col("doc_id")).drop("doc_id")
+    rows = rows.join(about, "id")
     allowed, least = sketch_bits_allowed(similarity / 100), similarity / 100 - 5 * math.sqrt(similarity / 100 * (1 - similarity / 100) / LOWEST)
 
     def weigh(key: tuple, rows: pa.Table) -> pa.Table:
@@ -254,13 +284,13 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similarity
     """The pairs (a, b) whose sets reach the similarity: first sizes and sketches, then the full sets."""
 
     def side(name: str) -> DataFrame:
-        return sketches.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), *[F.col(f"s{k}").alias(f"{name}{k}") for k in range(_LONGS)])
+        return sketches.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), *[F.col(f"s{k}").alias(f"{name}{k}") for k in range(_LONGS)])
 
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(_LONGS)), F.lit(0))
     likely = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = likely.where((100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (differ <= sketch_bits_allowed(similarity / 100)))
     likely = likely.select("a", "b", "n_a", "n_b")
-    with_b = likely.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
+    with_b = likely.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
+    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return both.withColumn("common", common).where(100 * F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")

@@ -81,6 +81,21 @@ def test_near_duplicates_bear_odd_rows(spark, odd, empty):
     assert neardup.near_duplicates(empty, 80, 2).count() == 0
 
 
+def test_texts_under_one_identifier_are_told_apart(spark, prose):
+    a, b, c = prose(1, 120), prose(2, 120), prose(3, 90)
+    near = a + " and one"
+    rows = [(1, a), (2, a), (3, b), (3, near), (3, near), (4, c), (4, c.replace(" ", "  ")), (5, c + " more")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(*r, "x") for r in order], "doc_id long, text string, mark string")
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, 80, 5).collect())
+        n = lambda t: len(shingles(t, 5))
+        assert got == sorted([(1, n(a), 1, True), (2, n(a), 1, False), (3, n(b), 3, True), (3, n(near), 1, False), (3, n(near), 1, False), (4, n(c), 4, True), (4, n(c), 4, True), (5, n(c) + 1, 4, False)])
+        left = neardup.without_near_copies(df, 80, 5)
+        assert left.columns == df.columns
+        kept = sorted((r.doc_id, " ".join(r.text.split())) for r in left.collect())
+        assert kept == sorted((i, " ".join(t.split())) for i, t in ((1, a), (3, b), (4, c)))
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(0)
     for share in (0.8, 0.9, 0.97):

@@ -77,7 +77,24 @@ def test_mix_of_overlapping_sources(spark):
     assert sum(r.taken for r in out) == pytest.approx(sum(aims.values()), abs=1)
 
 
+def test_rows_are_repeated_as_the_mix_takes_them(spark, prose):
+    rng = random.Random(9)
+    rows = [(k % 150, prose(k, rng.randint(1, 60)), rng.choice(["s0"] * 6 + ["s1", None]), "x", k) for k in range(300)]  # two texts under an identifier
+    rows += [(None, prose(k, 20), "s1", "y", k) for k in range(300, 320)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, h long")
+    out = mixing.repeated(df)
+    assert out.columns == df.columns
+    count = collections.Counter(tuple(r) for r in out.collect())
+    assert set(count) <= set(rows) and set(count.values()) <= {1, 2}
+    size = lambda t: len(t.split())
+    aims = {r.members[0]: r.target for r in mixing.mixed(df).collect()}
+    for source, aim in aims.items():
+        got = sum(n * size(r[1]) for r, n in count.items() if r[2] == source)
+        assert abs(got - aim) <= 60
+
+
 def test_mix_bears_odd_rows(odd, empty):
+    assert mixing.repeated(empty).count() == 0 and mixing.repeated(odd).columns == odd.columns
     rows = mixing.mixed(odd).collect()
     assert len(rows) == odd.count() and all(r.taken <= 2 * r.size for r in rows)
     assert mixing.mixed(empty).count() == 0
