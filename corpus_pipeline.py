@@ -2,7 +2,8 @@
 
 1. quality: documents that the co-trained classifier rejects go.
 2. exact: of equal texts (A-Z lower-cased) the row with the largest identifier stays; of rows that share this too, one.
-3. near: of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest identifier stays.
+3. near: of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest identifier stays; rows
+   that share an identifier are told apart by their texts.
 4. mix: sources are brought to their target weights; a document appears as often as the mix takes it, so a row may be
    repeated, and documents that the mix leaves out go. The document at which a source's words run out is rounded.
 5. pack: the pieces of all documents in sequences of 1024 tokens.
@@ -15,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from frameloom.llm import contentsort, mixing, neardup, packing, quality, tokens
 from frameloom.llm.common import saved
@@ -32,17 +32,11 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     workers_import_this(spark)
-    gone = neardup.near_duplicates(docs, similarity=80, width=5).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return neardup.without_near_copies(docs, similarity=80, width=5)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mixed(docs, weights=(3, 1, 2), share=1.5, most=2)
-    # identifiers are no longer repeated here, except for missing ones
-    times = taken.where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    times = times.groupBy("doc_id").agg(F.max("_times").alias("_times")).alias("t")
-    rows = docs.alias("d").join(times, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "_times")
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    return mixing.repeated(docs, weights=(3, 1, 2), share=1.5, most=2)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
