@@ -1,17 +1,21 @@
 """Private numbers, dates and addresses replaced by keyed pseudonyms of the same format, with DataFrame functions only.
 
-A match is validated, then permuted within its format by a Feistel network whose rounds are keyed SHA-2 digests. Equal
-values get equal pseudonyms in every document, different values different ones, and nothing but the key undoes it.
+A match is validated, then permuted within its format by a Feistel network whose rounds are keyed SHA-2 digests. Only the
+value itself is permuted, its separators are put back: equal values get equal pseudonyms in every document and spelling,
+different values different ones, and nothing but the key undoes it.
 
 - card: 13 to 19 digits, also in groups, that pass the Luhn check; the last digit is computed anew
 - iban: passes mod 97; the country stays and the check digits are computed anew
 - ssn: ddd-dd-dddd in the ranges that are given out; stays in them
 - phone: + and 8 to 15 digits, or three groups of 3, 3 and 4 digits; the first digit after + stays
 - ip: four numbers up to 255
-- date: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy, else dd/mm/yyyy, from 1900 to 2199; stays a date of its form
+- date: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy, else dd/mm/yyyy, from 1900 to 2199; stays a date of its form.
+  Days up to the 12th stay such days, so that mm/dd and dd/mm are never confused
 - email: the letters and digits before the @; the domain stays
 
-What does not validate is left as it is, and so is all other text. A null text stays null and has no matches.
+A card or IBAN followed by other digits or capitals is found without them. What does not validate is left as it is, and so is
+all other text. A null text stays null and has no matches; very long texts are read whole; repeated rows stay alike; an
+empty table gives no rows. Columns n_found and kinds of the caller are replaced, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -97,21 +101,30 @@ def _day(m: Column, form: str) -> Column:
 
 
 def _date(m: Column, form: str, key: str) -> Column:
-    day = _day(m, form)
-    number = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
-    step = lambda x: permuted_number(x, _DAYS_A, _DAYS_B, key, f"date {form}")
-    back = lambda x: F.date_add(F.lit(_FIRST_DAY).cast("date"), x.cast("int"))
-    if form == "dd/MM/yyyy":  # read so from day 13 on: walks on until the day is one of those; each step ends it with probability 0.6
-        new = F.aggregate(F.sequence(F.lit(1), F.lit(60)), step(number), lambda x, _: F.when(F.dayofmonth(back(x)) > 12, x).otherwise(step(x)))
-    else:
-        new = step(number)
-    return F.date_format(back(new), form)
+    first = F.lit(_FIRST_DAY).cast("date")
+    number = F.datediff(_day(m, form), first).cast("long")
+    step = lambda x: permuted_number(x, _DAYS_A, _DAYS_B, key, "date")
+    late = lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12
+    # walks on to a day of the same part of the month; each step ends it with probability 0.4 or more
+    new = F.aggregate(F.sequence(F.lit(1), F.lit(80)), step(number), lambda x, _: F.when(late(x) == late(number), x).otherwise(step(x)))
+    return F.date_format(F.date_add(first, new.cast("int")), form)
+
+
+def _plain(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9A-Za-z]", "")
+
+
+def _respaced(m: Column, new: Column) -> Column:
+    """m with its letters and digits replaced in turn by the characters of new."""
+    put = lambda c, k: F.when(c.rlike("[0-9A-Za-z]"), F.substring(new, F.length(_plain(F.substring(m, F.lit(1), k))), F.lit(1))).otherwise(c)
+    return F.array_join(_each(m, put), "")
 
 
 def _card(m: Column, key: str) -> Column:
-    new = permuted_text(F.substring(m, F.lit(1), F.length(m) - 1), key, "card")
-    check = (10 - _luhn(F.reverse(_digits(new)), 1) % 10) % 10
-    return F.concat(new, check.cast("string"))
+    digits = _digits(m)
+    new = permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    check = (10 - _luhn(F.reverse(new), 1) % 10) % 10
+    return _respaced(m, F.concat(new, check.cast("string")))
 
 
 def _mod97(s: Column) -> Column:
@@ -124,10 +137,10 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    country, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
+    country, rest = F.substring(m, 1, 2), F.substring(_plain(m), F.lit(5), F.length(m))
     new = permuted_text(rest, key, "iban")
-    check = 98 - _mod97(F.concat(F.regexp_replace(new, " ", ""), country, F.lit("00")))
-    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+    check = 98 - _mod97(F.concat(new, country, F.lit("00")))
+    return _respaced(m, F.concat(country, F.lpad(check.cast("string"), 2, "0"), new))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -148,8 +161,8 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    keep = F.when(m.startswith("+"), 2).otherwise(0)
-    return F.concat(F.substring(m, F.lit(1), keep), permuted_text(F.substring(m, keep + 1, F.length(m)), key, "phone"))
+    digits, keep = _digits(m), F.when(m.startswith("+"), 1).otherwise(0)
+    return _respaced(m, F.concat(F.substring(digits, F.lit(1), keep), permuted_text(F.substring(digits, keep + 1, F.length(digits)), key, "phone")))
 
 
 def _parts(m: Column, mark: str, n: int) -> list[Column]:
@@ -160,23 +173,49 @@ def _parts(m: Column, mark: str, n: int) -> list[Column]:
 _FORMS = (("yyyy-MM-dd", r"^\d{4}-"), ("yyyy/MM/dd", r"^\d{4}/"), ("dd.MM.yyyy", r"^\d\d\."), ("MM/dd/yyyy", r"^(?:0\d|1[0-2])/"), ("dd/MM/yyyy", r"^\d\d/"))
 
 
-def _kind(m: Column) -> Column:
-    """What a match is once validated, a date with its form; null for what is nothing of these."""
+def _first(candidates: list[Column], valid) -> Column:
+    """The first candidate that is valid; null if none is."""
+    out = F.when(valid(candidates[0]), candidates[0])
+    for c in candidates[1:]:
+        out = out.when(valid(c), c)
+    return out
+
+
+def _card_in(m: Column) -> Column:
+    """The card that a match begins with: all of it, or its usual grouping, or its first digits up to a separator."""
+    short = [F.regexp_extract(m, f"^({x})[ -]", 1) for x in (r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{13,18}")]
+    return _first([m, *short], lambda c: F.length(_digits(c)).between(13, 19) & (_luhn(F.reverse(_digits(c)), 0) % 10 == 0))
+
+
+def _iban_in(m: Column) -> Column:
+    """The IBAN that a match begins with: all of it, or without up to four of its last groups."""
+    candidates = [m]
+    for _ in range(4):
+        candidates.append(F.regexp_extract(candidates[-1], "^(.*) [A-Z0-9]{1,4}$", 1))
+
+    def valid(c: Column) -> Column:
+        plain = _plain(c)
+        return F.length(plain).between(15, 34) & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+
+    return _first(candidates, valid)
+
+
+def _read(m: Column) -> Column:
+    """What a match is once validated: kind (a date with its form; null for nothing of these), text and the tail left alone."""
     like = lambda pattern: m.rlike(f"^(?:{pattern})$")
-    digits = _digits(m)
     area, group, serial = _parts(m, "-", 3)
-    plain = F.regexp_replace(m, " ", "")
-    out = F.when(m.contains("@"), "email")
     form = F.lit(None).cast("string")
     for name, look in reversed(_FORMS):
         form = F.when(m.rlike(look) & _day(m, name).isNotNull(), f"date {name}").otherwise(form)
-    out = out.when(like(_DATE), form)
-    out = out.when(like(_IP), F.when(F.greatest(*_parts(m, ".", 4)) <= 255, "ip"))
-    out = out.when(like(_SSN), F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), "ssn"))
-    out = out.when(like(_CARD) & F.length(digits).between(13, 19) & (_luhn(F.reverse(digits), 0) % 10 == 0), "card")
-    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
-    out = out.when(like(_IBAN), F.when(F.length(plain).between(15, 34) & (_mod97(turned) == 1), "iban"))
-    return out.when(like(_PHONE) & F.length(digits).between(8, 15), "phone")
+    told = lambda kind, text=m: F.struct(kind.alias("kind"), text.alias("text"), F.coalesce(F.substring(m, F.length(text) + 1, F.length(m)), F.lit("")).alias("tail"))
+    named = lambda name, text: told(F.when(text.isNotNull(), name), F.coalesce(text, m))
+    out = F.when(m.contains("@"), told(F.lit("email")))
+    out = out.when(like(_DATE), told(form))
+    out = out.when(like(_IP), told(F.when(F.greatest(*_parts(m, ".", 4)) <= 255, "ip")))
+    out = out.when(like(_SSN), told(F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), "ssn")))
+    out = out.when(like(_CARD), named("card", _card_in(m)))
+    out = out.when(like(_IBAN), named("iban", _iban_in(m)))
+    return out.otherwise(told(F.when(like(_PHONE) & F.length(_digits(m)).between(8, 15), "phone")))
 
 
 def _pseudonym(kind: Column, m: Column, key: str) -> Column:
@@ -191,15 +230,17 @@ def _pseudonym(kind: Column, m: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with text replaced, and n_found (validated matches) and kinds (of them, in order, joined by commas)."""
-    whole = F.col(text)
-    hits = F.transform(F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(_kind(m).alias("kind"), m.alias("text")))
+    name = "hits"
+    while name in docs.columns:  # a name that no column has
+        name += "_"
+    whole, found = F.col(text), F.col(name)
     may = whole.rlike("[0-9@]")  # no match is without one of these
-    rows = docs.withColumn("_hits", F.when(may, hits))
+    rows = docs.withColumn(name, F.when(may, F.transform(F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0)), _read)))
     between = F.split(whole, PATTERN, -1)
-    new = F.transform("_hits", lambda x: _pseudonym(x["kind"], x["text"], key))
+    new = F.transform(found, lambda x: F.concat(_pseudonym(x["kind"], x["text"], key), x["tail"]))
     new = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    kinds = F.transform(F.filter("_hits", lambda x: x["kind"].isNotNull()), lambda x: F.split_part(x["kind"], F.lit(" "), F.lit(1)))
+    kinds = F.transform(F.filter(found, lambda x: x["kind"].isNotNull()), lambda x: F.split_part(x["kind"], F.lit(" "), F.lit(1)))
     return rows.select(
-        *[F.when(may & (F.size("_hits") > 0), new).otherwise(whole).alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.when(may & (F.size(found) > 0), new).otherwise(whole).alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_found", "kinds")],
         F.when(may, F.size(kinds)).otherwise(0).cast("long").alias("n_found"), F.when(may, F.array_join(kinds, ",")).otherwise("").alias("kinds"),
     )

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import re
 
 import pytest
@@ -96,3 +97,41 @@ def test_odd_rows(odd, empty):
     before = {(r.doc_id, r.text) for r in odd.collect()}
     assert {(r.doc_id, r.text) for r in out.collect()} == before
     assert P.pseudonymised(empty, "k").count() == 0
+
+
+def test_spellings_stay_linked(spark):
+    plain = card("441774428035154")
+    grouped = " ".join(plain[k : k + 4] for k in range(0, 16, 4))
+    rows = run(spark, [plain, grouped, "1984-02-28", "28.02.1984", "02/28/1984", "28/02/1984", "212-555-1212", "(212) 555-1212", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"])
+    same = [re.sub(r"[^0-9A-Z]", "", r.text) for r in rows]
+    assert same[0] == same[1] and same[6] == same[7] and same[8] == same[9] and same[0] != plain
+    days = {datetime.datetime.strptime(r.text, f).date() for r, f in zip(rows[2:6], ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"), strict=True)}
+    assert len(days) == 1 and days != {datetime.date(1984, 2, 28)}
+
+
+def test_cards_and_ibans_before_other_figures(spark):
+    plain = card("411111111111111")
+    grouped = " ".join(plain[k : k + 4] for k in range(0, 16, 4))
+    rows = run(spark, [f"{grouped} 05/27", f"{grouped} 123", f"{plain} 123", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00 AND MORE", "BE68 5390 0754 7034 PAID"])
+    assert [r.kinds for r in rows] == ["card", "card", "card", "iban", "iban", "iban"]
+    assert rows[1].text.endswith(" 123") and rows[5].text.endswith(" PAID") and all("5390" not in r.text for r in rows)
+
+
+def test_clashing_columns_leak_nothing(spark):
+    df = spark.createDataFrame([(1, "born 1984-02-28", "own", "x", "y", "z")], "doc_id long, text string, _hits string, hits string, n_found string, kinds string")
+    r = P.pseudonymised(df, "k").first()
+    assert r["_hits"] == "own" and r["hits"] == "x" and r["n_found"] == 1 and r["kinds"] == "date" and "1984-02-28" not in str(r)
+
+
+def feistel(number, a, b, key, kind):
+    """The rounds of permuted_number, in plain Python."""
+    left, right = divmod(number, b)
+    noise = lambda i, s: int(hashlib.sha512(f"{key}|{kind}|{i}|{s}".encode()).hexdigest()[:12], 16)
+    for i in range(1, 2 * P.ROUNDS + 1):
+        left, right = ((left + noise(i, right)) % a, right) if i % 2 else (left, (right + noise(i, left)) % b)
+    return left * b + right
+
+
+def test_rounds_are_those_of_the_network(spark):
+    got = spark.range(0, 109_573, 997).select("id", P.permuted_number(F.col("id"), 79, 1387, "key", "date").alias("v")).collect()
+    assert all(r.v == feistel(r.id, 79, 1387, "key", "date") for r in got)
