@@ -43,6 +43,11 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, r"\D", "")
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _each(s: Column, f) -> Column:
     """f(character, position from 1) of every character, as an array; empty for an empty text."""
     return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: f(F.substring(s, k, F.lit(1)), k)))
@@ -102,11 +107,11 @@ def _day(m: Column, form: str) -> Column:
 
 def _date(m: Column, form: str, key: str) -> Column:
     first = F.lit(_FIRST_DAY).cast("date")
-    number = F.datediff(_day(m, form), first).cast("long")
     step = lambda x: permuted_number(x, _DAYS_A, _DAYS_B, key, "date")
     late = lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12
     # walks on to a day of the same part of the month; each step ends it with probability 0.4 or more
-    new = F.aggregate(F.sequence(F.lit(1), F.lit(80)), step(number), lambda x, _: F.when(late(x) == late(number), x).otherwise(step(x)))
+    walked = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(80)), step(n), lambda x, _: F.when(late(x) == late(n), x).otherwise(step(x)))
+    new = _let(F.datediff(_day(m, form), first).cast("long"), walked)
     return F.date_format(F.date_add(first, new.cast("int")), form)
 
 
@@ -116,15 +121,18 @@ def _plain(m: Column) -> Column:
 
 def _respaced(m: Column, new: Column) -> Column:
     """m with its letters and digits replaced in turn by the characters of new."""
-    put = lambda c, k: F.when(c.rlike("[0-9A-Za-z]"), F.substring(new, F.length(_plain(F.substring(m, F.lit(1), k))), F.lit(1))).otherwise(c)
-    return F.array_join(_each(m, put), "")
+
+    def joined(own: Column) -> Column:
+        put = lambda c, k: F.when(c.rlike("[0-9A-Za-z]"), F.substring(own, F.length(_plain(F.substring(m, F.lit(1), k))), F.lit(1))).otherwise(c)
+        return F.when(F.length(own) == F.length(m), own).otherwise(F.array_join(_each(m, put), ""))
+
+    return _let(new, joined)
 
 
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     new = permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = (10 - _luhn(F.reverse(new), 1) % 10) % 10
-    return _respaced(m, F.concat(new, check.cast("string")))
+    return _respaced(m, _let(new, lambda x: F.concat(x, ((10 - _luhn(F.reverse(x), 1) % 10) % 10).cast("string"))))
 
 
 def _mod97(s: Column) -> Column:
@@ -139,8 +147,8 @@ def _mod97(s: Column) -> Column:
 def _iban(m: Column, key: str) -> Column:
     country, rest = F.substring(m, 1, 2), F.substring(_plain(m), F.lit(5), F.length(m))
     new = permuted_text(rest, key, "iban")
-    check = 98 - _mod97(F.concat(new, country, F.lit("00")))
-    return _respaced(m, F.concat(country, F.lpad(check.cast("string"), 2, "0"), new))
+    checked = lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x)
+    return _respaced(m, _let(new, checked))
 
 
 def _ssn(m: Column, key: str) -> Column:
