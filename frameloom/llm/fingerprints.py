@@ -1,19 +1,21 @@
 """Document fingerprints: a Merkle tree over a text's paragraphs and sections.
 
-Paragraphs are the lines of a text, sections the runs of lines between blank ones. A paragraph's node is the digest of
-its text, a section's node the digest of its paragraphs' nodes, the root that of the sections' nodes; so equal roots
-mean equal texts, and where roots differ, comparing the branches leads to the paragraphs that were edited. Beside the
-root, a fingerprint carries the smallest hashes of the text's short word runs (every four successive words of a
-paragraph, overlapping; a shorter paragraph is one run), from which two fingerprints alone give a likeness. Of an
-unbroken word longer than 64 characters each character counts as a word.
+Paragraphs are the lines of a text, sections the runs of lines between blank ones. A paragraph's leaves are runs of a few
+words whose ends depend on the words alone (one word in four ends a run), so an edit changes the leaves around it and no
+others, wherever it stands. A paragraph's node is the digest of its leaves, a section's node that of its paragraphs' nodes,
+the root that of the sections' nodes: equal roots mean equal texts, and where roots differ, following the digests that
+have no counterpart leads to the edited paragraphs. A fingerprint is the root and the smallest digests of the tree's
+leaves; the share of leaves that two trees have in common is their likeness, estimated from the fingerprints alone.
 
 Null texts count as empty; an empty text has a root and a likeness of 1 to another empty one. Rows with the same
-identifier are ordered by a hash of their text.
+identifier are ordered by a hash of their text, rows without one come last. Very long texts are read whole: of a word
+longer than 64 characters each character counts as a word. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,33 +23,44 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, saved, shuffle_width, slices
 
-#: Words of a run, and characters of a word from which on its characters stand for words (text without spaces, keys).
-RUN, LONG_WORD = 4, 64
-#: How many of the smallest run hashes a fingerprint holds.
+#: A word with the white space around it, a line end, or white space alone.
+_TOKEN = re.compile(r"\n|[^\S\n]*\S+[^\S\n]*|[^\S\n]+")
+#: One word in so many ends a leaf; a leaf has MOST_WORDS at most (repeated words may have no end among them).
+ONE_IN, MOST_WORDS = 4, 32
+#: Characters of a word from which on its characters stand for words (text without spaces, keys).
+LONG_WORD = 64
+#: How many of the smallest leaf digests a fingerprint holds.
 SKETCH = 64
-
-
-def run_hashes(text: str) -> np.ndarray:
-    """A hash of every RUN successive words within a line, in order; a line of fewer words has one, of all its words."""
-    lines = [x for x in map(str.split, text.split("\n")) if x]
-    for k, line in enumerate(lines):
-        if max(map(len, line)) > LONG_WORD:
-            lines[k] = list(chain.from_iterable(x if len(x) > LONG_WORD else (x,) for x in line))
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    words = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words from here to the end of the line
-    size = np.repeat(np.minimum(sizes, RUN), sizes)
-    at = np.flatnonzero(left >= size)
-    size, out = size[at], words[at]
-    for k in range(1, RUN):
-        more = size > k
-        out[more] = mix64(out[more] * np.uint64(0x9E3779B97F4A7C15) + words[at[more] + k])
-    return out
+_LINE_END = np.uint64(xxhash.xxh3_64_intdigest("\n"))
+
+
+def leaf_digests(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(digest of each leaf of a text, number of leaves up to the end of each line)."""
+    words = _TOKEN.findall(text)
+    if max(map(len, words), default=0) > LONG_WORD:
+        words = list(chain.from_iterable(x if len(x) > LONG_WORD else (x,) for x in words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    lines = h == _LINE_END
+    ends = np.cumsum(~lines)[lines]  # words up to the end of each line but the last
+    h = h[~lines]
+    n = len(h)
+    ends = np.append(ends, n)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    cuts = h % np.uint64(ONE_IN) == 0
+    cuts[ends[ends > 0] - 1] = True
+    first = np.flatnonzero(np.append(True, cuts[:-1]))
+    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    if place.max() >= MOST_WORDS:
+        first = np.flatnonzero(place % MOST_WORDS == 0)
+        place %= MOST_WORDS
+    leaves = mix64(np.add.reduceat(mix64(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first))
+    return leaves, np.searchsorted(first, ends)
 
 
 def _digest(data: bytes) -> bytes:
@@ -61,20 +74,23 @@ class Tree:
 
     def __init__(self, text: str):
         data = text.encode()
+        leaves, ends = leaf_digests(text)
+        raw = leaves.astype("<u8").tobytes()
         #: (digest, start in bytes) of each line, and per section the digest and the numbers of its lines.
         self.paragraphs: list[tuple[bytes, int]] = []
         self.sections: list[tuple[bytes, int, int]] = []
-        at, first = 0, 0
-        for line in data.split(b"\n"):
+        at, first, done = 0, 0, 0
+        for line, end in zip(data.split(b"\n"), (8 * ends).tolist(), strict=True):
             blank = not line.strip()
-            self.paragraphs.append((_digest(line), at))
+            self.paragraphs.append((_digest(raw[done:end]), at))
+            done = end
             at += len(line) + 1
             if blank:
                 self._close(first)
                 first = len(self.paragraphs)
         self._close(first)
         self.root = _digest(b"".join(x[0] for x in self.sections)).hex()
-        self.sketch = np.unique((run_hashes(text) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+        self.sketch = np.unique((leaves >> np.uint64(32)).astype(np.uint32))[:SKETCH]
         self.print = self.root + "." + self.sketch.astype(">u4").tobytes().hex()
 
     def _close(self, first: int) -> None:
@@ -84,11 +100,11 @@ class Tree:
 
 
 def likeness(a: str, b: str) -> float:
-    """How like two fingerprints' texts are, 0 to 1: 1 for equal roots, else the estimated share of common word runs."""
-    (root_a, _, runs_a), (root_b, _, runs_b) = a.partition("."), b.partition(".")
+    """How like two fingerprints' texts are, 0 to 1: 1 for equal roots, else the estimated share of common leaves."""
+    (root_a, _, leaves_a), (root_b, _, leaves_b) = a.partition("."), b.partition(".")
     if root_a == root_b:
         return 1.0
-    left, right = (np.frombuffer(bytes.fromhex(x), ">u4") for x in (runs_a, runs_b))
+    left, right = (np.frombuffer(bytes.fromhex(x), ">u4") for x in (leaves_a, leaves_b))
     return _share(left, right)
 
 
@@ -136,11 +152,19 @@ def merkle_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def changed_branches(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Nodes (as merkle_nodes gives them) that differ between two versions of the same documents."""
-    on = ["doc_id", "level", "node"]
-    left = before.select(*on, F.col("start").alias("start_before"), F.col("digest").alias("digest_before"))
-    right = after.select(*on, F.col("start").alias("start_after"), F.col("digest").alias("digest_after"))
-    return left.join(right, on, "full_outer").where(~F.col("digest_before").eqNullSafe(F.col("digest_after")))
+    """Nodes (as merkle_nodes gives them) of two versions of the same documents that have no counterpart in the other.
+
+    Nodes are matched by digest within document and level, equal ones in order, so what was put in or taken out marks its
+    own branches and not those after it. Columns: doc_id, level, digest, node and start before and after (null on one side).
+    """
+    on = ["doc_id", "level", "digest", "again"]
+    again = F.row_number().over(Window.partitionBy("doc_id", "level", "digest").orderBy("node")).alias("again")
+
+    def side(nodes: DataFrame, name: str) -> DataFrame:
+        return nodes.select("doc_id", "level", "digest", again, F.col("node").alias(f"node_{name}"), F.col("start").alias(f"start_{name}"))
+
+    both = side(before, "before").join(side(after, "after"), on, "full_outer").drop("again")
+    return both.where("node_before is null or node_after is null")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections int, n_paragraphs int, first_difference long"

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from frameloom.llm import fingerprints, mixing, warc
@@ -159,38 +160,57 @@ def test_single_and_odd_rows(spark, odd, empty):
 
 
 def test_branches_locate_edits(spark):
-    before = spark.createDataFrame([(1, "a\nb\n\nc\nd"), (2, "same")], "doc_id long, text string")
-    after = spark.createDataFrame([(1, "a\nb\n\nc\nX"), (2, "same")], "doc_id long, text string")
+    before = spark.createDataFrame([(1, "a\nb\n\nc\nd"), (2, "same"), (3, "one\ntwo\nthree")], "doc_id long, text string")
+    after = spark.createDataFrame([(1, "a\nb\n\nc\nX"), (2, "same"), (3, "zero\none\ntwo\nthree")], "doc_id long, text string")
     found = fingerprints.changed_branches(fingerprints.merkle_nodes(before), fingerprints.merkle_nodes(after)).collect()
-    assert {(r.doc_id, r.level, r.node) for r in found} == {(1, "root", 0), (1, "section", 1), (1, "paragraph", 4)}
-    assert [r.start_before for r in found if r.level == "paragraph"] == [7]
+    place = lambda r: (r.doc_id, r.level, r.node_before, r.node_after)
+    own = [(1, "root", 0), (1, "section", 1), (1, "paragraph", 4)]
+    want = {(i, level, n, None) for i, level, n in own} | {(i, level, None, n) for i, level, n in own}
+    want |= {(3, level, n, None) for level, n in (("root", 0), ("section", 0))} | {(3, level, None, n) for level, n in (("root", 0), ("section", 0), ("paragraph", 0))}
+    assert {place(r) for r in found} == want  # the line put in is the one paragraph that differs
+    assert [r.start_before for r in found if r.level == "paragraph" and r.node_before is not None] == [7]
 
 
-def exact_runs(text):
-    """Every four successive words of each line, by brute force."""
-    out = set()
+def leaves(text):
+    """The leaves of every line of a text, by brute force: words with their white space, a leaf ends with one in four."""
+    out = []
     for line in text.split("\n"):
-        words = [y for x in line.split() for y in (x if len(x) > 64 else [x])]
-        out |= {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3)) if words}
+        own = []
+        for word in re.findall(r"\s*\S+\s*|\s+", line):
+            for x in word if len(word) > 64 else [word]:
+                own.append(x)
+                if xxhash.xxh3_64_intdigest(x) % 4 == 0 or len(own) == 32:
+                    out.append(tuple(own))
+                    own = []
+        if own:
+            out.append(tuple(own))
     return out
 
 
-def test_likeness_is_that_of_all_overlapping_runs(prose):
+def test_likeness_is_the_share_of_common_leaves(prose):
     rng = random.Random(8)
     kanji = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(300))
-    pairs = [(kanji, "字" + kanji), ("one two three", "one two three four"), ("a b c d e", "z a b c d e")]
+    pairs = [(kanji, "字" + kanji), ("one two three", "one two three four"), ("a b c d e", "z a b c d e"), ("x " * 500, "y " + "x " * 500), ("", "a"), (" ", "\n")]
     for k in range(40):
         text = prose(k, 200).replace("\n", " " if k % 2 else "\n")
         words = text.split(" ")
         pairs.append((text, "inserted " + text))
+        pairs.append((text, text.replace(" ", "  ", 1)))
         pairs.append((text, " ".join(w for x in words for w in ([x] if rng.random() > 0.02 else ["inserted", x]))))
         pairs.append((text, " ".join(w for w in words if rng.random() > 0.05)))
     off = []
     for a, b in pairs:
-        x, y = exact_runs(a), exact_runs(b)
-        assert len(set(fingerprints.run_hashes(a).tolist())) == len(x)
-        got, want = fingerprints.likeness(fingerprints.Tree(a).print, fingerprints.Tree(b).print), len(x & y) / len(x | y)
+        x, y = set(leaves(a)), set(leaves(b))
+        assert len(fingerprints.leaf_digests(a)[0]) == len(leaves(a)) and len(set(fingerprints.leaf_digests(a)[0].tolist())) == len(x)
+        got, want = fingerprints.likeness(fingerprints.Tree(a).print, fingerprints.Tree(b).print), len(x & y) / max(len(x | y), 1)
         off.append(abs(got - want))
         assert off[-1] < 1e-9 if len(x | y) <= 64 else off[-1] < 0.3
     assert sum(off) / len(off) < 0.06
-    assert all(fingerprints.likeness(fingerprints.Tree(a).print, fingerprints.Tree(b).print) > 0.9 for a, b in pairs[3::3])
+    # one word put in, or a space doubled, leaves texts alike
+    assert all(fingerprints.likeness(fingerprints.Tree(a).print, fingerprints.Tree(b).print) > 0.9 for k in (6, 7) for a, b in pairs[k::4])
+
+
+def test_equal_roots_are_equal_texts(prose):
+    rng = random.Random(3)
+    texts = {"".join(rng.choice(["a", "b", " ", "\n", "  ", "\t", "é"]) for _ in range(rng.randint(0, 6))) for _ in range(3000)}
+    assert len({fingerprints.Tree(t).root for t in texts}) == len(texts)
