@@ -53,6 +53,15 @@ def labelled(labels: DataFrame, label: str, key: str = "doc_id", most: int = LAB
     return rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(most)
 
 
+def one_each(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """One row (all columns of rows, label) for each labelled identifier: of several, the one with the smallest text hash.
+
+    known: a bounded table, so what comes is bounded too."""
+    whole = F.struct(F.xxhash64("text").alias("mark"), *[F.col(c) for c in rows.columns if c != "doc_id"])
+    found = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(whole).alias("row"))
+    return found.select("doc_id", "label", *[F.col(f"row.{c}") for c in rows.columns if c != "doc_id"])
+
+
 def readings(word: str) -> list[str]:
     """A word with its outer signs that may stand for letters: with all of them, and without the outermost kinds."""
     core = word.strip(_OUTER)
@@ -187,7 +196,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str =
     channel = share(Channel.of(character_counts(rows)))
     known = spark.createDataFrame([tuple(x) for x in labelled(labels, label).collect()], "doc_id long, label int")  # LABELLED_ROWS at most
     half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int")
-    few = saved(rows.join(F.broadcast(known), "doc_id").withColumn("half", half), "labelled")
+    few = saved(one_each(rows, known).withColumn("half", half), "labelled")
     counts = {(x.half, x.label): x.n for x in few.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = (sum(n for (_, label), n in counts.items() if label == k) for k in (1, 0))
     if not ones or not zeros:

@@ -72,16 +72,63 @@ def test_quality_on_held_out_rows(corpus):
 def test_views_teach_each_other(corpus, monkeypatch):
     docs, labels = corpus
     seen = []
-    original = quality._taught
+    original = quality._counts
 
     def watch(*args):
         out = original(*args)
-        seen.append({(t, g) for t, g in zip(out.column("teacher").to_pylist(), out.column("given").to_pylist(), strict=True)})
+        seen.append(out)
         return out
 
-    monkeypatch.setattr(quality, "_taught", watch)
-    quality.trained(docs, labels, rounds=2)
-    assert len(seen) == 2 and {(0, 0), (0, 1)} <= seen[0]
+    monkeypatch.setattr(quality, "_counts", watch)
+    first, _ = quality.trained(docs, labels, rounds=0)
+    taught, measured = quality.trained(docs, labels, rounds=2)
+    assert len(seen) == 2 and seen[0][0][0].min() > 0  # the text view is sure of both labels
+    assert not np.allclose(first.text, taught.text) or seen[0][0][1].sum() == 0
+    assert any(not np.allclose(a, b) for a, b in zip(first.values.odds, taught.values.odds, strict=True))
+    # every document of which the text view is sure counts: by brute force over the measures
+    table = measured.toArrow()
+    x, columns = quality._unpacked(table)
+    model, _ = quality.trained(docs, labels, rounds=0)
+    p = sigmoid(model.odds(x, model.values.codes(columns)))[:, 0]
+    assert seen[0][0][0].tolist() == [(p <= 1 - quality.SURE).sum(), (p >= quality.SURE).sum()]
+
+
+def test_newton_sums_are_those_of_one_table(corpus):
+    docs, labels = corpus
+    model, measured = quality.trained(docs, labels, rounds=0)
+    table = measured.toArrow()
+    x, columns = quality._unpacked(table)
+    fit = np.arange(len(x)) < 300
+    values = sigmoid(model.odds(x, model.values.codes(columns)))
+    labelled = np.where(values[:, 1] >= quality.SURE, 1, np.where(values[:, 1] <= 1 - quality.SURE, 0, -1))
+    y = (values[:, 0] >= 0.5).astype(int)
+    got = quality._stepped(measured, model, x[fit], y[fit], np.array([0.5, 0.25]))
+    sure = labelled >= 0
+    rows, told = np.concatenate([x[fit], x[sure]]), np.concatenate([y[fit], labelled[sure]])
+    weight = np.concatenate([np.ones(fit.sum()), np.where(labelled[sure] == 1, 0.25, 0.5)])
+    mean, spread = x[fit].mean(axis=0), x[fit].std(axis=0)
+    spread[spread < 1e-9] = 1.0
+    z = np.c_[np.ones(len(rows)), (rows - mean) / spread]
+    beta = np.append(model.text[0] + model.text[1:] @ mean, model.text[1:] * spread)
+    penalty = np.ones(len(beta))
+    penalty[0] = 1e-6
+    for _ in range(quality.STEPS):
+        p = sigmoid(z @ beta)
+        curve = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty)
+        step = np.linalg.solve(curve, z.T @ (weight * (told - p)) - penalty * beta)
+        beta = beta + step / max(1.0, np.abs(step).max() / 4)
+    assert got[1:] * spread == pytest.approx(beta[1:], rel=1e-4, abs=1e-6)
+
+
+def test_words_are_read_and_repeated_identifiers_bounded(spark, prose):
+    rows = [(k, prose(k, 40) + (" lovely" if k % 2 else " dreary"), "en", "s") for k in range(400)] + [(1, prose(1, 40) + " dreary", "en", "s")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    out = {(r.doc_id, r.held_out): r for r in quality.scored(docs, labels).collect()}
+    tested = [r for (i, h), r in out.items() if h and i != 1]
+    assert len(tested) > 50 and np.mean([r.predicted == r.doc_id % 2 for r in tested]) > 0.85
+    few = toxicity.one_each(docs.select("doc_id", "text"), labels.withColumnRenamed("quality", "label"))
+    assert few.count() == 400
 
 
 def test_toxicity_on_held_out_rows(corpus):
