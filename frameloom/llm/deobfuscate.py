@@ -28,8 +28,8 @@ LOOKS_LIKE = {
 }
 #: Marks that may stand between letters.
 MARKS = ".-_·*~'​"
-#: Words longer than this are not disguises but keys and numbers.
-LONGEST = 32
+#: Longer words are decoded too, but not remembered; a run of more than STARS equal * is an ornament and stands for nothing.
+REMEMBERED, STARS = 128, 12
 #: Log probabilities of the channel: a sign for a letter, a sign for itself, a mark put in, letters repeated once or more.
 _SIGN, _ITSELF, _MARK, _TWICE = -1.0, -9.0, -0.5, -1.5
 
@@ -55,7 +55,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 continue
             often = np.bincount(codes, minlength=len(words))
             listed = pc.utf8_trim(pa.array(words, pa.large_string()), ".,;:!?()\"'|#$%&*")
-            plain = pc.and_(pc.utf8_is_alpha(listed), pc.less_equal(pc.utf8_length(listed), LONGEST)).to_numpy(zero_copy_only=False)
+            plain = pc.utf8_is_alpha(listed).to_numpy(zero_copy_only=False)
             listed, often = listed.filter(pa.array(plain)), often[plain]
             if not len(listed):
                 continue
@@ -100,7 +100,7 @@ class Channel:
             if len(self.known) > 200_000:
                 self.known.clear()
             found = self._decode(word)
-            if len(word) <= 4 * LONGEST:
+            if len(word) <= REMEMBERED:
                 self.known[word] = found
         return found
 
@@ -110,6 +110,7 @@ class Channel:
         back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []  # for each place, where a state came from
         places = lattice(word)
         lead, tail = len(word) - len(word.lstrip("*")), len(word) - len(word.rstrip("*"))
+        lead, tail = lead * (lead <= STARS), tail * (tail <= STARS)
         if lead in self.led:  # the same after as many * for all words
             states, back = self.led[lead][0], list(self.led[lead][1])
         for options in places[len(back) : len(places) - tail]:
@@ -166,7 +167,7 @@ class Channel:
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each place of a word the letters that it may stand for, with log probabilities; an empty one is left out.
 
-    Three or more equal characters stand for one or two letters, but each * for one of its own. A space in the word ends
+    Three or more equal characters stand for one or two letters, but each * for one of its own, up to STARS of them. A space in the word ends
     a word or is left out, and signs at the edges of pieces between spaces may be left out.
     """
     out: list[list[tuple[str, float]]] = []
@@ -189,7 +190,9 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             options = [(c, 0.0)]
         if c in MARKS or (spaced and not c.isalnum() and (word[k - 1 : k] in ("", " ")) != (word[k + 1 : k + 2] in ("", " "))):
             options.append(("", _MARK))
-        if n < 3 or c == "*":
+        if c == "*" and n > STARS:
+            k = to
+        elif n < 3 or c == "*":
             out.append(options)
             k += 1
         else:

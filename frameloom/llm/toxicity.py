@@ -10,8 +10,10 @@
 4. One more pass scores every document.
 
 Only text is looked at. Null, empty and blank texts have no features and get the score of such texts in the sample's
-regression. Labels that are null or repeated: nulls are left out, and of several the largest counts. Without labels of
-both classes every score is the share of label 1, or 0. Rows with missing identifiers count as held out.
+regression; very long texts and words are read whole. Labels that are null or repeated: nulls are left out, and of several
+the largest counts; of several texts under a labelled identifier the one with the smallest hash is learnt from. Without
+labels of both classes every score is the share of label 1, or 0. Rows with missing identifiers count as held out. Repeated
+rows are scored alike, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, slices, words_of
-from .deobfuscate import DISGUISED, LONGEST, LOOKS_LIKE, Channel, character_counts, spaced_runs
+from .deobfuscate import DISGUISED, LOOKS_LIKE, Channel, character_counts, spaced_runs
 from .regression import fitted, sigmoid
 
-#: Labelled rows that the classifier is fitted on at most, and features that it keeps at most.
-LABELLED_ROWS, MOST_FEATURES = 60_000, 50_000
+#: Labelled rows that the classifier is fitted on at most.
+LABELLED_ROWS = 60_000
+#: A longer word is a feature by its digest.
+NAMED = 64
 #: Text bytes whose features are counted together before they are shuffled.
 COUNTED_BYTES = 8 << 20
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -87,7 +92,7 @@ class Words:
         codes, offsets, words = words_of(texts, "utf8")
         listed = pc.utf8_trim(pa.array(words, pa.large_string()), _OUTER)
         signed = pc.utf8_trim(pa.array(words, pa.large_string()), _PLAIN_OUTER)  # outer signs may be letters
-        odd = [pc.match_substring_regex(x, DISGUISED).to_numpy(zero_copy_only=False).astype(bool) & (pc.utf8_length(x).to_numpy(zero_copy_only=False) <= LONGEST) for x in (listed, signed)]
+        odd = [pc.match_substring_regex(x, DISGUISED).to_numpy(zero_copy_only=False).astype(bool) for x in (listed, signed)]
         odd[1] &= pc.not_equal(signed, listed).to_numpy(zero_copy_only=False).astype(bool)
         asked = [(k, 0, x) for k, x in zip(np.flatnonzero(odd[0]).tolist(), listed.filter(pa.array(odd[0])).to_pylist(), strict=True)]
         spelt = zip(np.flatnonzero(odd[1]).tolist(), map(readings, signed.filter(pa.array(odd[1])).to_pylist()), strict=True)
@@ -114,7 +119,11 @@ class Words:
     def features(self) -> list[pa.Array]:
         """The features of every distinct word; null where it has none of that kind."""
         size = pc.utf8_length(self.listed)
-        whole = pc.if_else(pc.and_(pc.greater(size, 1), pc.less_equal(size, 2 * LONGEST)), self.listed, None)
+        whole = pc.if_else(pc.greater(size, 1), self.listed, None)
+        long = pc.greater(size, NAMED)
+        if pc.any(long).as_py():
+            named = pa.array(["#" + xxhash.xxh3_128_hexdigest(x) for x in self.listed.filter(long).to_pylist()], pa.large_string())
+            whole = pc.replace_with_mask(whole, long, named)
         out = [whole]
         for k in STEMS:
             stem = pc.binary_join_element_wise(pc.utf8_slice_codeunits(self.listed, 0, k), pa.scalar("*", pa.large_string()), pa.scalar("", pa.large_string()))
@@ -158,7 +167,7 @@ def _chosen(counts: DataFrame, ones: int, zeros: int) -> tuple[pa.Array, np.ndar
         counts = counts.withColumn("ratio", 2 * (part(F.col("n1"), share) + part(F.col("n0"), 1 - share)))
         many = counts.count()
         strong = counts.where((F.col("n1") > n * share) & (F.col("ratio") >= 2 * math.log(max(many, 2))))
-        rows = strong.orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).collect()
+        rows = strong.orderBy(F.desc("ratio"), "feature").collect()  # of the words of LABELLED_ROWS texts
     odds = [math.log((x.n1 + 0.5) / (ones + 1)) - math.log((x.n0 + 0.5) / (zeros + 1)) for x in rows]
     return pa.array([x.feature for x in rows], pa.large_string()), np.array(odds, float)
 

@@ -6,9 +6,9 @@
    the shuffle and the join's hot digests can be split, so a payload that most pages share costs no more than others.
 3. write_archives(): the pages meet their resolved headers and each task writes gzipped WARC/1.1 records with fresh
    headers; a revisit has the HTTP header of its response but no payload.
-4. read_archives(): the archives are parsed again, record by record.
+4. read_archives(): the archives are parsed again, record by record; with_bodies() joins revisits to their responses.
 
-Null payloads and addresses are empty ones. Rows that repeat an identifier and a payload have the same record type; a
+Very long payloads are read whole. Null payloads and addresses are empty ones. Rows that repeat an identifier and a payload have the same record type; a
 missing identifier sorts after all others, and its revisit target is missing too. An empty table gives no archives.
 """
 
@@ -171,3 +171,16 @@ def read_archives(archives: DataFrame, bodies: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
     return archives.select("path").repartition(shuffle_width(spark)).mapInArrow(run, RECORDS)
+
+
+def with_bodies(records: DataFrame) -> DataFrame:
+    """read_archives() with the body of every record: a revisit has that of the response that it refers to.
+
+    Responses are one row for each identifier and digest, so a response that most revisits refer to may be split from the
+    other side. A revisit whose response is in none of the archives keeps a null body.
+    """
+    same = ["payload_digest", "payload_bytes"]
+    first = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("of"), *same).agg(F.min("body").alias("found"))
+    told = records.where("record_type = 'revisit'").alias("r").join(first.alias("f"), [*(F.col(f"r.{c}") == F.col(f"f.{c}") for c in same), F.col("refers_to").eqNullSafe(F.col("of"))], "left")
+    told = told.select("page_id", "record_type", "url", *[F.col(f"r.{c}").alias(c) for c in same], "refers_to", F.col("found").alias("body"))
+    return records.where("record_type <> 'revisit'").unionByName(told)

@@ -229,3 +229,15 @@ def test_spaced_runs_are_cut_into_words(spark, prose):
     assert {"you", "idiot"} <= set(words[0]) and "idiot" in words[1] and "idiot" in words[2] and "idiot" in words[4]
     assert words[3].count("stupid") == 6 and any(x.startswith("stupid") for x in words[5]) and "stupid" in words[8]
     assert not any("stupid" in x for own in words[9:] for x in own)  # runs end with their texts
+
+
+def test_no_length_ends_the_search(spark, prose):
+    bad = ["idiot", "stupid", "you", "are"]
+    channel = Channel.of(character_counts(spark.createDataFrame([(prose(k, 200) + " " + " ".join(bad * 9),) for k in range(20)], "text string")))
+    long = ".".join("youarestupid" * 4)
+    assert "stupid" in channel.restore(long) and channel.restore("a" + "*" * 3000 + "b") == "ab"
+    texts = [long, "x" * 5000, "q" * 70 + " fine"]
+    found = toxicity.Words(pa.array(texts, pa.large_string()), channel)
+    assert any("stupid" in x.as_py() for x in found.listed)
+    names = found.features()[0]
+    assert sum(str(x.as_py()).startswith("#") for x in names) >= 2 and all(len(x.as_py() or "") <= 64 for x in names)

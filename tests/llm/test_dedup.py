@@ -128,6 +128,15 @@ def test_exact_copies(spark):
     assert len(least) == len(kept) and max(least) <= 300
 
 
+def test_ties_and_clashing_names(spark):
+    rows = [(1, "A b", "x", "p", 5, 0.5), (1, "a B", "y", "q", 6, 0.5), (None, "c", "z", "r", 7, 0.5), (2, "C", "w", "s", 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, norm string, _norm string, id long, lead double")
+    first = sorted(map(tuple, contentsort.without_copies(df).collect()))
+    again = sorted(map(tuple, contentsort.without_copies(df.repartition(3).orderBy("id")).collect()))
+    assert first == again and len(first) == 2 and (2, "C", "w", "s", 8, None) in first
+    assert contentsort.mark_copies(df).count() == 4
+
+
 def test_exact_copies_bear_odd_rows(odd, empty):
     assert contentsort.mark_copies(odd).count() == odd.count()
     left = contentsort.without_copies(odd)

@@ -119,6 +119,8 @@ def test_archives_round_trip(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in got)
     texts = {r.page_id: r.body for r in got if r.record_type == "response"}
     assert texts[900] == "z" * 3_000_000 and archives.agg(F.sum("n_records")).first()[0] == len(rows)
+    whole = warc.with_bodies(warc.read_archives(archives)).collect()
+    assert sorted((str(r.page_id), r.body) for r in whole) == sorted((str(i), h or "") for i, _, h in rows)
     small = {(r.page_id, r.record_type) for r in warc.resolved(warc.headers(pages), least=5).collect() if r.payload_bytes < 5}
     assert small and all(kind == "response" for _, kind in small)
     nothing = pages.limit(0)
