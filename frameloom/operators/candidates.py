@@ -84,6 +84,52 @@ def clusters(candidates: DataFrame, links: DataFrame, identifier: str, x: str, y
     return members.join(inside, "component")
 
 
+def box_links(candidates: DataFrame, identifier: str, radius: float, least: float) -> DataFrame:
+    """(a, b, distance, bbox_iou, reasons) of candidates whose centroids lie near or whose boxes overlap.
+
+    candidates: identifier, centroid_x, centroid_y, bbox_x, bbox_y, bbox_width_px, bbox_height_px. Boxes that overlap have
+    corners no further apart than the widest box, so pairs are found by equal bins of that width.
+    """
+    wide = candidates.agg(F.max("bbox_width_px").alias("w"), F.max("bbox_height_px").alias("h")).first()
+    names = ("centroid_x", "centroid_y", "bbox_x", "bbox_y", "bbox_width_px", "bbox_height_px")
+    side = lambda n: candidates.select(F.col(identifier).alias(n), *[F.col(c).cast("double").alias(f"{c}_{n}") for c in names])
+    a, b = side("a"), side("b")
+    near = binned_join(a, b, [], [("centroid_x_a", "centroid_x_b", radius), ("centroid_y_a", "centroid_y_b", radius)])
+    over = binned_join(a, b, [], [("bbox_x_a", "bbox_x_b", float(wide.w or 0)), ("bbox_y_a", "bbox_y_b", float(wide.h or 0))])
+    pairs = near.where("a < b").unionByName(over.where("a < b")).distinct()
+    c = lambda x, n: F.col(f"{x}_{n}")
+    shared = lambda at, size: F.greatest(F.lit(0.0), F.least(c(at, "a") + c(size, "a"), c(at, "b") + c(size, "b")) - F.greatest(c(at, "a"), c(at, "b")))
+    both = shared("bbox_x", "bbox_width_px") * shared("bbox_y", "bbox_height_px")
+    either = c("bbox_width_px", "a") * c("bbox_height_px", "a") + c("bbox_width_px", "b") * c("bbox_height_px", "b") - both
+    pairs = pairs.withColumns({"distance": F.hypot(c("centroid_x", "a") - c("centroid_x", "b"), c("centroid_y", "a") - c("centroid_y", "b")), "bbox_iou": ratio(both, either)})
+    reasons = F.array(F.when(F.col("distance") <= radius, F.lit("nearby_centroids")), F.when((F.col("bbox_iou") >= least) & (F.col("bbox_iou") > 0), F.lit("overlapping_bboxes")))
+    return pairs.select("a", "b", "distance", "bbox_iou", F.filter(reasons, lambda x: x.isNotNull()).alias("reasons")).where(F.size("reasons") > 0)
+
+
+def cluster_summary(candidates: DataFrame, links: DataFrame, identifier: str) -> DataFrame:
+    """Per connected group of box_links(): size, centroid, box around all, area, largest IoU, least distance, issue codes
+    and the action that they suggest. candidates also have area_px."""
+    parts = connected_components(links).withColumnRenamed("id", "_id")
+    rows = candidates.join(parts, F.col(identifier) == F.col("_id"))
+    end = lambda at, size: F.max(F.col(at) + F.col(size))
+    members = rows.groupBy("component").agg(
+        F.count("*").alias("candidate_count"), F.avg("centroid_x").alias("centroid_x"), F.avg("centroid_y").alias("centroid_y"), F.min("bbox_x").alias("x"), F.min("bbox_y").alias("y"),
+        end("bbox_x", "bbox_width_px").alias("x1"), end("bbox_y", "bbox_height_px").alias("y1"), F.sum("area_px").alias("area_px_sum"), F.min("area_px").alias("least_area"), F.max("area_px").alias("most_area"),
+    )
+    inside = links.join(parts, F.col("a") == F.col("_id")).groupBy("component").agg(F.max("bbox_iou").alias("max_iou"), F.min("distance").alias("min_distance"))
+    out = members.join(inside, "component")
+    codes = F.array(
+        F.when(F.col("max_iou") >= 0.25, F.lit("possible_duplicate")), F.when(F.col("candidate_count") >= 3, F.lit("clustered_candidates")), F.when(F.col("min_distance") <= 3.0, F.lit("close_centroids")),
+        F.when(F.col("most_area") >= 1.8 * F.greatest(F.lit(1.0), F.col("least_area")), F.lit("split_merge_review")),
+    )
+    codes = F.array_sort(F.filter(codes, lambda x: x.isNotNull()))
+    out = out.withColumn("issue_codes", F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("spatially_related"))))
+    has = lambda code: F.array_contains("issue_codes", code)
+    action = F.when(has("possible_duplicate"), "review_duplicate_or_merge").when(has("split_merge_review"), "review_split_merge").otherwise("review_cluster_context")
+    size = {"width": F.col("x1") - F.col("x"), "height": F.col("y1") - F.col("y"), "suggested_action": action}
+    return out.withColumns(size).drop("x1", "y1", "least_area", "most_area")
+
+
 def shared_items(rows: DataFrame, owner: str, item: str) -> DataFrame:
     """(a, b, n_both, iou) of owners whose item sets have something in common, by an equal join on the items."""
     sets = rows.select(owner, item).distinct()

@@ -13,10 +13,10 @@ from ..functions.expr import ratio
 from .joins import asof_backward, binned_join
 
 
-def in_tolerance(gt: DataFrame, det: DataFrame, tolerance: float) -> DataFrame:
-    """(frame, gt_id, x, det_idx, dx, z) of pairs in one frame whose places differ by the tolerance at most."""
-    right = det.select("frame", "det_idx", F.col("x").alias("dx"), "z")
-    return binned_join(gt.select("frame", "gt_id", "x"), right, ["frame"], [("x", "dx", tolerance)])
+def in_tolerance(gt: DataFrame, det: DataFrame, tolerance: float, by: Sequence[str] = ()) -> DataFrame:
+    """(frame, gt_id, x, y, det_idx, dx, dy, z) of pairs in one frame whose places (x, y) lie the tolerance apart at most."""
+    right = det.select("frame", "det_idx", F.col("x").alias("dx"), F.col("y").alias("dy"), "z", *by)
+    return binned_join(gt.select("frame", "gt_id", "x", "y"), right, ["frame"], [("x", "dx", tolerance), ("y", "dy", tolerance)], circle=tolerance)
 
 
 def froc_sweep(gt: DataFrame, det: DataFrame, thresholds: Sequence[float], tolerance: float, frames: int, by: Sequence[str] = ()) -> DataFrame:
@@ -29,9 +29,8 @@ def froc_sweep(gt: DataFrame, det: DataFrame, thresholds: Sequence[float], toler
     spark = gt.sparkSession
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
     reached = lambda z: F.explode(F.filter(levels, lambda t: z >= t))
-    near = binned_join(gt.select("frame", "gt_id", "x"), det.select("frame", "det_idx", F.col("x").alias("dx"), "z", *by), ["frame"], [("x", "dx", tolerance)])
-    near = near.withColumn("threshold", reached(F.col("z")))
-    credited = near.groupBy("threshold", *by, "frame", "gt_id", "x").agg(F.min("det_idx").alias("det_idx"))
+    near = in_tolerance(gt, det, tolerance, by).withColumn("threshold", reached(F.col("z")))
+    credited = near.groupBy("threshold", *by, "frame", "gt_id", "x", "y").agg(F.min("det_idx").alias("det_idx"))
     hits = credited.groupBy("threshold", *by).agg(F.count("*").alias("tp"), F.count_distinct("frame", "det_idx").alias("credited"))
     counts = det.withColumn("threshold", reached(F.col("z"))).groupBy("threshold", *by).agg(F.count("*").alias("n_det"))
     grid = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
@@ -88,6 +87,39 @@ def detection_latency(onsets: DataFrame, detections: DataFrame, by: str, at: str
     return onsets.select(by, F.col(at).alias("onset")).distinct().join(first, [by, "onset"], "left").withColumn("latency", F.col("found") - F.col("onset"))
 
 
+def located_latency(truth: DataFrame, detections: DataFrame, by: str, at: str, tolerance: float) -> DataFrame:
+    """Per identifier the first detection at or after its onset that lies near its place at that time, or its last one before.
+
+    truth: by, at, x, y for every time at which the object is somewhere; its onset is the first. detections: at, x, y and
+    by, the identifiers whose objects may be meant.
+    """
+    held = asof_backward(detections.select(by, at, F.col("x").alias("dx"), F.col("y").alias("dy")), truth.select(by, at, "x", "y"), [by], at, ["x", "y"])
+    near = held.where(F.sqrt(F.pow(F.col("dx") - F.col("x"), 2) + F.pow(F.col("dy") - F.col("y"), 2)) <= tolerance)
+    first = near.groupBy(by).agg(F.min(at).alias("found"))
+    onsets = truth.groupBy(by).agg(F.min(at).alias("onset"))
+    return onsets.join(first, by, "left").withColumn("latency", F.col("found") - F.col("onset"))
+
+
+def match_metrics(truth: DataFrame, candidates: DataFrame, eligible: DataFrame, matches: DataFrame, gt: str, cand: str, means: Sequence[str] = ()) -> DataFrame:
+    """One row: counts, TP, FP, FN, precision and recall of one-to-one matches, means of columns of matches, and how many
+    candidates are duplicates (eligible but unmatched), truths split (several eligible) and candidates merged."""
+    one = lambda df, *aggs: F.broadcast(df.agg(*aggs))  # one row each
+    by_gt = eligible.groupBy(gt).agg(F.count_distinct(cand).alias("n"))
+    by_cand = eligible.groupBy(cand).agg(F.count_distinct(gt).alias("n"))
+    out = truth.agg(F.count("*").alias("count_gt")).crossJoin(one(candidates, F.count("*").alias("count_candidate")))
+    out = out.crossJoin(one(matches, F.count("*").alias("TP"), *[F.avg(c).alias(f"mean_{c}") for c in means], *[F.avg(F.abs(c)).alias(f"mean_abs_{c}") for c in means]))
+    out = out.crossJoin(one(by_cand.join(matches.select(cand).distinct(), cand, "left_anti"), F.count("*").alias("duplicate_candidate_count")))
+    out = out.crossJoin(one(by_gt, F.count_if(F.col("n") > 1).alias("split_ground_truth_count"))).crossJoin(one(by_cand, F.count_if(F.col("n") > 1).alias("merged_candidate_count")))
+    share = lambda n, of: F.coalesce(ratio(F.col(n), F.col(of)), F.lit(0.0))
+    return out.withColumns(
+        {
+            "FP": F.col("count_candidate") - F.col("TP"), "FN": F.col("count_gt") - F.col("TP"), "precision": share("TP", "count_candidate"), "recall": share("TP", "count_gt"),
+            "duplicate_rate": share("duplicate_candidate_count", "count_candidate"), "split_rate": share("split_ground_truth_count", "count_gt"),
+            "merge_rate": share("merged_candidate_count", "count_candidate"),
+        }
+    )
+
+
 def latency_summary(latencies: DataFrame, value: str = "latency") -> DataFrame:
     v = F.col(value)
     return latencies.agg(
@@ -97,7 +129,8 @@ def latency_summary(latencies: DataFrame, value: str = "latency") -> DataFrame:
 
 def false_positive_taxonomy(detections: DataFrame, structures: DataFrame, radius: float) -> DataFrame:
     """Counts and shares of detections near a structure of their frame and of others."""
-    marked = binned_join(detections.select("frame", "det_idx", "x"), structures.select("frame", F.col("x").alias("sx")), ["frame"], [("x", "sx", radius)], "left_semi")
+    places = structures.select("frame", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    marked = binned_join(detections.select("frame", "det_idx", "x", "y"), places, ["frame"], [("x", "sx", radius), ("y", "sy", radius)], "left_semi", circle=radius)
     near = marked.agg(F.count("*").alias("near"))
     total = detections.agg(F.count("*").alias("total"))
     both = near.crossJoin(total)

@@ -15,11 +15,12 @@ from ..graph import _kept
 AT_ONCE = 50_000
 
 
-def binned_join(left: DataFrame, right: DataFrame, on: Sequence[str], near: Sequence[tuple[str, str, float]], how: str = "inner") -> DataFrame:
+def binned_join(left: DataFrame, right: DataFrame, on: Sequence[str], near: Sequence[tuple[str, str, float]], how: str = "inner", circle: float | None = None) -> DataFrame:
     """Rows of left and right that agree in `on` and lie within a radius in each of `near` (left column, right column, radius).
 
     Both sides are put into bins one radius wide and right is repeated into the neighbouring bins, so the join has equal
     keys and each pair meets once. Column names of the two sides differ but for `on`; rows with a null in a key never meet.
+    circle: the largest distance over all of `near` together.
     """
     a, b = left, right
     keys = list(on)
@@ -29,7 +30,10 @@ def binned_join(left: DataFrame, right: DataFrame, on: Sequence[str], near: Sequ
         at = F.floor(F.col(y) / width)
         b = b.withColumn(f"_bin{k}", F.explode(F.array(at - 1, at, at + 1)))
         keys.append(f"_bin{k}")
+    apart = lambda x, y: F.pow(F.col(x).cast("double") - F.col(y).cast("double"), 2)
     close = [F.abs(F.col(x) - F.col(y)) <= radius for x, y, radius in near]
+    if circle is not None:
+        close.append(F.sqrt(sum((apart(x, y) for x, y, _ in near), F.lit(0.0))) <= circle)
     if how == "inner":
         out = a.join(b, keys)
         for c in close:
@@ -38,6 +42,8 @@ def binned_join(left: DataFrame, right: DataFrame, on: Sequence[str], near: Sequ
     if how not in ("left_semi", "left_anti"):
         raise ValueError("how is inner, left_semi or left_anti")
     condition = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.abs(F.col(f"a.{x}") - F.col(f"b.{y}")) <= radius for x, y, radius in near]
+    if circle is not None:
+        condition.append(F.sqrt(sum((apart(f"a.{x}", f"b.{y}") for x, y, _ in near), F.lit(0.0))) <= circle)
     out = a.alias("a").join(b.alias("b"), condition, how)
     return out.drop(*[f"_bin{k}" for k in range(len(near))])
 
@@ -113,12 +119,3 @@ def _first_in_turn(pairs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return pairs.orderBy("_rank").limit(AT_ONCE).coalesce(1).sortWithinPartitions("_rank").mapInArrow(run, pairs.schema)
-
-
-def pairs_of(rows: DataFrame, within: Sequence[str], by: Column, names: Sequence[str]) -> DataFrame:
-    """Pairs of rows that agree in `within`, the first smaller by `by`: columns name_a and name_b."""
-    a = rows.select(*within, by.alias("_by_a"), *[F.col(c).alias(f"{c}_a") for c in names])
-    b = rows.select(*within, by.alias("_by_b"), *[F.col(c).alias(f"{c}_b") for c in names])
-    joined = a.join(b, list(within)) if within else a.crossJoin(b)
-    return joined.where("_by_a < _by_b").drop("_by_a", "_by_b")
-

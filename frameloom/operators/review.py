@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +64,34 @@ def triage(rows: DataFrame, identifier: str, categories: dict[str, Column]) -> D
     return rows.select(identifier, F.explode(marks).alias("category"))
 
 
+def _empty(c: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(c)), F.lit("")).isin("", "none")
+
+
+def region_categories(c: Mapping[str, Column], grouped: Column) -> dict[str, Column]:
+    """The triage categories of a region. c: cell_state, trace_quality, control_ready, artifact_class, needs_action,
+    artifact_score; grouped: whether other regions share its identity group."""
+    artifact = ~_empty(c["artifact_class"]) | (F.coalesce(c["artifact_score"], F.lit(0.0)) >= 0.4)
+    return {
+        "strong_neuron": (c["cell_state"] == "accepted") & (c["trace_quality"] == "good") & c["control_ready"].isin("yes", "maybe") & ~artifact,
+        "artifact_like": artifact,
+        "merged_cluster": F.coalesce(F.lower(c["needs_action"]).contains("merge"), F.lit(False)) | grouped,
+        "weak_trace": c["trace_quality"].isin("weak", "noisy", "unusable"),
+    }
+
+
+def suggestion_categories(c: Mapping[str, Column]) -> dict[str, Column]:
+    """The triage categories of a suggestion. c: state, artifact_class, artifact_cue, artifact_score."""
+    artifact = (c["state"] == "artifact") | ~_empty(c["artifact_class"]) | ~_empty(c["artifact_cue"]) | (F.coalesce(c["artifact_score"], F.lit(0.0)) >= 0.4)
+    return {"possible_missed_neuron": c["state"].isin("missed", "promoted"), "artifact_like": artifact}
+
+
+def event_categories(c: Mapping[str, Column]) -> dict[str, Column]:
+    """The triage category of an event. c: event_state, event_type, timing_quality."""
+    waits = F.coalesce(c["event_state"], F.lit("unlabeled")).isin("unlabeled", "", "unsure")
+    return {"needs_event_review": waits | (F.lower(F.trim(c["event_type"])) == "weak") | c["timing_quality"].isin("ambiguous", "slow_transient")}
+
+
 def guided_queues(rows: DataFrame, identifier: str, score: str, queues: dict[str, Column], limit: int) -> DataFrame:
     """The first `limit` rows of each queue by falling score, with their place and the queue's full length.
 
@@ -88,7 +116,7 @@ def next_batch(parents: DataFrame, children: DataFrame, key: str, child: str, sc
 
 def export_rows(rows: DataFrame, annotations: DataFrame, key: str, state: str, keep: Sequence[str] | None) -> DataFrame:
     """rows with their annotation, those in a state to keep (None: all), unlabelled ones as such."""
-    joined = rows.join(annotations, key, "left").withColumn(state, F.coalesce(state, F.lit("unlabelled")))
+    joined = rows.join(annotations, key, "left").withColumn(state, F.coalesce(state, F.lit("unlabeled")))
     return joined if keep is None else joined.where(F.col(state).isin(*keep))
 
 

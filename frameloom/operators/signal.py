@@ -72,10 +72,21 @@ def apart(peaks: DataFrame, by: Sequence[str], at: str, least: int) -> DataFrame
 
 
 def rise(rows: DataFrame, by: Sequence[str], at: str, value: str, before: int = 4, after: int = 8) -> DataFrame:
-    """rows with the mean of the places before, the largest of those after, and their difference."""
+    """rows with pre (median of the places before), post (largest of those after), rise (value less pre) and rise_z.
+
+    rise_z is the rise in units of the spread before: 1.4826 times the median distance from pre, 1 at least. Without places
+    before or after, the value itself stands for pre or post. The frames are short, so their lists are.
+    """
     order = Window.partitionBy(*by).orderBy(at)
-    pre, post = F.avg(value).over(order.rowsBetween(-before, -1)), F.max(value).over(order.rowsBetween(1, after))
-    return rows.withColumn("pre", pre).withColumn("post", post).withColumn("rise", F.col("post") - F.col("pre"))
+    middle = lambda a: (a[F.floor((F.size(a) - 1) / 2).cast("int")] + a[F.floor(F.size(a) / 2).cast("int")]) / 2
+    held = F.array_sort(F.collect_list(F.col(value).cast("double")).over(order.rowsBetween(-before, -1)))
+    rows = rows.withColumn("pre", held)
+    own = F.when(F.size("pre") > 0, middle(F.col("pre"))).otherwise(F.col(value))
+    rows = rows.withColumn("pre", F.struct(F.col("pre").alias("all"), own.alias("mid")))
+    spread = F.greatest(F.lit(1.0), 1.4826 * middle(F.array_sort(F.transform("pre.all", lambda x: F.abs(x - F.col("pre.mid"))))))
+    rows = rows.withColumn("rise_z", (F.col(value) - F.col("pre.mid")) / F.when(F.size("pre.all") > 0, spread).otherwise(1.0))
+    rows = rows.withColumn("pre", F.col("pre.mid")).withColumn("rise", F.col(value) - F.col("pre"))
+    return rows.withColumn("post", F.coalesce(F.max(value).over(order.rowsBetween(1, after)), F.col(value)))
 
 
 def islands(rows: DataFrame, by: Sequence[str], at: str) -> DataFrame:

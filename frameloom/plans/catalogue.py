@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -74,12 +74,12 @@ def trace_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 # --- matching of events and detections ---
 
-_GT = "gt AS (SELECT hour AS frame, event_id AS gt_id, value AS x FROM e WHERE event_type = 'purchase')"
-_DET = "det AS (SELECT hour AS frame, event_id AS det_idx, value AS x, k::DOUBLE AS z, event_type FROM e WHERE event_type IN ('click', 'view'))"
+_GT = "gt AS (SELECT hour AS frame, event_id AS gt_id, value AS x, (user_id % 20)::DOUBLE AS y FROM e WHERE event_type = 'purchase')"
+_DET = "det AS (SELECT hour AS frame, event_id AS det_idx, value AS x, (user_id % 20)::DOUBLE AS y, k::DOUBLE AS z, event_type FROM e WHERE event_type IN ('click', 'view'))"
 _THRESHOLDS = (90.0, 75.0, 50.0, 25.0, 10.0, 0.0)
 _SWEEP = f"""{{e}}, {_GT}, {_DET}, t AS (SELECT unnest([90.0, 75.0, 50.0, 25.0, 10.0, 0.0])::DOUBLE AS threshold),
     c AS (SELECT threshold, event_type, frame, gt_id, min(det_idx) AS det_idx FROM gt JOIN det USING (frame), t
-          WHERE abs(gt.x - det.x) <= 5 AND z >= threshold GROUP BY ALL),
+          WHERE sqrt((gt.x - det.x) ** 2 + (gt.y - det.y) ** 2) <= 5 AND z >= threshold GROUP BY ALL),
     h AS (SELECT threshold, event_type, count(*) AS tp, count(DISTINCT det_idx) AS credited FROM c GROUP BY ALL),
     n AS (SELECT threshold, event_type, count(*) FILTER (z >= threshold) AS n_det FROM det, t GROUP BY ALL),
     sweep AS (SELECT threshold, event_type, coalesce(tp, 0) AS tp, n_det - coalesce(credited, 0) AS fp, (SELECT count(*) FROM gt) - coalesce(tp, 0) AS fn,
@@ -87,13 +87,18 @@ _SWEEP = f"""{{e}}, {_GT}, {_DET}, t AS (SELECT unnest([90.0, 75.0, 50.0, 25.0,
               FROM n LEFT JOIN h USING (threshold, event_type))"""
 
 
+def _second() -> Column:
+    """The second coordinate of a place."""
+    return (F.col("user_id") % 20).cast("double").alias("y")
+
+
 def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("event_type = 'purchase'").select(F.col("hour").alias("frame"), F.col("event_id").alias("gt_id"), F.col("value").alias("x"))
+    return events(spark, d).where("event_type = 'purchase'").select(F.col("hour").alias("frame"), F.col("event_id").alias("gt_id"), F.col("value").alias("x"), _second())
 
 
 def _detections(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).where("event_type in ('click', 'view')")
-    return rows.select(F.col("hour").alias("frame"), F.col("event_id").alias("det_idx"), F.col("value").alias("x"), F.col("k").cast("double").alias("z"), "event_type")
+    return rows.select(F.col("hour").alias("frame"), F.col("event_id").alias("det_idx"), F.col("value").alias("x"), _second(), F.col("k").cast("double").alias("z"), "event_type")
 
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +126,7 @@ def operating_points(spark: SparkSession, d: str) -> DataFrame:
     return detection.operating_points(_sweep(spark, d), 10.0, ["event_type"]).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"""WITH {{e}}, {_GT}, {_DET}, p AS (SELECT gt_id, max(z) AS best_z FROM gt JOIN det USING (frame) WHERE abs(gt.x - det.x) <= 5 GROUP BY gt_id)
+@query(f"""WITH {{e}}, {_GT}, {_DET}, p AS (SELECT gt_id, max(z) AS best_z FROM gt JOIN det USING (frame) WHERE sqrt((gt.x - det.x) ** 2 + (gt.y - det.y) ** 2) <= 5 GROUP BY gt_id)
     SELECT gt.gt_id, best_z FROM (SELECT DISTINCT gt_id FROM gt) gt LEFT JOIN p USING (gt_id)""")
 def coverage_threshold(spark: SparkSession, d: str) -> DataFrame:
     return detection.coverage_threshold(_truth(spark, d), _detections(spark, d), 5.0)
@@ -135,6 +140,16 @@ def detection_latency(spark: SparkSession, d: str) -> DataFrame:
     return detection.detection_latency(rows.where("event_type = 'signup'"), rows.where("event_type = 'click'"), "user_id", "micros")
 
 
+@query("""WITH {e}, g AS (SELECT user_id, micros, max(value) AS x, max(k)::DOUBLE AS y FROM e WHERE event_type = 'view' GROUP BY ALL), o AS (SELECT user_id, min(micros) AS onset FROM g GROUP BY 1),
+    d AS (SELECT user_id, micros, value AS dx, k::DOUBLE AS dy FROM e WHERE event_type = 'click'), h AS (SELECT d.*, x, y FROM d ASOF JOIN g ON d.user_id = g.user_id AND d.micros >= g.micros),
+    f AS (SELECT user_id, min(micros) AS found FROM h WHERE sqrt((dx - x) ** 2 + (dy - y) ** 2) <= 30 GROUP BY 1)
+    SELECT o.user_id, onset, found, found - onset AS latency FROM o LEFT JOIN f USING (user_id)""")
+def located_latency(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).withColumns({"x": F.col("value"), "y": F.col("k").cast("double")})
+    truth = rows.where("event_type = 'view'").groupBy("user_id", "micros").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    return detection.located_latency(truth, rows.where("event_type = 'click'"), "user_id", "micros", 30.0)
+
+
 @query("""WITH {e}, s AS (SELECT user_id, micros, value AS last_value FROM e WHERE event_type = 'view'), p AS (SELECT event_id, user_id, micros FROM e WHERE event_type = 'purchase')
     SELECT event_id, p.user_id, p.micros, s.last_value FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.micros >= s.micros""")
 def asof_last_view(spark: SparkSession, d: str) -> DataFrame:
@@ -144,10 +159,10 @@ def asof_last_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH {e}, c AS (SELECT count(*) AS total FROM e WHERE event_type = 'click'),
-    n AS (SELECT count(*) AS near FROM e c WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM e x WHERE x.event_type = 'error' AND x.hour = c.hour AND abs(x.value - c.value) <= 6.75))
+    n AS (SELECT count(*) AS near FROM e c WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM e x WHERE x.event_type = 'error' AND x.hour = c.hour AND sqrt((x.value - c.value) ** 2 + (x.user_id % 20 - c.user_id % 20) ** 2) <= 6.75))
     SELECT 'structure' AS category, near AS n, 100.0::DOUBLE * (near / total) AS percentage FROM c, n UNION ALL SELECT 'isolated', total - near, 100.0::DOUBLE * ((total - near) / total) FROM c, n""")
 def false_positive_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    rows = events(spark, d).select(F.col("hour").alias("frame"), F.col("event_id").alias("det_idx"), F.col("value").alias("x"), "event_type")
+    rows = events(spark, d).select(F.col("hour").alias("frame"), F.col("event_id").alias("det_idx"), F.col("value").alias("x"), _second(), "event_type")
     return detection.false_positive_taxonomy(rows.where("event_type = 'click'"), rows.where("event_type = 'error'"), 6.75)
 
 
@@ -170,6 +185,25 @@ def event_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     return joins.greedy_match(_eligible(spark, d), "gt_id", "cand_id", ["apart", "gt_id", "cand_id"], ["user_id"])
 
 
+@query("""WITH {e}, g AS (SELECT user_id, event_id AS gt_id, micros, row_number() OVER (PARTITION BY user_id, hour // 6 ORDER BY micros, event_id) AS k, hour // 6 AS slot FROM e WHERE event_type = 'purchase'),
+    c AS (SELECT user_id, event_id AS cand_id, micros, row_number() OVER (PARTITION BY user_id, hour // 6 ORDER BY micros, event_id) AS k, hour // 6 AS slot FROM e WHERE event_type = 'click'),
+    p AS (SELECT g.gt_id, c.cand_id, g.k AS gk, c.k AS ck, (c.micros - g.micros) / 1000000.0::DOUBLE AS error FROM g JOIN c USING (user_id, slot)), m AS (SELECT * FROM p WHERE gk = ck),
+    bg AS (SELECT gt_id, count(DISTINCT cand_id) AS n FROM p GROUP BY 1), bc AS (SELECT cand_id, count(DISTINCT gt_id) AS n FROM p GROUP BY 1),
+    r AS (SELECT (SELECT count(*) FROM g) AS count_gt, (SELECT count(*) FROM c) AS count_candidate, (SELECT count(*) FROM m) AS "TP", round((SELECT avg(error) FROM m), 6) AS mean_error, round((SELECT avg(abs(error)) FROM m), 6) AS mean_abs_error,
+    (SELECT count(*) FROM bc WHERE cand_id NOT IN (SELECT cand_id FROM m)) AS duplicate_candidate_count, (SELECT count(*) FROM bg WHERE n > 1) AS split_ground_truth_count, (SELECT count(*) FROM bc WHERE n > 1) AS merged_candidate_count)
+    SELECT *, count_candidate - "TP" AS "FP", count_gt - "TP" AS "FN", round("TP" / count_candidate, 9) AS precision, round("TP" / count_gt, 9) AS recall, round(duplicate_candidate_count / count_candidate, 9) AS duplicate_rate,
+    round(split_ground_truth_count / count_gt, 9) AS split_rate, round(merged_candidate_count / count_candidate, 9) AS merge_rate FROM r""")
+def match_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases against clicks of the same user and six hours, the n-th with the n-th."""
+    rows = events(spark, d).withColumn("slot", F.floor(F.col("hour") / 6))
+    place = F.row_number().over(Window.partitionBy("user_id", "slot").orderBy("micros", "event_id"))
+    side = lambda kind, key, at, k: rows.where(F.col("event_type") == kind).select("user_id", "slot", F.col("event_id").alias(key), F.col("micros").alias(at), place.alias(k))
+    gt, found = side("purchase", "gt_id", "gt_at", "gk"), side("click", "cand_id", "cand_at", "ck")
+    pairs = gt.join(found, ["user_id", "slot"]).withColumn("error", (F.col("cand_at") - F.col("gt_at")) / 1e6)
+    out = detection.match_metrics(gt, found, pairs, pairs.where("gk = ck"), "gt_id", "cand_id", ["error"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_error", "mean_abs_error")} | {c: F.round(c, 9) for c in ("precision", "recall", "duplicate_rate", "split_rate", "merge_rate")})
+
+
 # --- candidates ---
 
 _FEATURES = """f AS (SELECT p_partkey, p_retailprice - 900 AS raw_score, p_size::DOUBLE AS peak_z, count(l_orderkey) AS event_count, coalesce(avg(l_quantity), 0) / 10 AS trace_snr,
@@ -240,6 +274,89 @@ def candidate_clusters(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6), "total_area": F.round("total_area", 4), "min_distance": F.round("min_distance", 6)})
 
 
+_BOXES = """p AS (SELECT p_partkey AS id, p_retailprice::DOUBLE AS x, (p_size * 4)::DOUBLE AS y, (p_size % 7 + 2)::DOUBLE AS w, (p_size % 5 + 3)::DOUBLE AS h FROM part),
+    q AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy FROM p),
+    n AS (SELECT a.id AS a, b.id AS b, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS distance,
+          greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS s, a.w * a.h + b.w * b.h AS t
+          FROM q a JOIN q b ON a.id < b.id AND abs(a.x - b.x) <= 10 AND abs(a.y - b.y) <= 10),
+    l AS (SELECT a, b, distance, s / (t - s) AS iou FROM n WHERE distance <= 2 OR s / (t - s) >= 0.2)"""
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("bbox_x"), (size * 4).cast("double").alias("bbox_y"), (size % 7 + 2).cast("double").alias("bbox_width_px"), (size % 5 + 3).cast("double").alias("bbox_height_px"))
+    rows = rows.withColumns({"centroid_x": F.col("bbox_x") + F.col("bbox_width_px") / 2, "centroid_y": F.col("bbox_y") + F.col("bbox_height_px") / 2})
+    return rows.withColumn("area_px", F.col("bbox_width_px") * F.col("bbox_height_px"))
+
+
+@query(f"""WITH {_BOXES} SELECT a, b, round(distance, 6) AS distance, round(iou, 6) AS bbox_iou,
+    array_to_string(list_filter([CASE WHEN distance <= 2 THEN 'nearby_centroids' END, CASE WHEN iou >= 0.2 THEN 'overlapping_bboxes' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l""")
+def candidate_box_links(spark: SparkSession, d: str) -> DataFrame:
+    links = candidates.box_links(_boxes(spark, d), "id", 2.0, 0.2)
+    return links.withColumns({"distance": F.round("distance", 6), "bbox_iou": F.round("bbox_iou", 6), "reasons": F.array_join("reasons", ",")})
+
+
+@query(f"""WITH RECURSIVE {_BOXES}, u AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r AS (SELECT x AS id, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.id),
+    c AS (SELECT id, min(root) AS component FROM r GROUP BY id),
+    m AS (SELECT component, count(*) AS candidate_count, avg(cx) AS cx, avg(cy) AS cy, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height, sum(w * h) AS area, min(w * h) AS lo, max(w * h) AS hi FROM q JOIN c USING (id) GROUP BY 1),
+    k AS (SELECT component, max(iou) AS max_iou, min(distance) AS min_distance FROM l JOIN c ON c.id = l.a GROUP BY 1),
+    z AS (SELECT *, list_sort(list_filter([CASE WHEN max_iou >= 0.25 THEN 'possible_duplicate' END, CASE WHEN candidate_count >= 3 THEN 'clustered_candidates' END, CASE WHEN min_distance <= 3 THEN 'close_centroids' END,
+          CASE WHEN hi >= 1.8 * greatest(1, lo) THEN 'split_merge_review' END], lambda v: v IS NOT NULL)) AS codes FROM m JOIN k USING (component))
+    SELECT component, candidate_count, round(cx, 6) AS centroid_x, round(cy, 6) AS centroid_y, round(x, 6) AS x, round(y, 6) AS y, round(width, 6) AS width, round(height, 6) AS height, round(area, 6) AS area_px_sum, round(max_iou, 6) AS max_iou,
+    round(min_distance, 6) AS min_distance, CASE WHEN len(codes) > 0 THEN array_to_string(codes, ',') ELSE 'spatially_related' END AS issue_codes,
+    CASE WHEN list_contains(codes, 'possible_duplicate') THEN 'review_duplicate_or_merge' WHEN list_contains(codes, 'split_merge_review') THEN 'review_split_merge' ELSE 'review_cluster_context' END AS suggested_action FROM z""")
+def candidate_cluster_summary(spark: SparkSession, d: str) -> DataFrame:
+    boxes = _boxes(spark, d)
+    out = candidates.cluster_summary(boxes, candidates.box_links(boxes, "id", 2.0, 0.2), "id")
+    numbers = ("centroid_x", "centroid_y", "x", "y", "width", "height", "area_px_sum", "max_iou", "min_distance")
+    return out.withColumns({c: F.round(c, 6) for c in numbers} | {"issue_codes": F.array_join("issue_codes", ",")})
+
+
+_SUGGESTED = """g AS (SELECT c_custkey AS id, c_acctbal::DOUBLE / 1000 AS priority, (c_custkey % 10) / 10.0::DOUBLE AS lc, (c_custkey % 7) / 7.0::DOUBLE AS es, (c_custkey % 11) / 20.0::DOUBLE AS artifact,
+    CASE WHEN c_nationkey % 3 = 0 THEN '' WHEN c_nationkey % 3 = 1 THEN 'missed' ELSE 'artifact' END AS state, CASE WHEN c_nationkey % 5 = 0 THEN 'edge_glow' ELSE 'none' END AS cue FROM customer)"""
+
+
+def _suggested(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    rows = table(spark, d, "customer").select(
+        key.alias("id"), (F.col("c_acctbal").cast("double") / 1000).alias("priority"), (key % 10 / 10.0).alias("local_correlation"), (key % 7 / 7.0).alias("event_support"), (key % 11 / 20.0).alias("artifact_score"),
+        F.when(nation % 3 == 0, "").when(nation % 3 == 1, "missed").otherwise("artifact").alias("state"), F.when(nation % 5 == 0, "edge_glow").otherwise("none").alias("cue"), "c_mktsegment",
+    )
+    return rows, {c: F.col(c) for c in ("priority", "local_correlation", "event_support", "artifact_score")}
+
+
+@query(f"""WITH {_SUGGESTED} SELECT id, round(priority + 0.8 * lc + 0.8 * es + CASE WHEN state = '' THEN 1.5 ELSE 0 END + CASE WHEN artifact >= 0.4 OR cue <> 'none' THEN 0.7 ELSE 0 END, 6) AS score,
+    coalesce(nullif(array_to_string(list_filter([CASE WHEN state = '' THEN 'unlabeled suggestion' END, CASE WHEN artifact >= 0.4 OR cue <> 'none' THEN 'artifact check' END, CASE WHEN lc >= 0.4 THEN 'locally coherent' END,
+    CASE WHEN es >= 0.35 THEN 'event-supported' END], lambda x: x IS NOT NULL), '; '), ''), 'discovery candidate') AS why FROM g""")
+def suggestion_priority(spark: SparkSession, d: str) -> DataFrame:
+    rows, c = _suggested(spark, d)
+    why = F.array_join(scoring.suggestion_reasons(c, F.col("state"), F.col("cue")), "; ")
+    return rows.select("id", F.round(scoring.suggestion_priority(c, F.col("state"), F.col("cue")), 6).alias("score"), why.alias("why"))
+
+
+@query(f"""WITH {_SUGGESTED}, t AS (SELECT id, unnest([CASE WHEN state IN ('missed', 'promoted') THEN 'possible_missed_neuron' END, CASE WHEN state = 'artifact' OR cue <> 'none' OR artifact >= 0.4 THEN 'artifact_like' END]) AS category FROM g)
+    SELECT id, category FROM t WHERE category IS NOT NULL""")
+def suggestion_triage(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = _suggested(spark, d)
+    c = {"state": F.col("state"), "artifact_class": F.lit(""), "artifact_cue": F.col("cue"), "artifact_score": F.col("artifact_score")}
+    return review.triage(rows, "id", review.suggestion_categories(c))
+
+
+@query("""WITH g AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'accepted' WHEN 'F' THEN 'rejected' ELSE 'unsure' END AS state, CASE o_orderkey % 4 WHEN 0 THEN 'good' WHEN 1 THEN 'weak' WHEN 2 THEN 'noisy' ELSE '' END AS quality,
+    CASE o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'maybe' ELSE 'no' END AS ready, CASE WHEN o_custkey % 5 = 0 THEN 'vessel' ELSE 'None' END AS class, CASE WHEN o_custkey % 9 = 0 THEN 'Merge it' ELSE '' END AS action,
+    (o_custkey % 11) / 20.0::DOUBLE AS artifact, o_custkey % 13 = 0 AS grouped FROM orders),
+    t AS (SELECT id, unnest([CASE WHEN state = 'accepted' AND quality = 'good' AND ready IN ('yes', 'maybe') AND class = 'None' AND artifact < 0.4 THEN 'strong_neuron' END, CASE WHEN class <> 'None' OR artifact >= 0.4 THEN 'artifact_like' END,
+    CASE WHEN action = 'Merge it' OR grouped THEN 'merged_cluster' END, CASE WHEN quality IN ('weak', 'noisy', 'unusable') THEN 'weak_trace' END]) AS category FROM g) SELECT id, category FROM t WHERE category IS NOT NULL""")
+def region_triage(spark: SparkSession, d: str) -> DataFrame:
+    key, owner = F.col("o_orderkey"), F.col("o_custkey")
+    c = {
+        "cell_state": F.when(F.col("o_orderstatus") == "O", "accepted").when(F.col("o_orderstatus") == "F", "rejected").otherwise("unsure"),
+        "trace_quality": F.when(key % 4 == 0, "good").when(key % 4 == 1, "weak").when(key % 4 == 2, "noisy").otherwise(""), "control_ready": F.when(key % 3 == 0, "yes").when(key % 3 == 1, "maybe").otherwise("no"),
+        "artifact_class": F.when(owner % 5 == 0, "vessel").otherwise("None"), "needs_action": F.when(owner % 9 == 0, "Merge it").otherwise(""), "artifact_score": owner % 11 / 20.0,
+    }
+    return review.triage(table(spark, d, "orders"), "o_orderkey", review.region_categories(c, owner % 13 == 0)).withColumnRenamed("o_orderkey", "id")
+
+
 @query("""WITH s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS i FROM lineitem), n AS (SELECT o, count(*) AS n FROM s GROUP BY o),
     b AS (SELECT x.o AS a, y.o AS b, count(*) AS n_both FROM s x JOIN s y USING (i) WHERE x.o < y.o GROUP BY ALL)
     SELECT a, b, n_both, round(n_both / (na.n + nb.n - n_both), 9) AS iou FROM b JOIN n na ON na.o = a JOIN n nb ON nb.o = b""")
@@ -388,14 +505,11 @@ def next_batch(spark: SparkSession, d: str) -> DataFrame:
 _REGION = """f2 AS (SELECT *, local_correlation * 10 AS lc, event_support * 10 AS es, peak_z * 5 AS area, peak_z / 6 AS elongation FROM f)"""
 
 
-def _ramp_sql(ramps, names: dict[str, str], switched=frozenset()) -> str:
-    parts = []
-    for name, zero, one, weight in ramps:
-        x = names.get(name)
-        if x:
-            part = f"{weight} * greatest(0, least(1, ({x} - {float(zero)}) / {float(one - zero)}))"
-            parts.append(f"CASE WHEN {x} > 0 THEN {part} ELSE 0 END" if (name, zero) in switched else part)
-    return "(" + " + ".join(parts) + ")::DOUBLE"
+_UNIT = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))"
+
+
+def _unit(x: str) -> str:
+    return _UNIT.format(x)
 
 
 _NAMES = {"event_count": "event_count", "trace_snr": "trace_snr", "local_correlation": "lc", "event_support": "es", "artifact_score": "artifact_score", "area": "area", "elongation": "elongation"}
@@ -406,31 +520,37 @@ def _region(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     return rows, {k: F.col(v) for k, v in _NAMES.items()} | {"raw_score": F.col("raw_score")}
 
 
-@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(raw_score + {_ramp_sql(scoring.REGION_RAMPS, _NAMES)} + CASE WHEN peak_z > 25 THEN 0 ELSE 2.0 END + CASE WHEN event_count > 35 THEN 0.6 ELSE 0 END
-    + CASE WHEN area BETWEEN 20 AND 180 THEN 0.35 ELSE 0 END, 6)::DOUBLE AS score,
-    CASE WHEN NOT peak_z > 25 THEN CASE WHEN artifact_score >= 0.4 THEN 'artifact_check' WHEN trace_snr < 1.5 THEN 'weak_trace_check' WHEN event_count > 0 THEN 'event_supported' ELSE 'unlabelled' END
-    WHEN peak_z > 40 AND NOT event_count > 30 THEN 'readiness_check' ELSE 'follow_up' END AS category FROM f2""")
+@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(round(raw_score + 0.45 * least(event_count, 8) + 0.25 * least(greatest(trace_snr, 0), 6) + 1.2 * {_unit("lc")} + 1.1 * {_unit("es")} - 1.6 * {_unit("artifact_score")} + CASE WHEN peak_z > 25 THEN 0 ELSE 2.0 END + CASE WHEN event_count > 35 THEN 0.6 ELSE 0 END
+    + CASE WHEN area BETWEEN 20 AND 180 THEN 0.35 ELSE 0 END, 9), 6)::DOUBLE AS score,
+    CASE WHEN NOT peak_z > 25 THEN CASE WHEN artifact_score >= 0.4 THEN 'artifact_check' WHEN trace_snr < 1.5 THEN 'weak_trace_check' WHEN event_count > 0 THEN 'event_supported_unlabeled' ELSE 'unlabeled_roi' END
+    WHEN peak_z > 40 AND NOT event_count > 30 THEN 'control_readiness_check' ELSE 'reviewed_followup' END AS category,
+    array_to_string(list_filter([CASE WHEN NOT peak_z > 25 THEN 'unlabeled ROI' END, CASE WHEN event_count > 0 THEN event_count || ' candidate events' END, CASE WHEN trace_snr >= 1.5 THEN 'usable trace SNR' WHEN trace_snr > 0 THEN 'weak trace SNR' END,
+    CASE WHEN lc >= 0.4 THEN 'locally coherent' WHEN lc > 0 THEN 'low local coherence' END, CASE WHEN es >= 0.35 THEN 'event-supported footprint' END, CASE WHEN artifact_score >= 0.4 THEN 'artifact risk' END,
+    CASE WHEN event_count > 35 THEN 'needs split' END], lambda x: x IS NOT NULL), '; ') AS why FROM f2""")
 def region_priority(spark: SparkSession, d: str) -> DataFrame:
     rows, c = _region(spark, d)
     reviewed = F.col("peak_z") > 25
     score = scoring.region_priority(c, reviewed, F.col("event_count") > 35)
     category = scoring.region_category(c, reviewed, F.col("peak_z") > 40, F.col("event_count") > 30)
-    return rows.select("p_partkey", F.round(score, 6).alias("score"), category.alias("category"))
+    why = scoring.region_reasons(c, reviewed, F.when(F.col("event_count") > 35, "split"))
+    return rows.select("p_partkey", F.round(F.round(score, 9), 6).alias("score"), category.alias("category"), F.array_join(why, "; ").alias("why"))
 
 
-@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(greatest(0, least(1, {_ramp_sql(scoring.ARTIFACT_RAMPS, _NAMES, scoring.SWITCHED)} + CASE WHEN peak_z <= 2 THEN 0.08 ELSE 0 END + CASE WHEN event_count > 45 THEN 0.15 ELSE 0 END)), 6)::DOUBLE AS risk FROM f2""")
+@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(greatest(0, least(1, 0.45 * {_unit("artifact_score")} + CASE WHEN lc > 0 THEN 0.15 * {_unit("(0.40 - lc) / 0.40")} ELSE 0 END + 0.10 * {_unit("(area - 140) / 160")} + CASE WHEN area > 0 THEN 0.08 * {_unit("(8 - area) / 8")} ELSE 0 END
+    + 0.10 * {_unit("(elongation - 3) / 4")} + CASE WHEN trace_snr > 0 THEN 0.08 * {_unit("(1.5 - trace_snr) / 1.5")} ELSE 0 END + CASE WHEN peak_z <= 2 THEN 0.08 ELSE 0 END + CASE WHEN event_count > 45 THEN 0.15 ELSE 0 END)), 6)::DOUBLE AS risk FROM f2""")
 def artifact_risk(spark: SparkSession, d: str) -> DataFrame:
     rows, c = _region(spark, d)
     return rows.select("p_partkey", F.round(scoring.artifact_risk(c, F.col("peak_z") <= 2, F.col("event_count") > 45), 6).alias("risk"))
 
 
-@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(greatest(0, least(1, {_ramp_sql(scoring.PROPOSAL_RAMPS, _NAMES | {"priority": "es", "max_z": "trace_snr", "active_frames": "event_count"})} + CASE WHEN peak_z <= 2 THEN -0.05 ELSE 0 END
-    + CASE WHEN peak_z > 45 THEN -0.35 WHEN peak_z < 6 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS score FROM f2""")
+@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(round(greatest(0, least(1, 0.35 * {_unit("es")} + 0.20 * {_unit("es")} + 0.18 * {_unit("es")} + 0.14 * {_unit("lc")} + 0.06 * {_unit("trace_snr / 6")} + 0.04 * {_unit("event_count / 20")} - 0.22 * {_unit("artifact_score")}
+    - 0.08 * {_unit("(area - 180) / 180")} - 0.08 * {_unit("(elongation - 3) / 4")} + CASE WHEN peak_z <= 2 THEN -0.05 ELSE 0 END
+    + CASE WHEN peak_z > 45 THEN -0.35 WHEN peak_z < 6 THEN 0.1 ELSE 0 END)), 9), 6)::DOUBLE AS score FROM f2""")
 def proposal_score(spark: SparkSession, d: str) -> DataFrame:
     rows, c = _region(spark, d)
     c |= {"priority": F.col("es"), "max_z": F.col("trace_snr"), "active_frames": F.col("event_count")}
     state = F.when(F.col("peak_z") > 45, "rejected").when(F.col("peak_z") < 6, "accepted").otherwise("")
-    return rows.select("p_partkey", F.round(scoring.proposal_score(c, F.col("peak_z") <= 2, state), 6).alias("score"))
+    return rows.select("p_partkey", F.round(F.round(scoring.proposal_score(c, F.col("peak_z") <= 2, state), 9), 6).alias("score"))
 
 
 @query(f"""WITH {_FEATURES}, {_REGION}, s AS (SELECT *, round({_SCORE}, 6) AS score FROM f2), m AS (SELECT median(score) AS mid FROM s)
@@ -532,11 +652,12 @@ def peaks_apart(spark: SparkSession, d: str) -> DataFrame:
     return signal.apart(signal.local_maxima(_hourly(spark, d), ["event_type"], "hour", "v", 4.0), ["event_type"], "hour", 3)
 
 
-@query(f"""WITH {_HOURLY} SELECT event_type, hour, v, round(avg(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS pre,
-    max(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS post,
-    round(max(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) - avg(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS rise FROM h""")
+@query(f"""WITH {_HOURLY}, w AS (SELECT *, list(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS vs,
+    coalesce(median(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), v) AS pre,
+    coalesce(max(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING), v) AS post FROM h)
+    SELECT event_type, hour, v, pre, post, v - pre AS rise, round((v - pre) / greatest(1.0::DOUBLE, coalesce(1.4826 * list_median(list_transform(vs, lambda x: abs(x - pre))), 1.0)), 6) AS rise_z FROM w""")
 def pre_post_rise(spark: SparkSession, d: str) -> DataFrame:
-    return signal.rise(_hourly(spark, d), ["event_type"], "hour", "v").withColumns({"pre": F.round("pre", 6), "rise": F.round("rise", 6)})
+    return signal.rise(_hourly(spark, d), ["event_type"], "hour", "v").withColumn("rise_z", F.round("rise_z", 6))
 
 
 @query(f"""WITH RECURSIVE {_HOURLY}, r AS (SELECT event_type, 0 AS hour, v AS m, 0.95::DOUBLE AS s, 0.0::DOUBLE AS z FROM h WHERE hour = 0

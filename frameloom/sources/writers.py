@@ -14,7 +14,7 @@ from ..functions.expr import plain_text
 from ..operators.review import export_rows
 
 # The states that each export profile keeps; None keeps all.
-PROFILES = {"accepted_only": ["accepted"], "all_reviewed": ["accepted", "rejected", "unsure"], "everything": None}
+PROFILES = {"accepted_only": ["accepted"], "all_reviewed": ["accepted", "rejected", "unsure"], "all_candidates": None}
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:

@@ -97,7 +97,7 @@ def test_artifact_outranks_a_clean_region(spark):
     no = F.lit(False)
     rows = df.select("id", scoring.artifact_risk(c, no, no).alias("risk"), scoring.region_priority(c, no, no).alias("p"), scoring.region_reasons(c, no).alias("why"), scoring.conflict(c).alias("x")).orderBy("id").collect()
     assert rows[1].risk >= 0.4 > rows[0].risk and rows[0].p > rows[1].p
-    assert rows[0].why == ["unlabelled", "events", "usable signal", "coherent", "event support"] and "artifact risk" in rows[1].why
+    assert rows[0].why == ["unlabeled ROI", "4 candidate events", "usable trace SNR", "locally coherent", "event-supported footprint"] and "artifact risk" in rows[1].why
     assert rows[0].p == pytest.approx(4 * 0.45 + 3 * 0.25 + 0.8 * 1.2 + 0.6 * 1.1 + 2.0 + 0.35)
 
 

@@ -28,12 +28,15 @@ def test_correlation_with_constant_series(spark):
 
 
 def test_froc_credits_the_first_detection(spark):
-    gt = spark.createDataFrame([(0, 1, 10.0), (0, 2, 11.0), (1, 1, 10.0)], "frame int, gt_id int, x double")
-    det = spark.createDataFrame([(0, 0, 10.5, 5.0), (0, 1, 10.6, 9.0), (2, 0, 10.0, 9.0)], "frame int, det_idx int, x double, z double")
+    gt = spark.createDataFrame([(0, 1, 10.0, 5.0), (0, 2, 11.0, 5.0), (1, 1, 10.0, 5.0)], "frame int, gt_id int, x double, y double")
+    det = spark.createDataFrame([(0, 0, 10.5, 6.0, 5.0), (0, 1, 10.6, 5.0, 9.0), (2, 0, 10.0, 5.0, 9.0)], "frame int, det_idx int, x double, y double, z double")
     found = {r.threshold: (r.tp, r.fp, r.fn) for r in detection.froc_sweep(gt, det, [9.0, 1.0], 2.0, 3).collect()}
     assert found == {9.0: (2, 1, 1), 1.0: (2, 2, 1)}
     none = detection.froc_sweep(gt.limit(0), det, [1.0], 2.0, 3).collect()[0]
     assert (none.tp, none.fp, none.fn, none.tpr) == (0, 3, 0, 0.0)
+    # near in either coordinate, but not in the plane
+    far = det.withColumn("y", F.col("y") + 1.9).withColumn("x", F.col("x") + 1.0)
+    assert [(r.tp, r.fp) for r in detection.froc_sweep(gt, far, [9.0], 2.0, 3).collect()] == [(1, 1)]
 
 
 @pytest.mark.parametrize(("points", "area"), [([(0.0, 0.0), (1.0, 1.0)], 0.5), ([(0.0, 0.0), (0.5, 0.5), (2.0, 1.0)], 0.375)])
