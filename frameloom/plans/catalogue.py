@@ -520,8 +520,8 @@ def _region(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     return rows, {k: F.col(v) for k, v in _NAMES.items()} | {"raw_score": F.col("raw_score")}
 
 
-@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(round(raw_score + 0.45 * least(event_count, 8) + 0.25 * least(greatest(trace_snr, 0), 6) + 1.2 * {_unit("lc")} + 1.1 * {_unit("es")} - 1.6 * {_unit("artifact_score")} + CASE WHEN peak_z > 25 THEN 0 ELSE 2.0 END + CASE WHEN event_count > 35 THEN 0.6 ELSE 0 END
-    + CASE WHEN area BETWEEN 20 AND 180 THEN 0.35 ELSE 0 END, 9), 6)::DOUBLE AS score,
+@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(1e-9 + raw_score + 0.45 * least(event_count, 8) + 0.25 * least(greatest(trace_snr, 0), 6) + 1.2 * {_unit("lc")} + 1.1 * {_unit("es")} - 1.6 * {_unit("artifact_score")} + CASE WHEN peak_z > 25 THEN 0 ELSE 2.0 END + CASE WHEN event_count > 35 THEN 0.6 ELSE 0 END
+    + CASE WHEN area BETWEEN 20 AND 180 THEN 0.35 ELSE 0 END, 6)::DOUBLE AS score,
     CASE WHEN NOT peak_z > 25 THEN CASE WHEN artifact_score >= 0.4 THEN 'artifact_check' WHEN trace_snr < 1.5 THEN 'weak_trace_check' WHEN event_count > 0 THEN 'event_supported_unlabeled' ELSE 'unlabeled_roi' END
     WHEN peak_z > 40 AND NOT event_count > 30 THEN 'control_readiness_check' ELSE 'reviewed_followup' END AS category,
     array_to_string(list_filter([CASE WHEN NOT peak_z > 25 THEN 'unlabeled ROI' END, CASE WHEN event_count > 0 THEN event_count || ' candidate events' END, CASE WHEN trace_snr >= 1.5 THEN 'usable trace SNR' WHEN trace_snr > 0 THEN 'weak trace SNR' END,
@@ -533,7 +533,7 @@ def region_priority(spark: SparkSession, d: str) -> DataFrame:
     score = scoring.region_priority(c, reviewed, F.col("event_count") > 35)
     category = scoring.region_category(c, reviewed, F.col("peak_z") > 40, F.col("event_count") > 30)
     why = scoring.region_reasons(c, reviewed, F.when(F.col("event_count") > 35, "split"))
-    return rows.select("p_partkey", F.round(F.round(score, 9), 6).alias("score"), category.alias("category"), F.array_join(why, "; ").alias("why"))
+    return rows.select("p_partkey", F.round(score + 1e-9, 6).alias("score"), category.alias("category"), F.array_join(why, "; ").alias("why"))
 
 
 @query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(greatest(0, least(1, 0.45 * {_unit("artifact_score")} + CASE WHEN lc > 0 THEN 0.15 * {_unit("(0.40 - lc) / 0.40")} ELSE 0 END + 0.10 * {_unit("(area - 140) / 160")} + CASE WHEN area > 0 THEN 0.08 * {_unit("(8 - area) / 8")} ELSE 0 END
@@ -543,14 +543,14 @@ def artifact_risk(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.round(scoring.artifact_risk(c, F.col("peak_z") <= 2, F.col("event_count") > 45), 6).alias("risk"))
 
 
-@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(round(greatest(0, least(1, 0.35 * {_unit("es")} + 0.20 * {_unit("es")} + 0.18 * {_unit("es")} + 0.14 * {_unit("lc")} + 0.06 * {_unit("trace_snr / 6")} + 0.04 * {_unit("event_count / 20")} - 0.22 * {_unit("artifact_score")}
+@query(f"""WITH {_FEATURES}, {_REGION} SELECT p_partkey, round(1e-9 + greatest(0, least(1, 0.35 * {_unit("es")} + 0.20 * {_unit("es")} + 0.18 * {_unit("es")} + 0.14 * {_unit("lc")} + 0.06 * {_unit("trace_snr / 6")} + 0.04 * {_unit("event_count / 20")} - 0.22 * {_unit("artifact_score")}
     - 0.08 * {_unit("(area - 180) / 180")} - 0.08 * {_unit("(elongation - 3) / 4")} + CASE WHEN peak_z <= 2 THEN -0.05 ELSE 0 END
-    + CASE WHEN peak_z > 45 THEN -0.35 WHEN peak_z < 6 THEN 0.1 ELSE 0 END)), 9), 6)::DOUBLE AS score FROM f2""")
+    + CASE WHEN peak_z > 45 THEN -0.35 WHEN peak_z < 6 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS score FROM f2""")
 def proposal_score(spark: SparkSession, d: str) -> DataFrame:
     rows, c = _region(spark, d)
     c |= {"priority": F.col("es"), "max_z": F.col("trace_snr"), "active_frames": F.col("event_count")}
     state = F.when(F.col("peak_z") > 45, "rejected").when(F.col("peak_z") < 6, "accepted").otherwise("")
-    return rows.select("p_partkey", F.round(F.round(scoring.proposal_score(c, F.col("peak_z") <= 2, state), 9), 6).alias("score"))
+    return rows.select("p_partkey", F.round(scoring.proposal_score(c, F.col("peak_z") <= 2, state) + 1e-9, 6).alias("score"))
 
 
 @query(f"""WITH {_FEATURES}, {_REGION}, s AS (SELECT *, round({_SCORE}, 6) AS score FROM f2), m AS (SELECT median(score) AS mid FROM s)
