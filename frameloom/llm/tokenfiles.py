@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from .common import saved, shuffle_width, slices
 from .eliasfano import EliasFano
 from .files import new_file, new_folder, opened
-from .tokens import ENCODE_BYTES, encoder
+from .tokens import encoder
 
 _FOOT = "<QQQB7s"  # bytes of ids, identifiers and boundaries, width, magic
 _MAGIC = b"FLTOK01"
+#: Text bytes that are encoded at a time, and pieces that a worker remembers: words of this kind of vocabulary are many.
+ENCODE_BYTES, PIECES = 6 << 20, 800_000
 #: Ids that are read at a time; a longer document is read whole.
 BLOCK = 4 << 20
 #: Stands for a missing identifier in a shard.
@@ -48,7 +50,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int = 2, key: str =
     rows = rows.repartitionByRange(shuffle_width(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = encoder(vocabulary)
+        codes = encoder(vocabulary, PIECES)
         where = path = out = None
         numbers, sizes = [], []
         for batch in slices(batches, "text", ENCODE_BYTES):

@@ -9,6 +9,7 @@ texts that hold the string of one of the vocabulary's added tokens, are encoded
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,9 @@ import pyarrow.compute as pc
 #: White space as the vocabularies' patterns see it, and the separators that Python adds to it.
 _SPACE = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RISKY = rf"^[{_SPACE}]| $| [{_SPACE}]|[{_SPACE}] "
-#: Pieces and ids that an encoder remembers before it starts anew: some 30 MB.
-MOST_PIECES, MOST_IDS = 200_000, 1_500_000
-#: Text bytes that are encoded at a time.
+#: Pieces that an encoder remembers before it starts anew (some 150 bytes each, in all), and ids for each of them.
+MOST_PIECES, IDS_OF_PIECE = 200_000, 8
+#: Text bytes that are encoded at a time: the more, the more pieces are looked up once.
 ENCODE_BYTES = 2 << 20
 #: Encodes as one string: this many new pieces.
 _TOGETHER = 20_000
@@ -28,12 +29,14 @@ _TOGETHER = 20_000
 class BatchEncoder:
     """ids of Arrow arrays of texts under one vocabulary file, as the library gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = sorted(x.content for x in self.library.get_added_tokens_decoder().values())
+        self.most = most
+        # how the added tokens begin, as far as that has no letters; what holds it goes to the library, which decides
+        self.added = {re.match(r"[^\W\d_]+|[\W\d_]+", x.content)[0] for x in self.library.get_added_tokens_decoder().values()}
         vocabulary = self.library.get_vocab()
         self.spaced = bool(self.library.encode(" ", add_special_tokens=False).ids)  # a leading space belongs to the token
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -130,12 +133,12 @@ class BatchEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end; offsets by text). texts: no nulls, not empty."""
-        if len(self.slots) > MOST_PIECES or self.used > MOST_IDS:
+        if len(self.slots) > self.most or self.used > IDS_OF_PIECE * self.most:
             self._forget()
         n = len(texts)
         whole = pc.match_substring_regex(texts, _RISKY).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(n, bool)
-        for token in self.added:  # in either case: the library decides whether it is one
-            whole = whole | pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        for start in self.added:
+            whole = whole | pc.match_substring(texts, start, ignore_case=start[:1].isalpha()).to_numpy(zero_copy_only=False)
         per, parts = np.ones(n, np.int64), []
         if not whole.all():
             slots, offsets = self._split(texts.filter(pa.array(~whole)))
@@ -169,11 +172,11 @@ class BatchEncoder:
 _ENCODERS: dict[str, BatchEncoder] = {}
 
 
-def encoder(path: str) -> BatchEncoder:
-    """The encoder of this Python worker, kept between its tasks."""
-    if path not in _ENCODERS:
+def encoder(path: str, most: int = MOST_PIECES) -> BatchEncoder:
+    """The encoder of this Python worker, kept between its tasks; most: pieces that it remembers."""
+    if path not in _ENCODERS or _ENCODERS[path].most != most:
         _ENCODERS.clear()
-        _ENCODERS[path] = BatchEncoder(path)
+        _ENCODERS[path] = BatchEncoder(path, most)
     return _ENCODERS[path]
 
 
