@@ -38,7 +38,7 @@ from .common import mix64, saved, slices, words_of
 
 BANDS, ROWS = 32, 4
 #: Buckets up to SMALL members give pairs as rows; larger ones are weighed in blocks of about BLOCK members.
-SMALL, BLOCK = 12, 512
+SMALL, BLOCK = 12, 2048
 #: The smallest hashes of a set that blocks weigh; a set of no more is weighed exactly.
 LOWEST = 256
 SKETCH_BITS = 1024
