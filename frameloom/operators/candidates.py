@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +36,11 @@ def violations(features: DataFrame, required: Sequence[str], identifier: str) ->
     return rows.where("c.problem is not null").select(identifier, "c.column", "c.problem")
 
 
-def priority(features: dict[str, Column], edge: Column | None = None) -> Column:
-    """Weighted sum of the clamped features; missing ones add nothing."""
+def priority(features: dict[str, Column], edge: Column | None = None, weights: Mapping[str, float] | None = None) -> Column:
+    """Weighted sum of the clamped features; missing ones add nothing. weights: terms' weights in place of the fixed ones."""
     total = F.lit(0.0)
     for name, (weight, top) in PRIORITY_TERMS.items():
+        weight = (weights or {}).get(name, weight)
         if name in features:
             value = F.coalesce(features[name].cast("double"), F.lit(0.0))
             total = total + weight * (clamp(value, 0.0, top) if top is not None else value)

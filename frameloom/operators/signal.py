@@ -151,13 +151,20 @@ def box_sums(image: np.ndarray, radius: int) -> np.ndarray:
     return total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]
 
 
-def annular_cfar(image: np.ndarray, guard: int, ring: int, false_alarm: float) -> tuple[np.ndarray, np.ndarray]:
-    """(score, mask): pixels against the mean and deviation of the ring between two squares around them."""
+def annular_cfar(image: np.ndarray, guard: int, ring: int, false_alarm: float, epsilon: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, mask): pixels against the mean and deviation of the ring between two squares around them.
+
+    epsilon is added to variance and deviation, and scores are not below 0; without it the variance is 1e-12 at least.
+    """
     outer, inner = (2 * ring + 1) ** 2, (2 * guard + 1) ** 2
     n = outer - inner
     mean = (box_sums(image, ring) - box_sums(image, guard)) / n
     square = (box_sums(image**2, ring) - box_sums(image**2, guard)) / n
-    score = (image - mean) / np.sqrt(np.maximum(square - mean**2, 1e-12))
+    if epsilon is None:
+        score = (image - mean) / np.sqrt(np.maximum(square - mean**2, 1e-12))
+    else:
+        spread = np.sqrt(np.maximum(square - mean**2, 0) + epsilon) + epsilon
+        score = np.maximum((image - mean) / np.maximum(spread, 1e-12), 0)
     return score, score >= math.sqrt(-2 * math.log(false_alarm))
 
 
@@ -216,20 +223,12 @@ def components(frames: DataFrame, threshold: float, least: int = 1, most: int |
 
 
 def rigid_shifts(frames: DataFrame, reference: np.ndarray, most: int) -> DataFrame:
-    """Per frame the whole shift (dy, dx) that brings it onto a reference image best, by the centred product."""
-    centred = reference - reference.mean()
+    """Per frame the whole shift (dy, dx) that brings it onto a reference image best, by the product with it centred."""
+    from .video import best_shift
 
     def kernel(frame: int, image: np.ndarray) -> pd.DataFrame:
-        own, best = image - image.mean(), None
-        for dy in range(-most, most + 1):
-            for dx in range(-most, most + 1):
-                moved = np.zeros_like(own)
-                h, w = own.shape
-                moved[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] = own[max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
-                score = float((moved * centred).sum())
-                if best is None or score > best[0]:
-                    best = (score, dy, dx)
-        return pd.DataFrame({"frame": [frame], "dy": [best[1]], "dx": [best[2]]})
+        best = best_shift(image, reference, most)
+        return pd.DataFrame({"frame": [frame], "dy": [best[0]], "dx": [best[1]]})
 
     return by_frame(frames, kernel, "frame int, dy int, dx int")
 

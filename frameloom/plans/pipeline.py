@@ -147,7 +147,7 @@ def merged_manifests(first: Sequence[dict], second: Sequence[dict], key: str = "
 
 def default_registry() -> Registry:
     """The built-in stages over frames, long pixel tables and detections."""
-    from ..operators import signal
+    from ..operators import signal, video
 
     number = lambda default, low=None, high=None: Parameter("number", default, low, high)
     whole = lambda default, low=None, high=None: Parameter("integer", default, low, high)
@@ -158,22 +158,37 @@ def default_registry() -> Registry:
             Stage("projections", lambda df, active: signal.projections(df, active), 55, "pixels", "projection", {"active": number(2.0)}),
             Stage("annular_cfar", lambda df, guard, ring, false_alarm: signal.cfar_detections(df, guard, ring, false_alarm), 50, "frames", "detections", {"guard": whole(1, 0), "ring": whole(5, 1), "false_alarm": number(0.05, 1e-12, 1)}),
             Stage("components", lambda df, threshold, least, eight: signal.components(df, threshold, least, None, eight), 55, "frames", "detections", {"threshold": number(2.0), "least": whole(1, 1), "eight": Parameter("boolean", True)}),
+            # the stages below bear the names and defaults that written specifications use
+            Stage("temporal_highpass_gaussian", video.temporal_highpass, 20, "frames", "frames", {"sigma_frames": number(6.0, 0.1, 120)}),
+            Stage("spatial_gaussian", video.spatial_gaussian, 30, "frames", "frames", {"sigma_px": number(0.8, 0, 10)}),
+            Stage("rigid_shift_estimate", video.registered, 35, "frames", "frames", {"max_shift_px": whole(4, 1, 50), "reference": Parameter("string", "first", choices=("first", "mean"))}),
+            Stage("robust_positive_local_z", video.frame_robust_z, 50, "frames", "scores", {"local_radius_px": whole(11, 1, 101), "epsilon": number(1.0, 0, 100)}),
+            Stage("gamma_cfar", video.cfar_mask, 50, "frames", "mask", {"pfa": number(0.001, 0, 1), "guard_px": whole(2, 0, 100), "training_radius_px": whole(11, 1, 101), "epsilon": number(1e-6, 0, 100)}),
+            Stage("adaptive_gamma_cfar", video.cfar_mask, 50, "frames", "mask", {"pfa": number(0.001, 0, 1), "guard_px": whole(2, 0, 100), "training_radius_px": whole(11, 1, 101), "update_alpha": number(0.02, 0.0001, 1)}),
+            Stage("adaptive_ewma_z", video.ewma_scores, 50, "frames", "scores", {"alpha": number(0.02, 0.0001, 1), "threshold_z": number(3.0, 0, 20), "epsilon": number(1.0, 0, 100)}),
+            Stage("component_filter", video.projected_components, 55, "scores", "candidates", {"seed_z": number(2.0, 0, 20), "grow_z": number(1.1, 0, 20), "min_area_px": whole(8, 1, 100000), "max_area_px": whole(260, 1, 100000)}),
+            Stage("heuristic_priority_v1", video.prioritised, 80, "candidates", "ranked", {"local_correlation_weight": number(0.2, -5, 5), "event_support_weight": number(0.2, -5, 5), "artifact_weight": number(-0.15, -5, 5)}),
         ]
     )
 
 
-# Thresholds of the ready-made sweeps.
+# Parameters of the ready-made sweeps.
 PRESETS = {
-    "permissive": {"threshold": 1.5, "least": 1},
-    "balanced": {"threshold": 2.0, "least": 2},
-    "strict": {"threshold": 3.0, "least": 3},
+    "permissive": {"event_threshold_z": 2.0, "seed_z": 1.6, "grow_z": 0.8, "min_area_px": 4},
+    "balanced": {"event_threshold_z": 2.4, "seed_z": 2.0, "grow_z": 1.1, "min_area_px": 8},
+    "strict": {"event_threshold_z": 2.8, "seed_z": 2.4, "grow_z": 1.4, "min_area_px": 12},
+    "artifact_suppression": {"event_threshold_z": 2.6, "seed_z": 2.2, "grow_z": 1.3, "min_area_px": 10},
+    "high_recall": {"event_threshold_z": 1.8, "seed_z": 1.4, "grow_z": 0.7, "min_area_px": 3},
 }
 
 
-def preset_runs(spec: Mapping[str, Any], step: str) -> list[dict[str, Any]]:
-    """A specification for each preset, its values given to one step."""
-    out = []
+def preset_runs(spec: Mapping[str, Any], registry: Registry | None = None) -> list[dict[str, Any]]:
+    """A specification for each preset: every step gets the preset's values for the parameters that its stage has."""
+    known, out = (registry or default_registry()).stages, []
     for name, values in PRESETS.items():
-        own = sweep(spec, {f"{step}.{k}": [v] for k, v in values.items()})[0]
-        out.append(own | {"id": f"{spec.get('id', 'run')}__{name}"})
+        new = json.loads(json.dumps(spec))
+        for step in new["steps"]:
+            own = known[step["stage"]].parameters if step["stage"] in known else {}
+            step.setdefault("params", {}).update({k: v for k, v in values.items() if k in own})
+        out.append(new | {"id": f"{spec.get('id', 'run')}_{name}"})
     return out

@@ -135,5 +135,6 @@ def test_histograms_and_ranks(spark):
     assert tuple(diagnostics.sensitivity(cells, "a", "b", "auc", "pos").first()) == (1, 0.2, 0.3)
     times = spark.createDataFrame([("2024-01-01T00:00:00Z", "2024-01-01T00:00:02.5Z"), ("x", "2024-01-01T00:00:00Z")], "a string, b string")
     assert [r[0] for r in times.select(expr.duration_seconds(F.col("a"), F.col("b"))).collect()][:1] == [2.5]
-    runs = preset_runs({"id": "s", "steps": [{"id": "c", "stage": "components"}]}, "c")
-    assert [r["id"] for r in runs] == ["s__permissive", "s__balanced", "s__strict"]
+    runs = preset_runs({"id": "s", "steps": [{"id": "z", "stage": "robust_positive_local_z"}, {"id": "c", "stage": "component_filter"}]})
+    assert [r["id"] for r in runs] == ["s_permissive", "s_balanced", "s_strict", "s_artifact_suppression", "s_high_recall"]
+    assert runs[4]["steps"][1]["params"] == {"seed_z": 1.4, "grow_z": 0.7, "min_area_px": 3} and not runs[4]["steps"][0]["params"]
