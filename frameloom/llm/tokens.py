@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 #: White space as the vocabularies' patterns see it, and the separators that Python adds to it.
 _SPACE = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RISKY = rf"^[{_SPACE}]| $| [{_SPACE}]|[{_SPACE}] "
-#: Pieces that an encoder remembers before it starts anew (some 150 bytes each, in all), and ids for each of them.
-MOST_PIECES, IDS_OF_PIECE = 200_000, 8
+#: Pieces that an encoder remembers before it drops those it met once (some 150 bytes each, in all), and ids for each.
+MOST_PIECES, IDS_OF_PIECE = 300_000, 8
 #: Text bytes that are encoded at a time: the more, the more pieces are looked up once.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 4 << 20
 #: Encodes as one string: this many new pieces.
 _TOGETHER = 20_000
 
@@ -50,17 +50,32 @@ class BatchEncoder:
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.again = np.zeros(1 << 14, bool)  # pieces that were met in more than one batch
+
+    def _tidy(self) -> None:
+        """Forgets the pieces that were met once; all of them if the others are more than half."""
+        kept = np.flatnonzero(self.again[: len(self.slots)])
+        sizes = self.sizes[kept].astype(np.int64)
+        total = int(sizes.sum())
+        if 2 * len(kept) > self.most or 2 * total > IDS_OF_PIECE * self.most:
+            return self._forget()
+        pieces = list(self.slots)  # in the order of their slots
+        ids = self.pool[np.repeat(self.starts[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
+        self._forget()
+        self._add([pieces[k] for k in kept.tolist()], ids, sizes)
 
     def _add(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remembers pieces whose ids stand one after another."""
         n, at = len(self.slots), self.used
         while len(self.starts) < n + len(pieces):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            self.again = np.resize(self.again, 2 * len(self.again))
         while len(self.pool) < at + len(ids):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[at : at + len(ids)] = ids
         self.starts[n : n + len(pieces)] = at + np.cumsum(sizes) - sizes
         self.sizes[n : n + len(pieces)] = sizes
+        self.again[n : n + len(pieces)] = False
         self.used += len(ids)
         self.slots.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
@@ -94,6 +109,7 @@ class BatchEncoder:
         """The slots of pieces; new ones are encoded first."""
         get = self.slots.get
         found = np.array([get(x, -1) for x in pieces], np.int64)
+        self.again[found[found >= 0]] = True
         lacking = np.flatnonzero(found < 0).tolist()
         if lacking:
             new = list(dict.fromkeys([pieces[k] for k in lacking]))
@@ -134,7 +150,7 @@ class BatchEncoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end; offsets by text). texts: no nulls, not empty."""
         if len(self.slots) > self.most or self.used > IDS_OF_PIECE * self.most:
-            self._forget()
+            self._tidy()
         n = len(texts)
         whole = pc.match_substring_regex(texts, _RISKY).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(n, bool)
         for start in self.added:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from frameloom.llm import packing, tokenfiles
 from frameloom.llm.eliasfano import EliasFano
-from frameloom.llm.tokens import default_vocabulary, encoder
+from frameloom.llm.tokens import BatchEncoder, default_vocabulary, encoder
 
 PARTS = ["a", "B", "the", " ", "  ", "\n", "'s", "é", "́", "ß", "ΑΣ", "\x01", "12", "!", "###", " \t", " ", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "日本", "😀", "\x1c", "\r\n", "ing"]
 
@@ -30,6 +30,19 @@ def test_encoder_gives_the_library_s_ids(vocabulary, prose):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_drops_pieces_and_stays_right(vocabulary, prose):
+    rng = random.Random(8)
+    codes = BatchEncoder(default_vocabulary(vocabulary), 150)
+    for _ in range(25):
+        texts = [prose(rng.randint(0, 5), 40), *("".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(20))]
+        held = set(codes.slots)
+        ids, offsets = codes.encode(pa.array(texts, pa.large_string()), 2)
+        assert not held or held & set(codes.slots)
+        for k, want in enumerate(reference(vocabulary, texts)):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == want.tolist()
+
+
 @given(st.lists(st.integers(0, 1 << 40), max_size=700))
 @settings(max_examples=40, deadline=None)
 def test_elias_fano_round_trip_and_select(values):
