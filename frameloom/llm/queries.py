@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import workers_import_this
 
@@ -76,6 +77,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir), default_vocabulary("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencounts import token_counts
+    from .tokens import default_vocabulary
+
+    return token_counts(_documents(spark, sf_dir), default_vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infilling import fill_in_middle, restored
+
+    rows = fill_in_middle(_documents(spark, sf_dir), seed="1", plain=10, spm=20)
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}
+    return rows.withColumns(digests).drop("output")
+
+
+def op13_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import alignment
+    from .tokens import default_vocabulary
+
+    rows = alignment(_documents(spark, sf_dir), default_vocabulary("byte_bpe_50k.json"), default_vocabulary("piece_bpe_32k.model"), shown="sha256")
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -84,7 +108,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-#: Op1, 2, 3, 4, 7, 9 and 10 have none: tree digests, models, tokenizers and keyed permutations are not expressible, and links
+#: Op1, 2, 3, 4, 7, 9, 10, 11 and 13 have none: tree digests, models, tokenizers and keyed permutations are not expressible, and links
 #: between all texts too slow.
 SQL: dict[str, str] = {
     "op5_source_mix": r"""
@@ -119,4 +143,15 @@ SQL: dict[str, str] = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
               FROM documents)
         WINDOW g AS (PARTITION BY norm)""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        h AS (SELECT *, [('0x' || substr(s, 1 + 8 * k, 8))::BIGINT FOR k IN range(4)] AS h FROM d),
+        c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                     CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                          WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM p""",
 }
