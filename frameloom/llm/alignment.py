@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import saved, shuffle_width, slices
 from .tokenmodels import PieceEncoder
 
 #: Rows of pair counts that are broadcast at most (some 60 bytes each).
 MOST_BROADCAST = 300_000
+#: A token takes so many times its text's bytes as a row; tasks get a share of the texts that is smaller by it.
+EXPANDS = 8
 #: Groups that are put in order as one list, and links of a text that a task holds before it gives them out.
 SEGMENT, HELD = 1 << 13, 1 << 20
 #: Text bytes that are encoded at a time, and pieces that an encoder remembers.
@@ -44,46 +46,58 @@ class SideEncoder:
 
     def __init__(self, vocabulary: str):
         self.pieces = PieceEncoder(vocabulary, PIECES, plain=True)
-        self.bytes = self.pieces.token_bytes()
-        self.lengths = np.array([len(x) for x in self.bytes], np.int64)
-        self.fits: dict[str, bool] = {}
-
-    def _same(self, ids: list[int], text: str) -> bool:
-        return b"".join([self.bytes[k] for k in ids]) == b" " + text.encode()
+        spelled = self.pieces.token_bytes()
+        self.lengths = np.array([len(x) for x in spelled], np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def right(self, ids: np.ndarray, sizes: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Which texts, each with a space before it, are what the bytes of their ids spell."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        many = self.lengths[ids]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        spelled = np.concatenate([[0], np.cumsum(many)])[bounds]
+        same = np.diff(spelled) == np.diff(offsets) + 1
+        # of texts of the right length, all bytes are laid out and compared at once
+        kept = np.repeat(same, sizes)
+        ids, many = ids[kept], many[kept]
+        stops = np.cumsum(many)
+        found = self.spelled[np.repeat(self.first[ids] - (stops - many), many) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        size = np.diff(offsets)[same] + 1
+        opens = np.cumsum(size) - size
+        want = np.empty(int(size.sum()), np.uint8)
+        inner = np.ones(len(want), bool)
+        inner[opens] = False
+        want[opens] = 32
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        want[inner] = data[np.repeat(same, np.diff(offsets))]
+        if len(opens):
+            same[same] = np.add.reduceat((found != want).astype(np.int64), opens) == 0
+        return same
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has, whether its bytes are right)."""
         whole = self.pieces.inseparable(texts)
-        sizes, right = np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
-        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        sizes = np.zeros(len(texts), np.int64)
+        own: list[tuple[np.ndarray, np.ndarray]] = []
         if whole.any():
-            own = texts.filter(pa.array(whole)).to_pylist()
+            given = texts.filter(pa.array(whole)).to_pylist()
             # sentencepiece puts the space before the text itself
-            for k, text, ids in zip(np.flatnonzero(whole).tolist(), own, self.pieces.whole_ids(own if self.pieces.model else [" " + x for x in own]), strict=True):
-                parts[k], right[k], sizes[k] = np.array(ids, np.int64), self._same(ids, text), len(ids)
+            lists = self.pieces.whole_ids(given if self.pieces.model else [" " + x for x in given])
+            sizes[whole] = [len(x) for x in lists]
+            own.append((whole, np.array([k for x in lists for k in x], np.int64)))
         if not whole.all():
             coded, offsets, _ = self.pieces.split(texts.filter(pa.array(~whole)))
-            found = coded.dictionary.to_pylist()
-            own = self.pieces.slots_of(found)
+            slots = self.pieces.slots_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
             codes = self.pieces.codes
-            if len(self.fits) > 2 * PIECES:
-                self.fits.clear()
-            for piece, slot in zip(found, own.tolist(), strict=True):
-                if piece not in self.fits:
-                    at = codes.starts[slot]
-                    self.fits[piece] = self._same(codes.pool[at : at + codes.sizes[slot]].tolist(), piece)
-            good = np.array([self.fits[x] for x in found], bool)
-            index = coded.indices.to_numpy()
-            slots = own[index]
             many = codes.sizes[slots].astype(np.int64)
             ends = np.cumsum(many)
-            ids = codes.pool[np.repeat(codes.starts[slots] - (ends - many), many) + np.arange(int(ends[-1]))].astype(np.int64)
-            bounds = np.concatenate([[0], ends])[offsets]
-            right[~whole] = np.add.reduceat(~good[index], offsets[:-1]) == 0
-            sizes[~whole] = np.diff(bounds)
-            for k, a, b in zip(np.flatnonzero(~whole).tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                parts[k] = ids[a:b]
-        return np.concatenate([np.zeros(0, np.int64), *parts]), sizes, right
+            sizes[~whole] = np.diff(np.concatenate([[0], ends])[offsets])
+            own.append((~whole, codes.pool[np.repeat(codes.starts[slots] - (ends - many), many) + np.arange(int(ends[-1]))].astype(np.int64)))
+        ids = np.empty(int(sizes.sum()), np.int64)
+        for mask, values in own:
+            ids[np.repeat(mask, sizes)] = values
+        return ids, sizes, self.right(ids, sizes, texts)
 
 
 _SIDES: dict[str, SideEncoder] = {}
@@ -123,7 +137,8 @@ def _encoded(docs: DataFrame, a: str, b: str, kind: str, key: str, text: str) ->
             yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "t": pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * 3), inner)})
 
     # the condition holds always; a join infers it for its own side, and the sides are to read the same shuffle
-    return rows.mapInArrow(run, f"row long, t array<array<{kind}>>").where("row is not null").repartition("row")
+    dealt = rows.mapInArrow(run, f"row long, t array<array<{kind}>>").where("row is not null")
+    return dealt.repartition(EXPANDS * shuffle_width(docs.sparkSession), "row")
 
 
 @contextlib.contextmanager
