@@ -38,7 +38,7 @@ EXPANDS = 8
 #: Groups that are put in order as one list, and links of a text that a task holds before it gives them out.
 SEGMENT, HELD = 1 << 13, 1 << 20
 #: Text bytes that are encoded at a time, and pieces that an encoder remembers.
-ENCODE_BYTES, PIECES = 2 << 20, 300_000
+ENCODE_BYTES, PIECES = 1 << 20, 100_000
 
 
 class SideEncoder:
