@@ -2,11 +2,14 @@
 
 1. On a bounded sample of labelled rows, hashed words and word pairs get log odds. One pass then measures every document:
    shares of kinds of characters, words and lines, repetition, lengths and the odds of its words (the text view); language
-   and source (the metadata view).
+   and source, and the classes of its size, its number of lines and their length (the metadata view).
 2. The text view is a logistic regression, the metadata view sums the odds of its values. In each round either view scores
    all documents, and all those that it is sure of, with the labels it gives them, teach the other view: the regression
    by Newton steps whose sums Spark adds up, the odds by counts. What is passed on for a label weighs no more in all
-   than the labelled rows do. A view is sure by its calibrated probability, so one that knows little teaches little.
+   than the labelled rows do. A view is sure of a label by its calibrated probability, or by rank: as sure as of the
+   share FIRST of the labelled rows that it is surest of, if it gives the label LEAST at least. A document of which the
+   other view is sure otherwise teaches nobody. A view goes back to what it was if what it was taught raises its log loss on
+   the labelled rows that it is calibrated on; a round in which neither view teaches or learns is the last.
 3. Each view is calibrated on labelled rows that it was not fitted on, and a logistic regression on these rows weighs
    the two calibrated log odds against each other. That scores every document.
 
@@ -39,6 +42,8 @@ ROUNDS = 3
 STEPS = 3
 #: Calibrated probability of a label from which a view is sure.
 SURE = 0.98
+#: Share of the labelled rows whose rank makes a view sure of either label, and the probability that it takes with it.
+FIRST, LEAST = 0.01, 0.75
 #: Values that words and word pairs are hashed to.
 WORDS = 1 << 16
 #: Classes of bytes: small, capital, digit, blank, line end, sentence mark, other sign, beyond ASCII.
@@ -48,11 +53,12 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[9, 11, 12, 32]], _CLASS[[1
 _CLASS[[ord(x) for x in ".,;:'\"()-?"]] = 5
 MEASURES = [
     *[f"share_{x}" for x in ("small", "capital", "digit", "blank", "line_end", "mark", "sign", "beyond")],
-    "log_bytes", "log_words", "log_lines", "word_length", "distinct_words", "top_word", "short_words", "signed_words", "capital_words", "bare_signs", "distinct_lines", "line_length",
+    "log_words", "word_length", "distinct_words", "top_word", "short_words", "signed_words", "capital_words", "bare_signs", "distinct_lines",
     "word_odds", "good_words", "bad_words",
 ]
-#: Columns of the metadata view.
-METADATA = ("lang", "source")
+#: Columns of the metadata view: those of the table, and classes of what a text measures, which the text view goes without.
+GIVEN, DERIVED = ("lang", "source"), ("size", "lines", "line_length")
+METADATA = GIVEN + DERIVED
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -113,15 +119,22 @@ def text_measures(texts: pa.Array, odds: np.ndarray) -> np.ndarray:
     different, _ = _distinct(lines.indices.to_numpy(zero_copy_only=False).astype(np.int64), line_ends, len(lines.dictionary))
     many_lines = np.maximum(np.diff(line_ends), 1)
     rest = [
-        np.log1p(size), np.log1p(count), np.log1p(many_lines), _sums(length[codes], offsets) / some, distinct / some, most / some,
+        np.log1p(count), _sums(length[codes], offsets) / some, distinct / some, most / some,
         _sums((length <= 3)[codes], offsets) / some, _sums(signed[codes], offsets) / some, _sums(capital[codes], offsets) / some,
-        _sums(bare[codes], offsets) / some, different / many_lines, np.log1p(size / many_lines),
+        _sums(bare[codes], offsets) / some, different / many_lines,
         *(np.bincount(owner, weights=x, minlength=n) / pieces for x in (own, own > 1, own < -1)),
     ]
     out[:, _CLASSES:] = np.array(rest).T
     return out
 
 
+def derived(texts: pa.Array) -> list[pa.Array]:
+    """DERIVED of each text: classes as wide as a factor of 2, of lines' length 1.4."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1
+    lines = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False) + 1
+    return [pa.array(np.floor(x).astype(np.int64)).cast(pa.string()) for x in (np.log2(size), np.log2(lines), 2 * np.log2(size / lines))]
+
+
 class Values:
     """The metadata view: log odds of the values of each column that labelled rows have, others sharing one."""
 
@@ -153,6 +166,7 @@ class CoTrained:
     def __init__(self, words: np.ndarray, text: np.ndarray, values: Values):
         self.words, self.text, self.values = words, text, values
         self.levels = [np.array([0.0, 1.0])] * 2
+        self.cuts = np.array([[1 - SURE, SURE]] * 2)  # of each view, the probabilities that make it sure of label 0 and 1
         self.whole: np.ndarray | None = None
 
     def odds(self, x: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
@@ -167,7 +181,7 @@ class CoTrained:
 
 
 def _inputs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    own = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in METADATA]
+    own = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in GIVEN]
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *own)
 
 
@@ -204,7 +218,7 @@ _MEASURED = "doc_id long, x array<float>, " + ", ".join(f"{c} string" for c in M
 
 def _measured(docs: DataFrame, odds: list[np.ndarray], more: Sequence[str] = ()) -> DataFrame:
     """The views of every row. Rows with a part are measured with odds[part], others with the last."""
-    share, kept = docs.sparkSession.sparkContext.broadcast(odds), ["doc_id", *METADATA, *more]
+    share, kept = docs.sparkSession.sparkContext.broadcast(odds), ["doc_id", *GIVEN, *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -216,7 +230,7 @@ def _measured(docs: DataFrame, odds: list[np.ndarray], more: Sequence[str] = ())
             else:
                 x = text_measures(batch.column("text"), share.value[-1])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).reshape(-1)))
-            own = {c: batch.column(c) for c in kept} | {"x": flat}
+            own = {c: batch.column(c) for c in kept} | {"x": flat} | dict(zip(DERIVED, derived(batch.column("text")), strict=True))
             yield pa.RecordBatch.from_pydict({c: own[c] for c in ("doc_id", "x", *METADATA, *more)})
 
     return docs.select("text", *kept).mapInArrow(run, _MEASURED + "".join(f", {c} int" for c in more))
@@ -233,6 +247,18 @@ def _calibrated(raw: np.ndarray, y: np.ndarray) -> np.ndarray:
     return level if level[1] > 0 else np.array([level[0], 0.0])
 
 
+def log_loss(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each column of probabilities against labels."""
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return -np.where(y[:, None] == 1, np.log(p), np.log(1 - p)).mean(axis=0)
+
+
+def sure_cuts(p: np.ndarray) -> np.ndarray:
+    """For each view (a column of probabilities of labelled rows) those from which it is sure of label 0 and of label 1."""
+    low, high = np.quantile(p, [FIRST, 1 - FIRST], axis=0)
+    return np.stack([np.maximum(1 - SURE, np.minimum(low, 1 - LEAST)), np.minimum(SURE, np.maximum(high, LEAST))], axis=1)
+
+
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> tuple[CoTrained | None, DataFrame | None]:
     """The co-trained views, and the measures of every document; None, None without labels of both classes."""
     spark, rows = docs.sparkSession, _inputs(docs, key, text)
@@ -256,29 +282,46 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str
     own = [np.stack([np.bincount(c[fit & (y == k)], minlength=len(n)) for k in (0, 1)], axis=1).astype(float) for c, n in zip(codes, values.counts, strict=True)]
     values.learn(own)
     model = CoTrained(odds[2], fitted(x[fit], y[fit]), values)
-    calibrate = lambda: setattr(model, "levels", [_calibrated(r, y[check]) for r in (model.text[0] + x[check] @ model.text[1:], values.raw([c[check] for c in codes]))])
+
+    def calibrate() -> None:
+        model.levels = [_calibrated(r, y[check]) for r in (model.text[0] + x[check] @ model.text[1:], values.raw([c[check] for c in codes]))]
+        model.cuts = sure_cuts(sigmoid(model.odds(x, codes)))
+
     calibrate()
     measured = saved(_measured(rows, odds[2:]), "measures")
     weight = np.array([(fit & (y == k)).sum() for k in (0, 1)], float)
+    loss = lambda: log_loss(sigmoid(model.odds(x[check], [c[check] for c in codes])), y[check])
     for _ in range(rounds):
         taught, counts = _counts(measured, model)
         if not taught.any():
             break
         scale = np.minimum(1, weight / np.maximum(taught, 1))  # by teacher and label
-        text = _stepped(measured, model, x[fit], y[fit], scale[1])
-        values.learn([a + n * scale[0] for a, n in zip(own, counts, strict=True)])
+        before, old = loss(), (model.text, values.odds, values.total)
+        text = _stepped(measured, model, x[fit], y[fit], scale[1]) if taught[1].any() else model.text
+        if taught[0].any():
+            values.learn([a + n * scale[0] for a, n in zip(own, counts, strict=True)])
         model.text = text
         calibrate()
+        worse = loss() > before
+        if worse[0]:
+            model.text = old[0]
+        if worse[1]:
+            values.odds, values.total = old[1:]
+        calibrate()
+        if worse.all():
+            break
     model.whole = fitted(model.odds(x[check], [c[check] for c in codes]), y[check], ridge=0.1)
     return model, measured
 
 
 def _sure(model: CoTrained, batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(measures, codes, label that either view is sure of, -1 for none)."""
+    """(measures, codes, label that either view is sure of, -1 for none; where they are sure of different ones, none)."""
     x, columns = _unpacked(batch)
     codes = model.values.codes(columns)
     p = sigmoid(model.odds(x, codes))
-    return x, codes, np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
+    given = np.where(p >= model.cuts[:, 1], 1, np.where(p <= model.cuts[:, 0], 0, -1))
+    given[(given.min(axis=1) == 0) & (given.max(axis=1) == 1)] = -1
+    return x, codes, given
 
 
 def _summed(measured: DataFrame, of) -> np.ndarray:
@@ -381,12 +424,12 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            own = [batch.column(c).cast(pa.string()) if c in names else pa.nulls(batch.num_rows, pa.string()) for c in METADATA]
-            inner = pa.RecordBatch.from_arrays([batch.column(text).cast(pa.large_string()), *own], ["text", *METADATA])
+            own = [batch.column(c).cast(pa.string()) if c in names else pa.nulls(batch.num_rows, pa.string()) for c in GIVEN]
+            inner = pa.RecordBatch.from_arrays([batch.column(text).cast(pa.large_string()), *own], ["text", *GIVEN])
             for part in slices(iter([inner]), "text"):
                 # as floats, which the measures are kept in
                 x = text_measures(part.column("text"), share.value.words).astype(np.float32).astype(np.float64)
-                good = share.value.scores(x, share.value.values.codes([part.column(c) for c in METADATA]))[:, 2] >= 0.5
+                good = share.value.scores(x, share.value.values.codes([*(part.column(c) for c in GIVEN), *derived(part.column("text"))]))[:, 2] >= 0.5
                 yield batch.slice(at, part.num_rows).filter(pa.array(good))
                 at += part.num_rows
 
