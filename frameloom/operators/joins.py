@@ -63,6 +63,55 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], at: str,
     return both.select(*by, at, *[F.col(f"_row.{c}").alias(c) for c in rest], *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
+def asof_by_range(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, values: Sequence[str], width: float) -> DataFrame:
+    """As asof_backward, but in ranges of `at` of this width, so that the rows of one key are worked on by many tasks.
+
+    1. In each range of a key the last value seen is carried on, as in asof_backward.
+    2. The last value of each range is carried on to the ranges behind it, over one row for each range of a key.
+    3. Rows that have nothing before them in their own range take what their range was given.
+    """
+    carried, part = F.struct(*[F.col(v) for v in values]), F.floor(F.col(at) / width).cast("long")
+    keys = [*by, "_part"]
+    rest = [c for c in left.columns if c not in by and c != at]
+    held = right.select(carried.alias("x")).schema["x"].dataType
+    a = left.select(*by, at, part.alias("_part"), F.lit(1).alias("_side"), F.struct(*rest).alias("_row") if rest else F.lit(None).alias("_row"), F.lit(None).cast(held).alias("_value"))
+    b = right.select(*by, at, part.alias("_part"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), carried.alias("_value"))
+    both = a.unionByName(b)
+    before = Window.partitionBy(*keys).orderBy(at, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_last", F.last("_value", ignorenulls=True).over(before)).where("_side = 1")
+    ends = both.groupBy(*keys).agg(F.max(F.when(F.col("_side") == 0, F.struct(at, "_value"))).alias("_end"))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    given = ends.select(*keys, F.last("_end", ignorenulls=True).over(ahead).alias("_given")).where("_given is not null")
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"g.{c}")) for c in keys]
+    out = own.alias("o").join(given.alias("g"), same, "left").select(*[F.col(f"o.{c}").alias(c) for c in (*by, at)], "_row", F.coalesce("_last", "_given._value").alias("_last"))
+    return out.select(*by, at, *[F.col(f"_row.{c}").alias(c) for c in rest], *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
+def event_pairs(truth: DataFrame, found: DataFrame, left: str, right: str, near: Sequence[tuple[str, str, float]]) -> DataFrame:
+    """Pairs of events of the same object that lie within the distances of `near` (see binned_join); columns of the sides differ.
+
+    left, right: the sides' object columns. A missing or empty object is any object: rows are joined by object and place
+    where both have one, else by place alone, so no condition has an alternative in it and each pair meets once.
+    """
+    named = lambda df, c: df.where(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "")
+    blank = lambda df, c: df.where(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "")
+    columns = [*truth.columns, *found.columns]
+    own = binned_join(named(truth, left).withColumn("_object", F.trim(F.col(left).cast("string"))), named(found, right).withColumn("_object", F.trim(F.col(right).cast("string"))), ["_object"], near)
+    wild = [binned_join(blank(truth, left), found, [], near), binned_join(named(truth, left), blank(found, right), [], near)]
+    return reduce(DataFrame.unionByName, (x.select(columns) for x in (own, *wild)))
+
+
+def match_events(truth: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
+    """One-to-one matches of truth (gt_id, gt_object, gt_onset, gt_peak, gt_duration) and found (cand_...), by onset, then peak, then ids.
+
+    Onsets lie within the tolerance. Returns ids and onset_error, peak_error, duration_error (found less true).
+    """
+    pairs = event_pairs(truth, found, "gt_object", "cand_object", [("gt_onset", "cand_onset", tolerance)])
+    pairs = pairs.select("gt_id", "cand_id", *[(F.col(f"cand_{c}") - F.col(f"gt_{c}")).alias(f"{c}_error") for c in ("onset", "peak", "duration")])
+    pairs = pairs.withColumns({"_o": F.abs("onset_error"), "_p": F.abs("peak_error")})
+    return greedy_match(pairs, "gt_id", "cand_id", ["_o", "_p", "gt_id", "cand_id"]).drop("_o", "_p")
+
+
 def nearest(points: DataFrame, targets: DataFrame, xy: tuple[str, str], target_xy: tuple[str, str], target_id: str, radius: float) -> DataFrame:
     """points with the nearest target within a radius and its distance; ties go to the smallest target. Points without one are left out."""
     distance = F.hypot(F.col(xy[0]) - F.col(target_xy[0]), F.col(xy[1]) - F.col(target_xy[1]))

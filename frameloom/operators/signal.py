@@ -15,12 +15,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def medians(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, median) of the values of each group that are not null: distinct values are counted first, so a group of any size
+    is a sorted run of counts, not a list in one task's memory."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = lambda a, b: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    placed = counts.withColumn("_upto", upto).alias("a").join(whole.alias("b"), same("a", "b"), "inner").select(*[F.col(f"a.{c}").alias(c) for c in by], "_v", "_upto", "_all")
+    low, high = (F.min(F.when(c, F.col("_v"))) for c in (2 * F.col("_upto") >= F.col("_all"), 2 * F.col("_upto") > F.col("_all")))
+    return placed.groupBy(*by).agg(((low + high) / 2).alias("median"))
+
+
+def counted_robust_z(rows: DataFrame, by: Sequence[str], value: str, floor: float = 1e-6) -> DataFrame:
+    """rows with z: how far a value lies above its group's median, in scaled median deviations, not below 0."""
+    with_median = lambda df, of, name: df.alias("a").join(medians(df, by, of).alias("m"), [F.col(f"a.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]).select("a.*", F.col("m.median").alias(name))
+    placed = with_median(rows, value, "_m").withColumn("_e", F.abs(F.col(value) - F.col("_m")))
+    placed = with_median(placed, "_e", "_d")
+    return placed.withColumn("z", F.greatest(F.lit(0.0), (F.col(value) - F.col("_m")) / (1.4826 * F.col("_d") + floor))).drop("_m", "_e", "_d")
+
+
 def robust_z(rows: DataFrame, frame: str, value: str, floor: float = 1e-6) -> DataFrame:
     """rows with z: how far a value lies above its frame's median, in scaled median deviations, not below 0."""
-    middle = rows.groupBy(frame).agg(F.median(value).alias("_m"))
-    placed = rows.join(middle, frame)
-    spread = placed.groupBy(frame).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_d"))
-    return placed.join(spread, frame).withColumn("z", F.greatest(F.lit(0.0), (F.col(value) - F.col("_m")) / (1.4826 * F.col("_d") + floor))).drop("_m", "_d")
+    return counted_robust_z(rows.where(F.col(frame).isNotNull()), [frame], value, floor)
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import priority, ranked
-from .signal import annular_cfar, gaussian_weights, labelled
+from .regions import grown
+from .signal import annular_cfar, gaussian_weights, labelled, pixels
 
 FRAMES = "frame int, height int, width int, pixels array<float>"
 
@@ -89,6 +90,49 @@ def frame_robust_z(frames: DataFrame, local_radius_px: int = 11, epsilon: float
     return per_frame(frames, kernel)
 
 
+def truncated_box_sums(image: np.ndarray, radius: int) -> np.ndarray:
+    """Sum over the part of the square of that radius around each pixel that lies in the image."""
+    (h, w), total = image.shape, np.pad(image, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    y, x = np.arange(h), np.arange(w)
+    top, bottom, left, right = np.maximum(y - radius, 0), np.minimum(y + radius, h - 1) + 1, np.maximum(x - radius, 0), np.minimum(x + radius, w - 1) + 1
+    return total[np.ix_(bottom, right)] - total[np.ix_(top, right)] - total[np.ix_(bottom, left)] + total[np.ix_(top, left)]
+
+
+def event_preserving_z(frames: DataFrame, local_window_px: int = 23, epsilon: float = 1.0, floor: float = 0.25, spatial_sigma_px: float = 1.0, temporal_window_frames: int = 3) -> DataFrame:
+    """How far pixels above their frame's median lie above the mean around them, in deviations of that surrounding plus epsilon; 0 for others.
+
+    The surrounding is a square window, cut at the edges. A deviation counts as epsilon and as the share `floor` of the
+    frame's scaled median deviation at least. The last two belong to the stage's parameters, but the score is that of a frame.
+    """
+    radius = local_window_px // 2
+
+    def kernel(image: np.ndarray) -> np.ndarray:
+        signal = (image - np.median(image)).astype(np.float32).astype(np.float64)
+        least = max(epsilon, floor * 1.4826 * float(np.median(np.abs(signal))))
+        area = truncated_box_sums(np.ones_like(signal), radius)
+        mean = truncated_box_sums(signal, radius) / area
+        variance = np.maximum(truncated_box_sums(signal**2, radius) / area - mean**2, 0)
+        return np.where(signal > 0, (signal - mean) / (np.maximum(np.sqrt(variance), least) + epsilon), 0)
+
+    return per_frame(frames, kernel)
+
+
+def supported_mask(frames: DataFrame, threshold: float, least: int = 2) -> DataFrame:
+    """1 where a pixel reaches the threshold and so do `least` pixels of the 3 by 3 around it, itself included; else 0."""
+
+    def kernel(image: np.ndarray) -> np.ndarray:
+        active = image >= threshold
+        return active & (truncated_box_sums(active.astype(float), 1) >= least)
+
+    return per_frame(frames, kernel)
+
+
+def candidate_events(frames: DataFrame, event_threshold_z: float = 2.4, min_area_px: int = 4, grow_z: float = 1.1, max_area_px: int = 300) -> DataFrame:
+    """Accepted regions of frames of z scores: grown from pixels at the threshold over connected pixels at grow_z."""
+    found = grown(pixels(frames), event_threshold_z, min(grow_z, event_threshold_z), min_area_px, max_area_px)
+    return found.where("reason = 'accepted'").drop("reason", "region")
+
+
 def cfar_mask(frames: DataFrame, pfa: float = 0.001, guard_px: int = 2, training_radius_px: int = 11, epsilon: float = 1e-6, update_alpha: float | None = None) -> DataFrame:
     """1 where a pixel's positive part stands out from the ring around it, else 0. update_alpha is taken, but changes nothing."""
     if not 0 <= guard_px < training_radius_px:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..graph import connected_components
-from ..operators import activity, annotations, candidates, detection, diagnostics, images, joins, review, scoring, signal
+from ..operators import activity, annotations, candidates, detection, diagnostics, images, joins, regions, review, scans, scoring, signal
 from ..session import workers_import_this
 from .tables import DAYS, EVENTS_SQL, HOURS, events, table
 
@@ -158,6 +158,47 @@ def asof_last_view(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof_backward(rows.where("event_type = 'purchase'").select("event_id", "user_id", "micros"), views, ["user_id"], "micros", ["last_value"])
 
 
+@query("""WITH {e}, s AS (SELECT user_id, micros, value AS last_value FROM e WHERE event_type = 'view'), p AS (SELECT event_id, user_id, micros FROM e WHERE event_type = 'purchase')
+    SELECT event_id, p.user_id, p.micros, s.last_value FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.micros >= s.micros""")
+def asof_by_range(spark: SparkSession, d: str) -> DataFrame:
+    """As asof_last_view, in ranges of two days that carry their last value on."""
+    rows = events(spark, d)
+    views = rows.where("event_type = 'view'").select("user_id", "micros", F.col("value").alias("last_value"))
+    return joins.asof_by_range(rows.where("event_type = 'purchase'").select("event_id", "user_id", "micros"), views, ["user_id"], "micros", ["last_value"], 2 * 86_400_000_000)
+
+
+_WILD = """g AS (SELECT event_id AS gt_id, CASE WHEN user_id % 10 = 0 THEN '' ELSE (user_id % 50)::VARCHAR END AS gt_object, hour AS gt_onset, hour + k % 4 AS gt_peak, k % 5 AS gt_duration FROM e WHERE event_type = 'purchase'),
+    c AS (SELECT event_id AS cand_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE (user_id % 50)::VARCHAR END AS cand_object, hour AS cand_onset, hour + k % 3 AS cand_peak, k % 6 AS cand_duration FROM e WHERE event_type = 'signup'),
+    p AS (SELECT gt_id, cand_id, cand_onset - gt_onset AS onset_error, cand_peak - gt_peak AS peak_error, cand_duration - gt_duration AS duration_error FROM g JOIN c
+          ON abs(cand_onset - gt_onset) <= 2 AND (gt_object = '' OR cand_object IS NULL OR gt_object = cand_object))"""
+
+
+def _wild(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Purchases and signups as events of objects, some of which are not named."""
+    rows, name = events(spark, d), (F.col("user_id") % 50).cast("string")
+    side = lambda kind, c, blank, every, peak, length: rows.where(F.col("event_type") == kind).select(
+        F.col("event_id").alias(f"{c}_id"), F.when(F.col("user_id") % every == 0, blank).otherwise(name).alias(f"{c}_object"), F.col("hour").alias(f"{c}_onset"),
+        (F.col("hour") + F.col("k") % peak).alias(f"{c}_peak"), (F.col("k") % length).alias(f"{c}_duration"),
+    )
+    return side("purchase", "gt", F.lit(""), 10, 4, 5), side("signup", "cand", F.lit(None), 7, 3, 6)
+
+
+@query(f"WITH {{e}}, {_WILD} SELECT gt_id, cand_id, onset_error, peak_error, duration_error FROM p")
+def event_wildcard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    truth, found = _wild(spark, d)
+    pairs = joins.event_pairs(truth, found, "gt_object", "cand_object", [("gt_onset", "cand_onset", 2)])
+    return pairs.select("gt_id", "cand_id", *[(F.col(f"cand_{c}") - F.col(f"gt_{c}")).alias(f"{c}_error") for c in ("onset", "peak", "duration")])
+
+
+@query(f"""WITH RECURSIVE {{e}}, {_WILD}, q AS (SELECT *, row_number() OVER (ORDER BY abs(onset_error), abs(peak_error), gt_id, cand_id) AS k FROM p),
+    r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS cs UNION ALL
+          SELECT n.k, list_append(r.gs, n.gt_id), list_append(r.cs, n.cand_id) FROM r, LATERAL (SELECT k, gt_id, cand_id FROM q WHERE q.k > r.k AND NOT list_contains(r.gs, gt_id) AND NOT list_contains(r.cs, cand_id) ORDER BY q.k LIMIT 1) n),
+    l AS (SELECT gs, cs FROM r ORDER BY k DESC LIMIT 1), m AS (SELECT unnest(gs) AS gt_id, unnest(cs) AS cand_id FROM l)
+    SELECT p.* FROM p JOIN m USING (gt_id, cand_id)""")
+def event_wildcard_matches(spark: SparkSession, d: str) -> DataFrame:
+    return joins.match_events(*_wild(spark, d), tolerance=2)
+
+
 @query("""WITH {e}, c AS (SELECT count(*) AS total FROM e WHERE event_type = 'click'),
     n AS (SELECT count(*) AS near FROM e c WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM e x WHERE x.event_type = 'error' AND x.hour = c.hour AND sqrt((x.value - c.value) ** 2 + (x.user_id % 20 - c.user_id % 20) ** 2) <= 6.75))
     SELECT 'structure' AS category, near AS n, 100.0::DOUBLE * (near / total) AS percentage FROM c, n UNION ALL SELECT 'isolated', total - near, 100.0::DOUBLE * ((total - near) / total) FROM c, n""")
@@ -180,7 +221,16 @@ def event_match_eligible(spark: SparkSession, d: str) -> DataFrame:
     return _eligible(spark, d)
 
 
-@query()
+_GREEDY = """p AS (SELECT g.user_id, g.event_id AS gt_id, c.event_id AS cand_id, abs(g.micros - c.micros) AS apart FROM e g JOIN e c USING (user_id)
+    WHERE g.event_type = 'purchase' AND c.event_type = 'click' AND abs(g.micros - c.micros) <= 21600000000),
+    q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY apart, gt_id, cand_id) AS k FROM p),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS cs FROM q
+          UNION ALL SELECT q.user_id, q.k, CASE WHEN list_contains(gs, gt_id) OR list_contains(cs, cand_id) THEN gs ELSE list_append(gs, gt_id) END,
+          CASE WHEN list_contains(gs, gt_id) OR list_contains(cs, cand_id) THEN cs ELSE list_append(cs, cand_id) END FROM r JOIN q ON q.user_id = r.user_id AND q.k = r.k + 1),
+    l AS (SELECT user_id, arg_max(gs, k) AS gs, arg_max(cs, k) AS cs FROM r GROUP BY 1), m AS (SELECT user_id, unnest(gs) AS gt_id, unnest(cs) AS cand_id FROM l)"""
+
+
+@query(f"WITH RECURSIVE {{e}}, {_GREEDY} SELECT p.user_id, p.gt_id, p.cand_id, apart FROM p JOIN m ON m.gt_id = p.gt_id AND m.cand_id = p.cand_id")
 def event_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     return joins.greedy_match(_eligible(spark, d), "gt_id", "cand_id", ["apart", "gt_id", "cand_id"], ["user_id"])
 
@@ -647,9 +697,22 @@ def local_maxima(spark: SparkSession, d: str) -> DataFrame:
     return signal.local_maxima(_hourly(spark, d), ["event_type"], "hour", "v", 4.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HOURLY}, m AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)),
+    p AS (SELECT event_type, hour FROM m WHERE b IS NOT NULL AND a IS NOT NULL AND v >= 4 AND v >= b AND v >= a),
+    n AS (SELECT x.event_type, x.hour, min(y.hour) AS next FROM p x JOIN p y ON y.event_type = x.event_type AND y.hour >= x.hour + 3 GROUP BY ALL),
+    r AS (SELECT event_type, min(hour) AS hour FROM p GROUP BY 1 UNION ALL SELECT n.event_type, n.next FROM r JOIN n ON n.event_type = r.event_type AND n.hour = r.hour) SELECT event_type, hour FROM r""")
 def peaks_apart(spark: SparkSession, d: str) -> DataFrame:
-    return signal.apart(signal.local_maxima(_hourly(spark, d), ["event_type"], "hour", "v", 4.0), ["event_type"], "hour", 3)
+    return scans.spaced_peaks(signal.local_maxima(_hourly(spark, d), ["event_type"], "hour", "v", 4.0), ["event_type"], "hour", 3)
+
+
+@query("""WITH RECURSIVE {e}, s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY micros, event_id) AS k FROM e),
+    r AS (SELECT user_id, event_id, k, value AS level, 0.0::DOUBLE AS z FROM s WHERE k = 1 UNION ALL
+          SELECT s.user_id, s.event_id, s.k, level + CASE WHEN s.value < level THEN 0.11 WHEN s.value - level > 25 THEN 0.015 ELSE 0.08 END::DOUBLE * (s.value - level), greatest(0, s.value - level) / 10
+          FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1) SELECT user_id, event_id, round(z, 6) AS z FROM r""")
+def innovation_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's values as a series of any length, folded with a state that is carried on."""
+    rows = events(spark, d).select("user_id", F.struct("micros", "event_id").alias("at"), "event_id", "value")
+    return scans.scanned(rows, ["user_id"], "at", "value", scans.kalman_fold(noise=10.0)).select("user_id", "event_id", F.round("z", 6).alias("z"))
 
 
 @query(f"""WITH {_HOURLY}, w AS (SELECT *, list(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS vs,
@@ -668,7 +731,11 @@ def ewma_z(spark: SparkSession, d: str) -> DataFrame:
     return series.select("event_type", F.posexplode(signal.ewma_z(F.col("values"), 0.05)).alias("hour", "z")).withColumn("z", F.round("z", 6))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT vec_id, 1 AS k, embedding[1]::DOUBLE AS level, 0.0::DOUBLE AS z FROM embeddings UNION ALL
+    SELECT r.vec_id, k + 1, level + CASE WHEN embedding[k + 1]::DOUBLE < level THEN 0.11 WHEN embedding[k + 1]::DOUBLE - level > 0.25 THEN 0.015 ELSE 0.08 END::DOUBLE * (embedding[k + 1]::DOUBLE - level),
+    greatest(0, embedding[k + 1]::DOUBLE - level) / 0.1::DOUBLE FROM r JOIN embeddings e ON e.vec_id = r.vec_id WHERE k < 64),
+    m AS (SELECT *, lag(z) OVER w AS b, lead(z) OVER w AS a FROM r WINDOW w AS (PARTITION BY vec_id ORDER BY k))
+    SELECT vec_id, (k - 1)::INT AS at, round(z, 6) AS z FROM m WHERE b IS NOT NULL AND a IS NOT NULL AND z >= 1 AND z >= b AND z >= a""")
 def kalman_events(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings as traces: places of positive innovations that peak."""
     found = table(spark, d, "embeddings").select("vec_id", F.posexplode(signal.kalman_innovation(F.col("embedding"), noise=0.1)).alias("at", "z"))
@@ -793,7 +860,40 @@ def _components_of(frame: int, image):
     return pd.DataFrame(rows, columns=["frame", "first_pixel", "cx", "cy", "area"])
 
 
-@query()
+_GROWN = f"""{{e}}, {_CELLS}, m AS (SELECT frame, y, x, v, y * 1048576 + x AS id FROM c WHERE v >= 2),
+    l AS (SELECT a.frame, a.id AS a, b.id AS b FROM m a JOIN m b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+    r AS (SELECT frame, id, id AS root FROM m UNION SELECT l.frame, l.b, r.root FROM r JOIN l ON l.frame = r.frame AND l.a = r.id),
+    p AS (SELECT frame, id, min(root) AS region FROM r GROUP BY ALL),
+    w AS (SELECT p.frame::BIGINT AS frame, region::BIGINT AS region, count(*) AS area, avg(x) AS x, avg(y) AS y, max(v) AS peak_z, sum(v) / count(*) AS mean_z, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1,
+          max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM p JOIN m ON m.frame = p.frame AND m.id = p.id GROUP BY ALL),
+    f AS (SELECT *, area / (width * height) AS fill, greatest(width, height) / least(width, height) AS aspect FROM w),
+    n AS (SELECT *, CASE WHEN peak_z < 3 THEN 'no_seed' WHEN area < 2 OR area > 60 THEN 'area' WHEN fill < 0.3 OR aspect > 2.5 THEN 'shape' ELSE 'accepted' END AS reason FROM f),
+    o AS (SELECT *, CASE WHEN reason = 'accepted' THEN row_number() OVER (PARTITION BY frame, reason ORDER BY region) END AS component_id FROM n)"""
+
+
+def _grown(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a day by hour and value as pixels; tiles so small that many regions reach over their rims."""
+    rows = events(spark, d).where("day between 0 and 29")
+    cells = rows.groupBy(F.col("day").alias("frame"), (F.col("hour") % 24).alias("y"), F.least(F.lit(23), F.floor(F.col("value") / 10)).cast("int").alias("x")).agg(F.count("*").cast("double").alias("v"))
+    return regions.grown(cells, 3.0, 2.0, 2, 60, 0.3, 2.5, tile=8)
+
+
+@query(f"WITH RECURSIVE {_GROWN} SELECT frame, region, component_id, area, round(x, 9) AS x, round(y, 9) AS y, peak_z, round(mean_z, 9) AS mean_z, x0, y0, x1, y1, width, height, round(fill, 9) AS fill, round(aspect, 9) AS aspect, reason FROM o")
+def grown_regions(spark: SparkSession, d: str) -> DataFrame:
+    return _grown(spark, d).withColumns({c: F.round(c, 9) for c in ("x", "y", "mean_z", "fill", "aspect")})
+
+
+@query(f"""WITH RECURSIVE {_GROWN} SELECT frame, count(*) FILTER (reason = 'accepted') AS accepted, coalesce(sum(area) FILTER (reason = 'accepted'), 0)::BIGINT AS accepted_pixels,
+    count(*) FILTER (reason = 'no_seed') AS rejected_no_seed, count(*) FILTER (reason = 'area') AS rejected_area, count(*) FILTER (reason = 'shape') AS rejected_shape FROM o GROUP BY 1""")
+def region_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return regions.frame_outcomes(_grown(spark, d))
+
+
+@query(f"""WITH {{e}}, {_CELLS}, g AS (SELECT f.r::INT AS frame, y.r::INT AS y, x.r::INT AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT frame AS r FROM c) f CROSS JOIN range(24) y(r) CROSS JOIN range(24) x(r)
+    LEFT JOIN c ON c.frame = f.r AND c.y = y.r AND c.x = x.r), o AS (SELECT a.r AS dy, b.r AS dx FROM range(-4, 5) a(r), range(-4, 5) b(r)),
+    s AS (SELECT g.frame, g.y, g.x, g.v, sum(n.v) FILTER (greatest(abs(dy), abs(dx)) > 1) AS s, sum(n.v * n.v) FILTER (greatest(abs(dy), abs(dx)) > 1) AS ss
+          FROM g CROSS JOIN o JOIN g n ON n.frame = g.frame AND n.y = greatest(0, least(23, g.y + dy)) AND n.x = greatest(0, least(23, g.x + dx)) GROUP BY ALL),
+    z AS (SELECT *, (v - s / 72) / sqrt(greatest(ss / 72 - (s / 72) * (s / 72), 1e-12)) AS score FROM s) SELECT frame, y, x, round(score, 6) AS score FROM z WHERE score >= sqrt(-2 * ln(0.01))""")
 def cfar_detections(spark: SparkSession, d: str) -> DataFrame:
     return signal.cfar_detections(_pictures(spark, d), 1, 4, 0.01).withColumn("score", F.round("score", 6))
 

@@ -147,7 +147,7 @@ def merged_manifests(first: Sequence[dict], second: Sequence[dict], key: str = "
 
 def default_registry() -> Registry:
     """The built-in stages over frames, long pixel tables and detections."""
-    from ..operators import signal, video
+    from ..operators import scans, signal, video
 
     number = lambda default, low=None, high=None: Parameter("number", default, low, high)
     whole = lambda default, low=None, high=None: Parameter("integer", default, low, high)
@@ -167,6 +167,10 @@ def default_registry() -> Registry:
             Stage("adaptive_gamma_cfar", video.cfar_mask, 50, "frames", "mask", {"pfa": number(0.001, 0, 1), "guard_px": whole(2, 0, 100), "training_radius_px": whole(11, 1, 101), "update_alpha": number(0.02, 0.0001, 1)}),
             Stage("adaptive_ewma_z", video.ewma_scores, 50, "frames", "scores", {"alpha": number(0.02, 0.0001, 1), "threshold_z": number(3.0, 0, 20), "epsilon": number(1.0, 0, 100)}),
             Stage("component_filter", video.projected_components, 55, "scores", "candidates", {"seed_z": number(2.0, 0, 20), "grow_z": number(1.1, 0, 20), "min_area_px": whole(8, 1, 100000), "max_area_px": whole(260, 1, 100000)}),
+            Stage("event_preserving_noise_suppression", video.event_preserving_z, 30, "frames", "scores", {"spatial_sigma_px": number(1.0, 0, 10), "temporal_window_frames": whole(3, 1, 101)}),
+            Stage("candidate_event_pipeline", video.candidate_events, 50, "scores", "events", {"event_threshold_z": number(2.4, 0, 20), "min_area_px": whole(4, 1, 100000)}),
+            Stage("trace_event_scoring", scans.trace_events, 60, "traces", "events", {"event_threshold_z": number(2.4, 0, 20)}),
+            Stage("robust_kalman_positive_innovation", scans.innovation_events, 60, "traces", "events", {"event_threshold_z": number(2.4, 0, 20), "kalman_gain": number(0.06, 0, 1), "spike_gain": number(0.008, 0, 1)}),
             Stage("heuristic_priority_v1", video.prioritised, 80, "candidates", "ranked", {"local_correlation_weight": number(0.2, -5, 5), "event_support_weight": number(0.2, -5, 5), "artifact_weight": number(-0.15, -5, 5)}),
         ]
     )

@@ -9,10 +9,12 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workers_import_this
+from .stacks import frame_stacks
 
 FRAMES = "source string, frame int, height int, width int, pixels array<float>"
 
@@ -32,22 +34,8 @@ def ground_truth(intervals: DataFrame) -> DataFrame:
 
 
 def npy_frames(spark: SparkSession, path: str, chunk: int = 64) -> DataFrame:
-    """Frames of .npy stacks (frames first, three dimensions), a row each; a stack is decoded in one task and dealt on by chunk."""
-    files = workers_import_this(spark).read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, content in zip(files["path"], files["content"], strict=True):
-                stack = np.load(io.BytesIO(content), allow_pickle=False)
-                if stack.ndim < 3:
-                    raise ValueError(f"{name}: {stack.ndim} dimensions, 3 are needed")
-                for first in range(0, len(stack), chunk):
-                    part = stack[first : first + chunk]
-                    yield pd.DataFrame(
-                        {"source": name, "frame": np.arange(first, first + len(part), dtype=np.int32), "height": part.shape[1], "width": part.shape[2], "pixels": [np.ravel(x).astype(np.float32) for x in part]}
-                    )
-
-    return files.mapInPandas(run, FRAMES)
+    """Frames of .npy stacks (frames first, three dimensions), a row each; ranges of chunk frames are read by different tasks."""
+    return frame_stacks(spark, path, chunk)
 
 
 def chunked(frames: DataFrame, size: int) -> DataFrame:
@@ -58,11 +46,30 @@ def chunked(frames: DataFrame, size: int) -> DataFrame:
 
 
 def long_frames(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """Frames of a long table (frame, y, x, v); places without a value are 0."""
-    places = F.sequence(F.lit(0), F.lit(height * width - 1))
-    cells = rows.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int"), F.col("v").cast("float")))).alias("m"))  # height * width cells at most
-    pixels = F.transform(places, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0).cast("float")))
-    return cells.select(F.lit("").alias("source"), "frame", F.lit(height).alias("height"), F.lit(width).alias("width"), pixels.alias("pixels"))
+    """Frames of a long table (frame, y, x, v); places without a value are 0, of several values of a place the largest counts.
+
+    Rows are laid into images in one pass over each frame's rows, at most height * width places.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = height * width
+        for batch in batches:
+            n = batch.num_rows
+            cells = batch.column("cells")
+            inner = cells.flatten()
+            owner = np.repeat(np.arange(n), cells.value_lengths().to_numpy())
+            images = np.zeros(n * size, np.float32)
+            k, v = inner.field("k").to_numpy(), inner.field("v").fill_null(0).to_numpy()
+            order = np.argsort(v, kind="stable")
+            images[(owner * size + k)[order]] = v[order]
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(images))
+            yield pa.RecordBatch.from_arrays([batch.column("frame"), listed], ["frame", "pixels"])
+
+    inside = (F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)
+    cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("k"), F.col("v").cast("float").alias("v"))
+    cells = rows.where("frame is not null").groupBy(F.col("frame").cast("int").alias("frame")).agg(F.collect_list(F.when(inside, cell)).alias("cells"))
+    images = cells.mapInArrow(run, "frame int, pixels array<float>")
+    return images.select(F.lit("").alias("source"), "frame", F.lit(height).alias("height"), F.lit(width).alias("width"), "pixels")
 
 
 def documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
