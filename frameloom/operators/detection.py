@@ -188,3 +188,57 @@ def bootstrap_coverage(found: DataFrame, n_total: int, replicates: int = 200, se
     kept = copies.where(draw >= math.exp(-1))  # drawn at least once
     shares = kept.groupBy("replicate").agg((F.count_distinct("gt_id") / F.lit(float(n_total))).alias("share"))
     return shares.agg(F.percentile("share", 0.025).alias("low"), F.percentile("share", 0.975).alias("high"))
+
+
+def drift(gt: DataFrame) -> DataFrame:
+    """(gt_id, first, last, duration, distance): how far each identifier's last place lies from its first, in one grouping.
+
+    gt: frame, gt_id, x, y. Of several places in one frame the smallest counts.
+    """
+    ends = gt.groupBy("gt_id").agg(F.min(F.struct("frame", "x", "y")).alias("a"), F.max("frame").alias("last"), F.min(F.struct((-F.col("frame")).alias("k"), "x", "y")).alias("b"))
+    return ends.select("gt_id", F.col("a.frame").alias("first"), "last", (F.col("last") - F.col("a.frame") + 1).alias("duration"), F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")).alias("distance"))
+
+
+def ground_truth_summary(gt: DataFrame, voxels: int, pixel_um: float = 0.5) -> DataFrame:
+    """One row: points, identifiers, share of all voxels that are points (percent), the largest drift in pixels and micrometres; zeros without points."""
+    counts = gt.agg(F.count("*").alias("points"))
+    whole = drift(gt).agg(F.count("*").alias("identifiers"), F.coalesce(F.max("distance"), F.lit(0.0)).alias("max_drift"))
+    share = 100 * F.col("points") / F.lit(float(voxels)) if voxels > 0 else F.lit(0.0)
+    return counts.crossJoin(F.broadcast(whole)).select("points", "identifiers", share.alias("occupancy"), "max_drift", (F.col("max_drift") * pixel_um).alias("max_drift_um"))  # one row each
+
+
+def found_by_id(gt: DataFrame, det: DataFrame, tolerance: float, threshold: float) -> DataFrame:
+    """(gt_id, points, found, missed) of every identifier: its points that a detection of at least the threshold lies near."""
+    near = in_tolerance(gt, det.where(F.col("z") >= threshold), tolerance).select("frame", "gt_id", "x", "y").distinct()
+    counted = near.groupBy("gt_id").agg(F.count("*").alias("found"))
+    points = gt.select("frame", "gt_id", "x", "y").distinct().groupBy("gt_id").agg(F.count("*").alias("points"))
+    out = points.join(counted, "gt_id", "left").fillna(0, ["found"])
+    return out.withColumn("missed", F.col("points") - F.col("found"))
+
+
+def unique_rate(found: DataFrame) -> DataFrame:
+    """One row from found_by_id: identifiers, those found at least once, and their share (0 without identifiers)."""
+    return found.agg(F.count("*").alias("identifiers"), F.count_if(F.col("found") > 0).alias("detected")).withColumn("rate", ratio(F.col("detected"), F.col("identifiers")))
+
+
+def best_by_level(points: DataFrame, by: Sequence[str], levels: int, order: str = "threshold") -> DataFrame:
+    """For each of the highest numbers of true positives the point with the fewest false positives by frame, ties by `by` and descending order."""
+    first = Window.partitionBy("tp").orderBy("fppi", *by, F.desc(order))
+    best = points.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    return best.orderBy(F.desc("tp")).limit(levels)
+
+
+def cutoff_sweep(rows: DataFrame, score: str, size: str, cutoffs: Sequence[float], frames: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cutoff, kept, kept_size, and both by frame) of rows whose score reaches each cut-off, from one pass.
+
+    Rows are counted by how many cut-offs they reach; a cut-off keeps the counts of its own and all higher ones, which
+    are a row for each cut-off and group.
+    """
+    levels = sorted(set(map(float, cutoffs)))
+    reached = sum((F.when(F.col(score) >= c, 1).otherwise(0) for c in levels), F.lit(0))
+    counts = rows.groupBy(*by, reached.alias("_k")).agg(F.count("*").alias("_n"), F.coalesce(F.sum(size), F.lit(0)).alias("_s"))
+    grid = F.array(*[F.struct(F.lit(k + 1).alias("need"), F.lit(c).alias("cutoff")) for k, c in enumerate(levels)])
+    each = counts.select(*by, "_k", "_n", "_s", F.explode(grid).alias("_g"))
+    over = lambda c: F.coalesce(F.sum(F.when(F.col("_k") >= F.col("_g.need"), F.col(c))), F.lit(0))
+    out = each.groupBy(*by, F.col("_g.cutoff").alias("cutoff")).agg(over("_n").alias("kept"), over("_s").alias("kept_size"))
+    return out.withColumns({"kept_by_frame": F.col("kept") / F.lit(float(frames)), "size_by_frame": F.col("kept_size") / F.lit(float(frames))})

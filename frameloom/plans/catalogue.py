@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..graph import connected_components
-from ..operators import activity, annotations, candidates, detection, diagnostics, images, joins, regions, review, scans, scoring, signal
+from ..operators import active, activity, annotations, candidates, detection, diagnostics, images, joins, regions, review, scans, scoring, signal
 from ..session import workers_import_this
 from .tables import DAYS, EVENTS_SQL, HOURS, events, table
 
@@ -414,7 +414,13 @@ def object_overlap(spark: SparkSession, d: str) -> DataFrame:
     return candidates.shared_items(table(spark, d, "lineitem"), "l_suppkey", "l_partkey").withColumn("iou", F.round("iou", 9))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT o_orderkey, o_orderstatus, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O', 'F')),
+    p AS (SELECT a.o_orderkey AS gt, b.o_orderkey AS cand, count(*) AS n_both FROM s a JOIN s b USING (l_partkey) WHERE a.o_orderstatus = 'O' AND b.o_orderstatus = 'F' GROUP BY ALL HAVING count(*) >= 2),
+    q AS (SELECT *, row_number() OVER (ORDER BY n_both DESC, gt, cand) AS k FROM p),
+    r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS cs UNION ALL
+          SELECT n.k, list_append(r.gs, n.gt), list_append(r.cs, n.cand) FROM r, LATERAL (SELECT k, gt, cand FROM q WHERE q.k > r.k AND NOT list_contains(r.gs, gt) AND NOT list_contains(r.cs, cand) ORDER BY q.k LIMIT 1) n),
+    l AS (SELECT gs, cs FROM r ORDER BY k DESC LIMIT 1), m AS (SELECT unnest(gs) AS gt, unnest(cs) AS cand FROM l)
+    SELECT p.gt, p.cand, n_both, -n_both AS far FROM p JOIN m USING (gt, cand)""")
 def object_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one matching of orders of two customers' segments by shared parts."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -618,6 +624,118 @@ def active_batch(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(middle).select("p_partkey", F.round(score, 6).alias("active_score")).orderBy(F.desc("active_score"), "p_partkey").limit(30)
 
 
+_TASKS = f"""{_FEATURES}, {_REGION}, s AS (SELECT *, round({_SCORE}, 6) AS score, CASE WHEN p_partkey % 5 = 0 THEN 'accepted' WHEN p_partkey % 7 = 0 THEN 'unlabeled' ELSE '' END AS state FROM f2), m AS (SELECT median(score) AS mid FROM s),
+    u AS (SELECT *, abs(score - mid) <= greatest(0.25, 0.15 * abs(mid)) AS near, trace_snr > 0.5 AND trace_snr < 1.8 AS ts, lc > 0.2 AND lc < 0.45 AS cs, es > 0.2 AND es < 0.45 AS ev, artifact_score > 0.3 AND artifact_score < 0.65 AS ar,
+          artifact_score >= 0.4 AND (event_count > 0 OR trace_snr >= 1.5 OR es >= 0.35) AS cf FROM s, m WHERE state <> 'accepted'),
+    v AS (SELECT *, CASE WHEN near THEN 0.35 ELSE 0 END + CASE WHEN ts THEN 0.35 ELSE 0 END + CASE WHEN cs THEN 0.25 ELSE 0 END + CASE WHEN ev THEN 0.25 ELSE 0 END + CASE WHEN ar THEN 0.35 ELSE 0 END AS unsure FROM u),
+    b AS (SELECT p_brand, count(*) AS many, max(score) AS top, min((state = 'accepted')::INT) AS done, p_brand LIKE '%1' AS issue FROM s JOIN part USING (p_partkey) WHERE p_size <= 3 GROUP BY 1),
+    t AS (SELECT 'candidate:' || p_partkey AS task_id, 'candidate' AS task_type, p_partkey::VARCHAR AS subject_id, round(score + unsure + CASE WHEN cf THEN 0.75 ELSE 0 END + 0.75, 6)::DOUBLE AS active_score, score::DOUBLE AS priority_score,
+          round(unsure, 6)::DOUBLE AS uncertainty_score, 'unlabeled' AS state,
+          list_filter(['high_priority_unlabeled', CASE WHEN near OR ts OR cs OR ev OR ar THEN 'decision_boundary_uncertainty' END, CASE WHEN cf THEN 'artifact_neuron_conflict' END], lambda x: x IS NOT NULL) AS chosen,
+          list_sort(list_filter(['unlabeled_candidate', CASE WHEN near THEN 'decision_boundary' END, CASE WHEN ts THEN 'trace_snr_uncertainty' END, CASE WHEN cs THEN 'local_coherence_uncertainty' END, CASE WHEN ev THEN 'event_support_uncertainty' END,
+          CASE WHEN ar THEN 'artifact_uncertainty' END, CASE WHEN cf THEN 'artifact_neuron_conflict' END], lambda x: x IS NOT NULL)) AS codes FROM v
+        UNION ALL SELECT 'cluster:' || p_brand, 'cluster', p_brand, round(top + 1.25 + 0.25 * many + CASE WHEN issue THEN 0.75 ELSE 0 END, 6)::DOUBLE, top::DOUBLE, 0.0, NULL, ['split_merge_cluster'],
+          CASE WHEN issue THEN ['possible_duplicate', 'split_merge_cluster'] ELSE ['split_merge_cluster'] END FROM b WHERE done = 0)"""
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as candidates, and brands as clusters of their smallest parts."""
+    rows, _ = _region(spark, d)
+    own = {name: F.col(name) for name in candidates.PRIORITY_TERMS}
+    key = F.col("p_partkey")
+    found = rows.select(
+        key.alias("candidate_id"), F.round(candidates.priority(own, F.col("peak_z")), 6).alias("priority_score"), F.when(key % 5 == 0, "Accepted").when(key % 7 == 0, "unlabeled").otherwise("").alias("state"),
+        "trace_snr", F.col("lc").alias("local_correlation"), F.col("es").alias("event_support"), "artifact_score", "event_count",
+    )
+    brands = table(spark, d, "part").where("p_size <= 3").groupBy(F.col("p_brand").alias("cluster_id")).agg(F.collect_list("p_partkey").alias("candidate_ids"))
+    issue = F.when(F.col("cluster_id").endswith("1"), F.array(F.lit("possible_duplicate"))).otherwise(F.array().cast("array<string>"))
+    return active.candidate_tasks(found).unionByName(active.cluster_tasks(brands.withColumn("issue_codes", issue), found))
+
+
+@query(f"WITH {_TASKS} SELECT task_id, task_type, subject_id, active_score, priority_score, uncertainty_score, state, array_to_string(chosen, ',') AS selected_by, array_to_string(codes, ',') AS reason_codes FROM t")
+def active_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return _tasks(spark, d).withColumns({"selected_by": F.array_join("selected_by", ","), "reason_codes": F.array_join("reason_codes", ",")})
+
+
+@query(f"""WITH {_TASKS}, k AS (SELECT * FROM t ORDER BY active_score DESC, task_id LIMIT 200)
+    SELECT 'type' AS kind, task_type AS name, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'strategy', name, count(*) FROM (SELECT unnest(chosen) AS name FROM k) GROUP BY ALL""")
+def active_batch_counts(spark: SparkSession, d: str) -> DataFrame:
+    return active.batch_counts(active.review_batch(_tasks(spark, d), 200))
+
+
+@query(f"""WITH {_FEATURES}, {_REGION}, {_SUGGESTED}, r AS (SELECT 'roi' AS subject_type, p_partkey::VARCHAR AS subject_id, CASE WHEN p_partkey % 3 = 0 THEN 'accepted' ELSE 'unlabeled' END AS label_state, round(raw_score, 4) AS priority_score,
+        event_count::DOUBLE AS event_count, area, round(trace_snr, 9) AS trace_snr, round(lc, 9) AS local_correlation, es AS event_support, round(artifact_score, 9) AS artifact_score,
+        list_filter([CASE WHEN artifact_score >= 0.4 THEN 'artifact_check' END, CASE WHEN event_count > 30 THEN 'event_support' END, CASE WHEN trace_snr > 2.6 THEN 'trace_snr' END, CASE WHEN p_partkey % 3 <> 0 THEN 'unlabeled_roi' END], lambda x: x IS NOT NULL) AS codes FROM f2),
+    c AS (SELECT 'suggestion', id::VARCHAR, CASE WHEN state = '' THEN 'unlabeled' ELSE state END, round(priority * 10, 4), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, round(lc, 9), round(es, 9), round(artifact, 9),
+        list_filter([CASE WHEN artifact >= 0.4 OR cue <> 'none' THEN 'artifact_check' END, CASE WHEN es >= 0.35 THEN 'event_support' END, CASE WHEN lc >= 0.4 THEN 'local_coherence' END, CASE WHEN state = '' THEN 'unlabeled_suggestion' END], lambda x: x IS NOT NULL) FROM g)
+    SELECT * EXCLUDE (codes), array_to_string(codes, ',') AS reason_codes FROM (SELECT * FROM r UNION ALL SELECT * FROM c)""")
+def review_features(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as regions and customers as suggestions, for learning from reviews."""
+    rows, _ = _region(spark, d)
+    reviewed = F.col("p_partkey") % 3 == 0
+    texts = X.reasons((~reviewed, "unlabeled ROI"), (F.col("artifact_score") >= 0.4, "artifact risk"), (F.col("event_count") > 30, "many events"), (F.col("trace_snr") > 2.6, "high trace SNR"), (reviewed, "seen"))
+    region = rows.select(F.col("p_partkey").alias("id"), F.when(reviewed, "accepted").otherwise("").alias("state"), F.col("raw_score").alias("priority_score"), "event_count", "area", "trace_snr", F.col("lc").alias("local_correlation"), F.col("es").alias("event_support"), "artifact_score", texts.alias("reasons"))
+    found, c = _suggested(spark, d)
+    suggestion = found.select("id", "state", (F.col("priority") * 10).alias("priority_score"), "local_correlation", "event_support", "artifact_score", scoring.suggestion_reasons(c, F.col("state"), F.col("cue")).alias("reasons"))
+    out = active.feature_rows({"roi": region, "suggestion": suggestion})
+    return out.withColumns({x: F.round(x, 9) for x in ("trace_snr", "local_correlation", "event_support", "artifact_score")})
+
+
+# --- ground truth over time, cut-offs ---
+
+_PLACES = "g AS (SELECT user_id AS gt_id, hour AS frame, value AS x, k::DOUBLE AS y FROM e WHERE event_type IN ('view', 'click'))"
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).where("event_type in ('view', 'click')").select(F.col("user_id").alias("gt_id"), F.col("hour").alias("frame"), F.col("value").alias("x"), F.col("k").cast("double").alias("y"))
+
+
+_DRIFT = """w AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY frame, x, y) AS a, row_number() OVER (PARTITION BY gt_id ORDER BY frame DESC, x, y) AS b FROM g),
+    r AS (SELECT f.gt_id, f.frame AS first, l.frame AS last, l.frame - f.frame + 1 AS duration, sqrt((l.x - f.x) ** 2 + (l.y - f.y) ** 2) AS distance FROM w f JOIN w l USING (gt_id) WHERE f.a = 1 AND l.b = 1)"""
+
+
+@query(f"WITH {{e}}, {_PLACES}, {_DRIFT} SELECT gt_id, first, last, duration, round(distance, 6) AS distance FROM r")
+def event_drift(spark: SparkSession, d: str) -> DataFrame:
+    return detection.drift(_places(spark, d)).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {{e}}, {_PLACES}, {_DRIFT} SELECT (SELECT count(*) FROM g) AS points, count(*) AS identifiers, round(100 * (SELECT count(*) FROM g) / 720000.0::DOUBLE, 9) AS occupancy, round(max(distance), 6) AS max_drift, round(max(distance) / 2, 6) AS max_drift_um FROM r""")
+def truth_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = detection.ground_truth_summary(_places(spark, d), 720_000)
+    return out.withColumns({"occupancy": F.round("occupancy", 9), "max_drift": F.round("max_drift", 6), "max_drift_um": F.round("max_drift_um", 6)})
+
+
+_FOUND = f"""{{e}}, {_GT.replace("event_id AS gt_id", "user_id AS gt_id")}, {_DET}, q AS (SELECT DISTINCT frame, gt_id, x, y FROM gt),
+    n AS (SELECT q.*, EXISTS (SELECT 1 FROM det WHERE det.frame = q.frame AND z >= 25 AND sqrt((q.x - det.x) ** 2 + (q.y - det.y) ** 2) <= 5) AS hit FROM q),
+    o AS (SELECT gt_id, count(*) AS points, count(*) FILTER (hit) AS found FROM n GROUP BY 1)"""
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    truth = events(spark, d).where("event_type = 'purchase'").select(F.col("hour").alias("frame"), F.col("user_id").alias("gt_id"), F.col("value").alias("x"), _second())
+    return detection.found_by_id(truth, _detections(spark, d), 5.0, 25.0)
+
+
+@query(f"WITH {_FOUND} SELECT gt_id, points, found, points - found AS missed FROM o")
+def found_by_object(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d)
+
+
+@query(f"WITH {_FOUND} SELECT count(*) AS identifiers, count(*) FILTER (found > 0) AS detected, count(*) FILTER (found > 0) / count(*) AS rate FROM o")
+def unique_detection(spark: SparkSession, d: str) -> DataFrame:
+    return detection.unique_rate(_found(spark, d))
+
+
+@query(f"WITH {_SWEEP}, b AS (SELECT * FROM sweep QUALIFY row_number() OVER (PARTITION BY tp ORDER BY fppi, event_type, threshold DESC) = 1) SELECT * FROM b ORDER BY tp DESC LIMIT 5")
+def best_levels(spark: SparkSession, d: str) -> DataFrame:
+    return detection.best_by_level(_sweep(spark, d), ["event_type"], 5)
+
+
+@query("""SELECT l_returnflag, c AS cutoff, count(*) FILTER (l_discount >= c) AS kept, coalesce(sum(l_quantity) FILTER (l_discount >= c), 0) AS kept_size, count(*) FILTER (l_discount >= c) / 30.0::DOUBLE AS kept_by_frame,
+    coalesce(sum(l_quantity) FILTER (l_discount >= c), 0) / 30.0::DOUBLE AS size_by_frame FROM lineitem, (SELECT unnest([0.02, 0.05, 0.08, 0.5])::DOUBLE AS c) GROUP BY ALL""")
+def score_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    return detection.cutoff_sweep(table(spark, d, "lineitem"), "l_discount", "l_quantity", [0.02, 0.05, 0.08, 0.5], 30, ["l_returnflag"])
+
+
 # --- diagnostics ---
 
 
@@ -763,6 +881,44 @@ def trace_export(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", "frame", (F.col("frame") / 5.0).alias("time_sec"), F.col("value").cast("double").alias("value"))
 
 
+_READY = "vec_id % 3 = 0 AND vec_id % 4 < 2 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0"
+
+
+def _control(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Vectors as regions with traces, events as theirs; what annotations say follows from identifiers."""
+    from ..sources.exports import control_tables
+
+    key = F.col("vec_id")
+    regions = table(spark, d, "embeddings").select(key.alias("roi_id"), F.col("embedding").cast("array<double>").alias("dff"), F.slice("embedding", 1, 40).cast("array<double>").alias("event_trace"), F.slice("embedding", 2, 50).cast("array<double>").alias("z"))
+    marks = table(spark, d, "embeddings").select(
+        key.alias("roi_id"), F.when(key % 3 == 0, "accepted").when(key % 3 == 1, "rejected").alias("cell_state"), F.when(key % 4 == 0, "good").when(key % 4 == 1, "weak").otherwise("noisy").alias("trace_quality"),
+        F.when(key % 7 == 0, "no").otherwise("maybe").alias("control_ready"), F.when(key % 11 == 0, "vessel").alias("artifact_class"), F.col("label").cast("string").alias("identity_group"),
+        F.lit("high").alias("confidence"), F.array(F.lit("seen"), F.lit("twice")).alias("reason_tags"),
+    )
+    rows = events(spark, d).select(F.col("user_id").alias("roi_id"), (F.col("hour") + 1).alias("frame"), "event_type", F.col("k").alias("z"), F.col("event_id").alias("amplitude"))
+    told = rows.where("event_type = 'error'").groupBy("roi_id", "frame").agg(F.lit("accepted").alias("event_state"), F.lit("late").alias("timing_quality"))
+    return control_tables(regions, rows.drop("event_type"), marks, told, 5.0)
+
+
+@query(f"""SELECT vec_id::VARCHAR AS roi_id, k::VARCHAR AS frame, ((k - 1) / 5.0::DOUBLE)::VARCHAR AS time_sec, round(embedding[k]::DOUBLE, 6) AS dff, round(CASE WHEN k <= 40 THEN embedding[k]::DOUBLE END, 6) AS event_trace, round(CASE WHEN k <= 50 THEN embedding[k + 1]::DOUBLE END, 6) AS z,
+    'accepted' AS cell_state, CASE WHEN vec_id % 4 = 0 THEN 'good' ELSE 'weak' END AS trace_quality, 'maybe' AS control_ready FROM embeddings, range(1, 65) t(k) WHERE {_READY}""")
+def control_traces(spark: SparkSession, d: str) -> DataFrame:
+    return _control(spark, d)["accepted_traces"].withColumns({c: F.round(F.col(c).try_cast("double"), 6) for c in ("dff", "event_trace", "z")})
+
+
+@query(f"""WITH {{e}}, t AS (SELECT DISTINCT user_id, hour FROM e WHERE event_type = 'error')
+    SELECT e.user_id::VARCHAR AS roi_id, (e.hour + 1)::VARCHAR AS frame, e.hour / 5.0::DOUBLE AS time_sec, e.k::VARCHAR AS z, e.event_id::VARCHAR AS amplitude, CASE WHEN t.user_id IS NULL THEN '' ELSE 'accepted' END AS event_state, '' AS event_type,
+    CASE WHEN t.user_id IS NULL THEN '' ELSE 'late' END AS timing_quality, 'accepted' AS cell_state, 'maybe' AS control_ready FROM e JOIN embeddings ON vec_id = e.user_id LEFT JOIN t ON t.user_id = e.user_id AND t.hour = e.hour WHERE {_READY}""")
+def control_events(spark: SparkSession, d: str) -> DataFrame:
+    return _control(spark, d)["accepted_events"].withColumn("time_sec", F.col("time_sec").cast("double"))
+
+
+@query(f"""SELECT vec_id::VARCHAR AS roi_id, 'accepted' AS cell_state, CASE WHEN vec_id % 4 = 0 THEN 'good' ELSE 'weak' END AS trace_quality, 'maybe' AS control_ready, '' AS artifact_class, label::VARCHAR AS identity_group, 'high' AS confidence, 'seen,twice' AS reason_tags
+    FROM embeddings WHERE {_READY}""")
+def control_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return _control(spark, d)["neuron_metadata"]
+
+
 @query("""WITH {e} SELECT event_type, count(*) AS n, sum(k)::BIGINT AS total, min(k) AS least, max(k) AS most FROM e GROUP BY 1""")
 def props_json(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.min("k").alias("least"), F.max("k").alias("most"))
