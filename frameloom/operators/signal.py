@@ -19,12 +19,9 @@ def medians(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, median) of the values of each group that are not null: distinct values are counted first, so a group of any size
     is a sorted run of counts, not a list in one task's memory."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    same = lambda a, b: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    each = counts.withColumn("_upto", upto).alias("a")
-    both = each.join(whole.alias("b"), same("a", "b"), "inner") if by else each.crossJoin(F.broadcast(whole))  # one row
-    placed = both.select(*[F.col(f"a.{c}").alias(c) for c in by], "_v", "_upto", "_all")
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole)})
     low, high = (F.min(F.when(c, F.col("_v"))) for c in (2 * F.col("_upto") >= F.col("_all"), 2 * F.col("_upto") > F.col("_all")))
     return placed.groupBy(*by).agg(((low + high) / 2).alias("median"))
 
