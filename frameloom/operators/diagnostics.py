@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,15 +54,41 @@ def latency_percentiles(samples: DataFrame, by: Sequence[str], value: str, budge
     counts = samples.where(v.isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.withColumn("_upto", F.sum("_n").over(upto))
-    total = samples.groupBy(*by).agg(F.count(v).alias("n"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.median(v).alias("p50"), F.count_if(v > budget).alias("n_over"))
+    total = samples.groupBy(*by).agg(F.count(v).alias("n"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.count_if(v > budget).alias("n_over"))
     rank = lambda q: F.bround((F.col("n") - 1) * F.lit(q), 0)
     at = placed.join(total.select(*by, "n"), list(by)) if by else placed.crossJoin(total.select("n"))
-    picks = [F.min(F.when(F.col("_upto") > rank(q), v)).alias(name) for q, name in ((0.95, "p95"), (0.99, "p99"))]
+    middle = (F.col("n") - 1) / 2
+    places = {"p95": rank(0.95), "p99": rank(0.99), "_below": F.floor(middle), "_above": F.ceil(middle)}
+    picks = [F.min(F.when(F.col("_upto") > place, v)).alias(name) for name, place in places.items()]
     ranks = at.groupBy(*by).agg(*picks) if by else at.agg(*picks)
+    ranks = ranks.withColumn("p50", (F.col("_below") + F.col("_above")) / 2).drop("_below", "_above")
     out = total.join(ranks, list(by), "left") if by else total.crossJoin(ranks)
     return out.withColumn("meets_budget", (F.coalesce("p99", F.lit(0.0)) <= budget).cast("int"))
 
 
+def values_at_ranks(rows: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, float], cells: int = 4096) -> DataFrame:
+    """(by, a column for each rank): per group the value at place (n - 1) * q, halves up, in ascending order; nulls are no values.
+
+    Counts over cells of equal width tell the cell that holds a place; only that cell's distinct values are put in order.
+    So a group of any size is counted by all tasks, and neither its values nor its distinct values come together.
+    """
+    keys, v = list(by), F.col(value).cast("double")
+    rows = rows.select(*keys, v.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    width = (F.col("_high") - F.col("_low")) / cells
+    cell = F.when(width > 0, F.least(F.lit(cells - 1), F.floor((F.col("_v") - F.col("_low")) / width).cast("int"))).otherwise(0)
+    placed = (rows.join(ends, keys) if keys else rows.crossJoin(ends)).withColumn("_cell", cell)
+    order = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    counts = placed.groupBy(*keys, "_cell").agg(F.count("*").alias("_in"), F.first("_n").alias("_n")).withColumn("_upto", F.sum("_in").over(order))
+    places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor((F.col("_n") - 1) * F.lit(q) + 0.5).alias("place")) for name, q in ranks.items()]))
+    held = counts.withColumn("_r", places).where("_r.place < _upto AND _r.place >= _upto - _in")
+    held = held.select(*keys, "_cell", F.col("_r.name").alias("_name"), (F.col("_r.place") - F.col("_upto") + F.col("_in")).alias("_left"))
+    distinct = placed.groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_in"))
+    inner = Window.partitionBy(*keys, "_cell", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = distinct.join(held, [*keys, "_cell"]).withColumn("_upto", F.sum("_in").over(inner))
+    return near.groupBy(*keys).agg(*[F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_left")), F.col("_v"))).alias(name) for name in ranks])
+
+
 def small_percentile(values: Column, q: float) -> Column:
     return nearest_rank(values, q)
 

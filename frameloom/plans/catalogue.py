@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..graph import connected_components
-from ..operators import active, activity, annotations, candidates, detection, diagnostics, images, joins, regions, review, scans, scoring, signal
+from ..operators import active, activity, annotations, candidates, detection, diagnostics, evidence, images, joins, proposals, regions, review, scans, scoring, signal
 from ..session import workers_import_this
 from .tables import DAYS, EVENTS_SQL, HOURS, events, table
 
@@ -1094,3 +1094,182 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
     edges = rows.select(F.col("o_custkey").alias("a"), (1_000_000_000 + F.floor(F.col("o_totalprice") / 500)).cast("long").alias("b")).distinct()
     return connected_components(edges)
+
+
+# --- evidence, proposals, named queues, progress and reviewers' pairs ---
+
+_EVIDENCE = f"""{_CELLS}, g AS (SELECT f.r::INT AS frame, y.r::INT AS y, x.r::INT AS x, coalesce(v, 0) AS v FROM range(30) f(r), range(24) y(r), range(24) x(r) LEFT JOIN c ON c.frame = f.r AND c.y = y.r AND c.x = x.r),
+    p AS (SELECT y, x, greatest(0.0, max(v)) AS pk, stddev_pop(v) AS sd, count(*) FILTER (v >= 2)::DOUBLE AS ac FROM g GROUP BY ALL),
+    n AS (SELECT a.y, a.x, CASE WHEN stddev_pop(a.v) > 0 AND stddev_pop(b.v) > 0 THEN covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) ELSE 0 END AS r
+          FROM g a JOIN g b ON a.frame = b.frame AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY a.y, a.x, b.y, b.x),
+    co AS (SELECT y, x, (avg(r) + 1) / 2 AS co FROM n GROUP BY ALL),
+    bl AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM p, range(-1, 2) i(dy), range(-1, 2) j(dx) WHERE pk >= 4 AND dy * dy + dx * dx <= 1),
+    s AS (SELECT y, x, pk, sd, ac, co, bl.y IS NULL AS free, CASE WHEN bl.y IS NULL THEN pk * (1 + 0.35 * least(1.0, ac / 10)) ELSE 0 END AS un FROM p JOIN co USING (y, x) LEFT JOIN bl USING (y, x)),
+    l AS (SELECT count(*) AS n, list_sort(list(pk)) AS pk, list_sort(list(sd)) AS sd, list_sort(list(ac)) AS ac, list_sort(list(co)) AS co, list_sort(list(un)) AS un FROM s),
+    k AS (SELECT *, (1 + floor((n - 1) * 0.01 + 0.5))::INT AS i, (1 + floor((n - 1) * 0.995 + 0.5))::INT AS j FROM l),
+    u AS (SELECT y, x, free, {", ".join(f"greatest(0.0, least(1.0, (s.{c} - k.{c}[i]) / greatest(1e-6, k.{c}[j] - k.{c}[i]))) AS {c}" for c in ("pk", "sd", "ac", "co", "un"))} FROM s, k),
+    w AS (SELECT y, x, greatest(0.0, least(1.0, 0.55 * ac + 0.25 * pk + 0.20 * co)) AS su, CASE WHEN free THEN 0.40 * pk + 0.20 * sd + 0.20 * ac + 0.15 * un + 0.05 * co ELSE 0 END AS di FROM u)"""
+
+
+@query(f"""WITH {{e}}, {_EVIDENCE} SELECT a.y, a.x, round(avg(b.su), 6)::DOUBLE AS support, round(avg(b.di), 6)::DOUBLE AS discovery FROM w a JOIN w b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL""")
+def evidence_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Event support and discovery of each pixel of the pictures; pixels that reach 4 stand for known regions."""
+    long = signal.pixels(_pictures(spark, d))
+    per = evidence.pixel_evidence(long.withColumn("z", F.col("v")), 2.0)
+    out = evidence.evidence_maps(per, images.local_correlation(long), evidence.blocked_pixels(per.where("peak_z >= 4"), 1))
+    return out.withColumns({c: F.round(c, 6) for c in ("support", "discovery")})
+
+
+_CLEAR = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))"
+
+
+@query(f"""WITH {_FEATURES}, {_REGION}, a AS (SELECT *, greatest(0.0::DOUBLE, artifact_score - 0.3) AS bg, es / 2 AS compact FROM f2),
+    b AS (SELECT *, {_CLEAR.format("0.35 * bg + CASE WHEN lc < 0.45 THEN 0.25 ELSE 0 END + CASE WHEN compact < 0.30 THEN 0.20 ELSE 0 END + CASE WHEN area < 1.5 * 60 THEN 0.10 ELSE 0 END")} AS ra,
+          {_CLEAR.format("CASE WHEN elongation > 4 THEN 0.45 ELSE 0 END + CASE WHEN lc < 0.45 THEN 0.25 ELSE 0 END + CASE WHEN peak_z > 45 THEN 0.25 ELSE 0 END")} AS sa FROM a)
+    SELECT p_partkey, round(1e-9 + ra, 6)::DOUBLE AS region_artifact, round(1e-9 + {_CLEAR.format(f"0.20 * lc + 0.20 * es + 0.20 * {_unit('trace_snr / 8')} + 0.15 * compact + 0.15 * {_unit('event_count / 8')} + 0.10 * {_unit('peak_z / 30')} - 0.20 * bg - 0.15 * ra")}, 6)::DOUBLE AS region_evidence,
+    round(1e-9 + sa, 6)::DOUBLE AS suggestion_artifact, CASE WHEN peak_z <= 2 THEN 'border' WHEN elongation > 4 THEN 'elongated_structure' WHEN peak_z > 45 THEN 'very_bright' ELSE 'none' END AS cue,
+    round(1e-9 + {_CLEAR.format("0.25 * artifact_score + 0.25 * lc + 0.25 * es + 0.15 * compact + 0.10 * event_count / 60 - 0.20 * sa")}, 6)::DOUBLE AS suggestion_evidence,
+    round(1e-9 + peak_z / greatest(0.04, local_correlation) + 0.4 * event_count, 6)::DOUBLE AS quality, round(1e-9 + CASE WHEN peak_z > 25 THEN 0 ELSE 20 END + 12 * local_correlation + abs(area - 65) / 50 - 0.15 * event_count, 6)::DOUBLE AS unsureness FROM b""")
+def evidence_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows, c = _region(spark, d)
+    c |= {"background_correlation": F.greatest(F.lit(0.0), F.col("artifact_score") - 0.3), "compactness": F.col("es") / 2, "peak_score": F.col("peak_z"), "aspect": F.col("elongation")}
+    c |= {"seed_score": F.col("artifact_score"), "active_frames": F.col("event_count"), "noise": F.col("local_correlation")}
+    bright = F.col("peak_z") > 45
+    region, suggestion = evidence.region_artifact_score(c, 60), evidence.suggestion_artifact_score(c, bright)
+    out = {
+        "region_artifact": region, "region_evidence": evidence.region_evidence(c, region, 30.0), "suggestion_artifact": suggestion,
+        "suggestion_evidence": evidence.suggestion_evidence(c, suggestion, 60), "quality": evidence.quality(c), "unsureness": evidence.unsureness(c, F.col("peak_z") > 25),
+    }
+    return rows.select("p_partkey", evidence.suggestion_cue(c, F.col("peak_z") <= 2, bright).alias("cue"), *[F.round(v + 1e-9, 6).alias(k) for k, v in out.items()])
+
+
+_PROPOSED = f"""{_FEATURES}, {_REGION}, a AS (SELECT *, list_filter([CASE WHEN artifact_score >= 0.4 THEN 'artifact score' END, CASE WHEN lc > 0 AND lc < 0.35 THEN 'low local coherence' END, CASE WHEN area <> 0 AND area < 8 THEN 'too small' END,
+    CASE WHEN area >= 180 THEN 'large or merged' END, CASE WHEN elongation >= 5 THEN 'elongated' END, CASE WHEN peak_z <= 2 OR peak_z >= 48 THEN 'near border' END], lambda x: x IS NOT NULL) AS cues FROM f2),
+    r AS (SELECT *, list_filter(['uncovered discovery suggestion', CASE WHEN es >= 0.35 THEN 'event-supported' END, CASE WHEN lc >= 0.45 THEN 'locally coherent' END, CASE WHEN trace_snr >= 3 THEN 'strong positive evidence' END,
+    CASE WHEN event_count >= 4 THEN 'repeated activity' END, CASE WHEN len(cues) > 0 THEN 'artifact cue: ' || array_to_string(cues[1:3], ', ') END, CASE WHEN peak_z > 45 THEN 'annotation: rejected' END], lambda x: x IS NOT NULL) AS why FROM a)"""
+
+
+def _proposed(spark: SparkSession, d: str) -> DataFrame:
+    rows, c = _region(spark, d)
+    c |= {"max_z": F.col("trace_snr"), "active_frames": F.col("event_count")}
+    z = F.col("peak_z")
+    border = proposals.near_border([z - 1, F.lit(10), z + 1, F.lit(20)], F.lit(51), F.lit(99))
+    none = F.lit(None).cast("string")
+    rows = rows.withColumn("cues", scoring.artifact_reasons(c, border, none, none))
+    state = F.when(z > 45, "rejected").otherwise("")
+    score = scoring.proposal_score(c | {"priority": F.col("es")}, border, state)
+    return rows.withColumns({"why": proposals.proposal_reasons(c, F.col("cues"), state), "risk": scoring.artifact_risk(c, border, F.lit(False)), "score": score})
+
+
+@query(f"WITH {_PROPOSED}, t AS (SELECT 'artifact' AS kind, unnest(cues) AS reason FROM r UNION ALL SELECT 'proposal', unnest(why) FROM r) SELECT kind, reason, count(*) AS n FROM t GROUP BY ALL")
+def proposal_reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _proposed(spark, d)
+    return proposals.reason_counts(rows, "cues").withColumn("kind", F.lit("artifact")).unionByName(proposals.reason_counts(rows, "why").withColumn("kind", F.lit("proposal")))
+
+
+_RISK = f"""greatest(0, least(1, 0.45 * {_unit("artifact_score")} + CASE WHEN lc > 0 THEN 0.15 * {_unit("(0.40 - lc) / 0.40")} ELSE 0 END + 0.10 * {_unit("(area - 140) / 160")} + CASE WHEN area > 0 THEN 0.08 * {_unit("(8 - area) / 8")} ELSE 0 END
+    + 0.10 * {_unit("(elongation - 3) / 4")} + CASE WHEN trace_snr > 0 THEN 0.08 * {_unit("(1.5 - trace_snr) / 1.5")} ELSE 0 END + CASE WHEN peak_z <= 2 OR peak_z >= 48 THEN 0.08 ELSE 0 END))"""
+_PROPOSAL = f"""greatest(0, least(1, 0.35 * {_unit("es")} + 0.20 * {_unit("es")} + 0.18 * {_unit("es")} + 0.14 * {_unit("lc")} + 0.06 * {_unit("trace_snr / 6")} + 0.04 * {_unit("event_count / 20")} - 0.22 * {_unit("artifact_score")}
+    - 0.08 * {_unit("(area - 180) / 180")} - 0.08 * {_unit("(elongation - 3) / 4")} - CASE WHEN peak_z <= 2 OR peak_z >= 48 THEN 0.05 ELSE 0 END - CASE WHEN peak_z > 45 THEN 0.35 ELSE 0 END))"""
+
+
+@query(f"""WITH {_PROPOSED} SELECT count(*) AS region_count, count(*) FILTER (round({_RISK} + 1e-9, 6) >= 0.4) AS high_risk_count, count(*) AS proposal_count, least(50, count(*)) AS shown_count,
+    count(*) FILTER (round({_PROPOSAL} + 1e-9, 6) >= 0.65) AS high_confidence_count, count(*) FILTER (len(cues) > 0) AS artifact_cued_count FROM r""")
+def proposal_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = _proposed(spark, d).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("risk", "score")}).withColumn("cue", F.try_element_at("cues", F.lit(1)))
+    return proposals.analysis_summary(rows, "risk", rows, "score", "cue", 50).withColumn("shown_count", F.col("shown_count").cast("long"))
+
+
+@query(f"WITH {_PROPOSED}, s AS (SELECT p_partkey, round({_PROPOSAL} + 1e-9, 6)::DOUBLE AS score, array_to_string(why, '; ') AS why FROM r) SELECT * FROM s ORDER BY score DESC, p_partkey LIMIT 50")
+def best_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty suggestions with the highest scores."""
+    rows = _proposed(spark, d).select("p_partkey", F.round(F.col("score") + 1e-9, 6).alias("score"), F.array_join("why", "; ").alias("why"))
+    return proposals.best(rows, ["score"], "p_partkey", 50)
+
+
+_LOOKED = f"""{_FEATURES}, rg AS (SELECT p_partkey, round({_SCORE}, 6)::DOUBLE AS score, artifact_score, ['', 'accepted', 'rejected', 'Unsure', 'promoted'][1 + (p_partkey % 5)::INT] AS state, ['high', 'medium', 'low', ''][1 + (p_partkey % 4)::INT] AS confidence,
+    CASE WHEN p_partkey % 11 = 0 THEN 'Second look' END AS act FROM f),
+    ev AS (SELECT l_orderkey || ':' || l_linenumber AS id, round(score + 0.4 * l_tax, 6)::DOUBLE AS score, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'unsure' ELSE '' END AS state, CASE WHEN l_linenumber = 7 THEN 'second_review' END AS tag FROM lineitem JOIN rg ON l_partkey = p_partkey),
+    sg AS (SELECT s_suppkey AS id, s_acctbal AS score, CASE s_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'missed' ELSE 'artifact' END AS state, CASE WHEN s_nationkey % 4 = 0 THEN 'border' ELSE 'none' END AS cue FROM supplier)"""
+
+
+def _looked_at(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, _ = _region(spark, d)
+    own = {name: F.col(name) for name in candidates.PRIORITY_TERMS}
+    pick = lambda texts, k: F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % k).cast("int") + 1)
+    found = rows.select(
+        "p_partkey", F.round(candidates.priority(own, F.col("peak_z")), 6).alias("score"), "artifact_score", pick(["", "accepted", "rejected", "Unsure", "promoted"], 5).alias("state"),
+        pick(["high", "medium", "low", ""], 4).alias("confidence"), F.when(F.col("p_partkey") % 11 == 0, "Second look").alias("act"),
+    )
+    flag = F.col("l_returnflag")
+    at = table(spark, d, "lineitem").join(found.select("p_partkey", "score"), F.col("l_partkey") == F.col("p_partkey"))
+    happened = at.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.round(review.event_queue_score(F.col("score"), F.col("l_tax")), 6).alias("score"),
+        F.when(flag == "A", "accepted").when(flag == "R", "unsure").otherwise("").alias("state"), F.when(F.col("l_linenumber") == 7, F.array(F.lit("second_review"))).alias("tags"),
+    )
+    n = F.col("s_nationkey")
+    offered = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score"), F.when(n % 3 == 0, "").when(n % 3 == 1, "missed").otherwise("artifact").alias("state"), F.when(n % 4 == 0, "border").otherwise("none").alias("cue")
+    )
+    return found, happened, offered
+
+
+@query(f"""WITH {_LOOKED}, m AS (
+    SELECT unnest([CASE WHEN lower(state) NOT IN ('accepted', 'rejected', 'unsure') THEN 'unreviewed_high_priority' END, CASE WHEN state = 'Unsure' OR confidence IN ('low', 'medium') THEN 'uncertain' END, CASE WHEN artifact_score >= 0.4 THEN 'likely_artifact' END,
+        CASE WHEN act IS NOT NULL OR confidence = 'low' THEN 'needs_second_reviewer' END]) AS queue, 'region' AS subject_type, p_partkey::VARCHAR AS subject_id, score FROM rg
+    UNION ALL SELECT unnest([CASE WHEN state = 'unsure' THEN 'uncertain' END, CASE WHEN tag IS NOT NULL THEN 'needs_second_reviewer' END]), 'event', id, score FROM ev
+    UNION ALL SELECT unnest([CASE WHEN state <> 'artifact' AND cue = 'none' THEN 'possible_missed_neuron' END, CASE WHEN state = 'artifact' OR cue <> 'none' THEN 'likely_artifact' END]), 'suggestion', id::VARCHAR, score FROM sg)
+    SELECT queue, subject_type, subject_id, score, row_number() OVER (PARTITION BY queue ORDER BY score DESC, subject_type, subject_id) AS place, count(*) OVER (PARTITION BY queue) AS queue_length FROM m WHERE queue IS NOT NULL QUALIFY place <= 30""")
+def named_queues(spark: SparkSession, d: str) -> DataFrame:
+    """The five guided queues over regions, events and suggestions, thirty places each."""
+    found, happened, offered = _looked_at(spark, d)
+    none, no_tags, c = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.col
+    regions_ = review.region_queues({"state": c("state"), "confidence": c("confidence"), "artifact_score": c("artifact_score"), "artifact_class": none, "needs_action": c("act"), "reason_tags": no_tags})
+    events_ = review.event_queues({"state": c("state"), "confidence": none, "needs_action": none, "reason_tags": c("tags")})
+    offered_ = review.suggestion_queues({"state": c("state"), "confidence": none, "artifact_score": F.lit(0.0), "artifact_cue": c("cue"), "needs_action": none, "reason_tags": no_tags})
+    parts = [("region", found, c("p_partkey"), c("score"), regions_), ("event", happened, c("id"), c("score"), events_), ("suggestion", offered, c("id"), c("score"), offered_)]
+    return review.guided_items(parts, 30).withColumn("place", c("place").cast("long"))
+
+
+@query(f"""WITH {_LOOKED}, r AS (SELECT count(*) AS n, count(*) FILTER (lower(state) IN ('accepted', 'rejected', 'unsure')) AS reviewed_regions, count(*) FILTER (state = 'accepted') AS accepted_regions, count(*) FILTER (state = 'rejected') AS rejected_regions FROM rg),
+    v AS (SELECT count(*) AS m, count(*) FILTER (state IN ('accepted', 'rejected', 'unsure')) AS reviewed_events, count(*) FILTER (state = 'accepted') AS accepted_events, count(*) FILTER (state = 'rejected') AS rejected_events FROM ev),
+    s AS (SELECT count(*) AS k, count(*) FILTER (state <> '' OR cue = 'border') AS reviewed_suggestions FROM sg)
+    SELECT * EXCLUDE (n, m, k), reviewed_regions / greatest(1, n) AS region_review_share, reviewed_events / greatest(1, m) AS event_review_share, reviewed_suggestions / greatest(1, k) AS suggestion_review_share,
+    (reviewed_regions >= 20 AND reviewed_events >= 20)::INT AS tuning_ready FROM r, v, s""")
+def review_progress(spark: SparkSession, d: str) -> DataFrame:
+    found, happened, offered = _looked_at(spark, d)
+    out = review.review_progress(found, happened, offered.withColumn("promoted", F.col("cue") == "border"), "state", "promoted")
+    return out.withColumn("tuning_ready", F.col("tuning_ready").cast("int"))
+
+
+_TWO = """fa AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE '' END AS label, CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '5%' THEN 'low' ELSE 'unlabeled' END AS conf,
+        CASE WHEN o_totalprice > 300000 THEN 'motion' ELSE 'none' END AS art FROM orders WHERE o_orderkey % 7 <> 0),
+    fb AS (SELECT l_orderkey AS o_orderkey, CASE max(l_returnflag) WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rejected' ELSE 'unlabeled' END AS label, CASE WHEN count(*) > 5 THEN 'high' ELSE 'medium' END AS conf, CASE WHEN max(l_tax) > 0.07 THEN 'vessel' ELSE 'none' END AS art FROM lineitem GROUP BY 1),
+    j AS (SELECT coalesce(fa.o_orderkey, fb.o_orderkey) AS o_orderkey, coalesce(fa.label, '') AS label_a, coalesce(fb.label, '') AS label_b, coalesce(fa.conf, 'unlabeled') AS confidence_a, coalesce(fb.conf, 'unlabeled') AS confidence_b,
+          coalesce(fa.art, 'none') AS artifact_a, coalesce(fb.art, 'none') AS artifact_b, label_a NOT IN ('', 'unlabeled') AND label_b NOT IN ('', 'unlabeled') AS both_labeled FROM fa FULL JOIN fb ON fa.o_orderkey = fb.o_orderkey)"""
+
+
+def _two_reviewers(spark: SparkSession, d: str) -> DataFrame:
+    status, urgency = F.col("o_orderstatus"), F.col("o_orderpriority")
+    a = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(  # the rest is what the first reviewer has not seen
+        "o_orderkey", F.when(status == "F", "accepted").when(status == "O", "Rejected ").alias("state"), F.when(urgency.startswith("1"), "high").when(urgency.startswith("5"), "low").alias("confidence"),
+        F.when(F.col("o_totalprice") > 300000, "motion").alias("artifact"),
+    )
+    flag = F.max("l_returnflag")
+    b = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.when(flag == "A", "accepted").when(flag == "R", "rejected").otherwise("unlabeled").alias("state"), F.when(F.count("*") > 5, "high").otherwise("medium").alias("confidence"),
+        F.when(F.max("l_tax") > 0.07, "vessel").alias("artifact"),
+    )
+    return review.compared(a, b, ["o_orderkey"], "state", "confidence", "artifact")
+
+
+@query(f"""WITH {_TWO} SELECT 'confidence' AS kind, confidence_a || ' / ' || confidence_b AS pair, count(*) AS n FROM j GROUP BY ALL UNION ALL SELECT 'artifact', artifact_a || ' / ' || artifact_b, count(*) FROM j GROUP BY ALL
+    UNION ALL SELECT 'label', label_a || ' / ' || label_b, count(*) FROM j WHERE both_labeled GROUP BY ALL""")
+def pair_breakdowns(spark: SparkSession, d: str) -> DataFrame:
+    return review.pair_breakdowns(_two_reviewers(spark, d))
+
+
+@query(f"""WITH {_TWO} SELECT o_orderkey, 'first' AS reviewer_a, 'second' AS reviewer_b, both_labeled::INT AS both_labeled, (both_labeled AND label_a = label_b)::INT AS exact_agreement, label_a, label_b, confidence_a, confidence_b, artifact_a, artifact_b
+    FROM j WHERE NOT (both_labeled AND label_a = label_b)""")
+def disagreement_rows(spark: SparkSession, d: str) -> DataFrame:
+    return review.disagreement_rows(_two_reviewers(spark, d), ["o_orderkey"], ("first", "second"))
