@@ -357,7 +357,7 @@ def candidate_box_links(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN list_contains(codes, 'possible_duplicate') THEN 'review_duplicate_or_merge' WHEN list_contains(codes, 'split_merge_review') THEN 'review_split_merge' ELSE 'review_cluster_context' END AS suggested_action FROM z""")
 def candidate_cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     boxes = _boxes(spark, d)
-    out = candidates.cluster_summary(boxes, candidates.box_links(boxes, "id", 2.0, 0.2), "id")
+    out = candidates.box_clusters(boxes, "id", 2.0, 0.2)
     numbers = ("centroid_x", "centroid_y", "x", "y", "width", "height", "area_px_sum", "max_iou", "min_distance")
     return out.withColumns({c: F.round(c, 6) for c in numbers} | {"issue_codes": F.array_join("issue_codes", ",")})
 
