@@ -320,7 +320,7 @@ def candidate_links(spark: SparkSession, d: str) -> DataFrame:
     FROM c JOIN supplier ON s_suppkey = id GROUP BY component""")
 def candidate_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").withColumn("y", F.col("s_nationkey").cast("double"))
-    out = candidates.clusters(rows, _links(spark, d), "s_suppkey", "s_acctbal", "y", "s_acctbal")
+    out = candidates.near_clusters(rows, "s_suppkey", "s_acctbal", "y", 25.0, "s_acctbal")
     return out.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6), "total_area": F.round("total_area", 4), "min_distance": F.round("min_distance", 6)})
 
 
