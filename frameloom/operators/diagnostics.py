@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,11 +38,16 @@ def intensity_quality(rows: DataFrame, frame: str, value: str, drift_at: Column
     both = rows.crossJoin(F.broadcast(ends))  # one row
     out = both.agg(
         F.count("*").alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.stddev_pop(v).alias("std_value"),
-        F.percentile(v, 0.01).alias("p01"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.99).alias("p99"),
         F.count_if(v == F.col("low")).alias("n_low"), F.count_if(v == F.col("high")).alias("n_high"),
         (F.avg(F.when(half, v)) - F.avg(F.when(~half, v))).alias("drift"),
     )
-    return out.withColumn("saturated_share", ratio(F.col("n_high"), F.col("n")))
+    quantiles = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    places = {f"{name}_{end}": (lambda n, q=q, f=f: f((n - 1) * F.lit(q))) for name, q in quantiles.items() for end, f in (("below", F.floor), ("above", F.ceil))}
+    at, rank = _values_at(rows, [], value, places), lambda q: (F.count(v) - 1) * F.lit(q)
+    shares = rows.agg(*[(rank(q) - F.floor(rank(q))).alias(f"{name}_part") for name, q in quantiles.items()])
+    between = {name: F.col(f"{name}_below") + F.when(F.col(f"{name}_below") == F.col(f"{name}_above"), 0.0).otherwise((F.col(f"{name}_above") - F.col(f"{name}_below")) * F.col(f"{name}_part")) for name in quantiles}
+    found = at.crossJoin(shares).select(*[c.alias(name) for name, c in between.items()])  # one row each
+    return out.crossJoin(found).withColumn("saturated_share", ratio(F.col("n_high"), F.col("n")))
 
 
 def latency_percentiles(samples: DataFrame, by: Sequence[str], value: str, budget: float) -> DataFrame:
@@ -72,21 +77,28 @@ def values_at_ranks(rows: DataFrame, by: Sequence[str], value: str, ranks: Mappi
     Counts over cells of equal width tell the cell that holds a place; only that cell's distinct values are put in order.
     So a group of any size is counted by all tasks, and neither its values nor its distinct values come together.
     """
-    keys, v = list(by), F.col(value).cast("double")
-    rows = rows.select(*keys, v.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    places = {name: (lambda n, q=q: F.floor((n - 1) * F.lit(q) + 0.5)) for name, q in ranks.items()}
+    return _values_at(rows.where(~F.isnan(F.col(value).cast("double"))), by, value, places, cells)
+
+
+def _values_at(rows: DataFrame, by: Sequence[str], value: str, places: Mapping[str, Callable[[Column], Column]], cells: int = 4096) -> DataFrame:
+    """As values_at_ranks, at places that follow from the number of values; NaN is the largest value."""
+    keys = list(by)
+    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    finite = F.when(F.abs("_v") < float("inf"), F.col("_v"))
+    ends = rows.groupBy(*keys).agg(F.min(finite).alias("_low"), F.max(finite).alias("_high"), F.count("*").alias("_n"))
     width = (F.col("_high") - F.col("_low")) / cells
-    cell = F.when(width > 0, F.least(F.lit(cells - 1), F.floor((F.col("_v") - F.col("_low")) / width).cast("int"))).otherwise(0)
-    placed = (rows.join(ends, keys) if keys else rows.crossJoin(ends)).withColumn("_cell", cell)
+    cell = F.when(width > 0, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(cells - 1.0), (F.col("_v") - F.col("_low")) / width))).cast("int")).otherwise(0)
+    placed = (rows.join(ends, keys) if keys else rows.crossJoin(F.broadcast(ends))).withColumn("_cell", cell)
     order = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     counts = placed.groupBy(*keys, "_cell").agg(F.count("*").alias("_in"), F.first("_n").alias("_n")).withColumn("_upto", F.sum("_in").over(order))
-    places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor((F.col("_n") - 1) * F.lit(q) + 0.5).alias("place")) for name, q in ranks.items()]))
-    held = counts.withColumn("_r", places).where("_r.place < _upto AND _r.place >= _upto - _in")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("long").alias("place")) for name, place in places.items()]))
+    held = counts.withColumn("_r", wanted).where("_r.place < _upto AND _r.place >= _upto - _in")
     held = held.select(*keys, "_cell", F.col("_r.name").alias("_name"), (F.col("_r.place") - F.col("_upto") + F.col("_in")).alias("_left"))
     distinct = placed.groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_in"))
     inner = Window.partitionBy(*keys, "_cell", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     near = distinct.join(held, [*keys, "_cell"]).withColumn("_upto", F.sum("_in").over(inner))
-    return near.groupBy(*keys).agg(*[F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_left")), F.col("_v"))).alias(name) for name in ranks])
+    return near.groupBy(*keys).agg(*[F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_left")), F.col("_v"))).alias(name) for name in places])
 
 
 def small_percentile(values: Column, q: float) -> Column:
