@@ -1,8 +1,12 @@
 """Pairs of many candidates: what they cost, and that forms that need no row for each pair say the same."""
 
+import math
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from frameloom.operators import candidates
+from frameloom.operators import candidates, diagnostics, joins
 
 
 def plan_of(df):
@@ -59,3 +63,47 @@ def test_near_clusters_count_links_by_cells(spark, edges):
     plain = lambda d: sorted(tuple(round(float(v), 9) for v in r) for r in d.select(want.columns).collect())
     assert plain(got) == plain(want)
     assert edges[0] < 10 < 1000 < edges[1]
+
+
+def test_nearest_compares_few_places(spark, monkeypatch):
+    seen, own = [], joins.binned_join
+    monkeypatch.setattr(joins, "binned_join", lambda *a, **k: (lambda out: seen.append(out.count()) or out)(own(*a, **k)))
+    at = [(7 * i % 101 / 1.0, 3 * i % 89 / 1.0) for i in range(300)]
+    targets = spark.createDataFrame([(i, *at[i % 150]) for i in range(299, -1, -1)], "t long, tx double, ty double")
+    points = [(i, x + 0.25, y - 0.5) for i, (x, y) in enumerate(at)] + [(900, 140.0, 20.0), (901, 900.0, 0.0), (902, None, 1.0)]
+    got = joins.nearest(spark.createDataFrame(points, "p long, x double, y double"), targets, ("x", "y"), ("tx", "ty"), "t", 60.0)
+    want = []
+    for p, x, y in points[:-1]:
+        d, t = min((math.hypot(x - at[i % 150][0], y - at[i % 150][1]), i) for i in range(300))
+        want += [(p, t, round(d, 9))] if d <= 60 else []
+    assert sorted((r.p, r.nearest_t, round(r.distance, 9)) for r in got.collect()) == sorted(want)
+    assert sum(seen) < 20_000  # all pairs within the radius are more than 45,000
+
+
+def test_intensity_percentiles_are_counted(spark):
+    values = [float(v) for v in [*range(100), 5, 5, 5, 1e9, float("inf"), float("nan")]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "f long, v double")
+    out = diagnostics.intensity_quality(df, "f", "v")
+    assert "percentile(" not in plan_of(out)
+    got, want = out.first(), df.selectExpr("percentile(v, 0.01) AS p01", "percentile(v, 0.5) AS p50", "percentile(v, 0.99) AS p99").first()
+    assert [got.p01, got.p50] == pytest.approx([want.p01, want.p50]) and repr(got.p99) == repr(want.p99)
+    empty = diagnostics.intensity_quality(df.where("f < 0"), "f", "v").collect()
+    assert len(empty) == 1 and (empty[0].n, empty[0].p50) == (0, None)
+
+
+def test_shared_items_shuffle_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "LISTED", 3)
+    rows = [(o, i) for o in range(12) for i in range(9) if (o * i) % 4 < 2] + [(1, 1), (3, None), (None, 2)]
+    out = candidates.shared_items(spark.createDataFrame(rows, "o long, i long"), "o", "i")
+    assert not re.search(r"Exchange hashpartitioning\(a#\w+, b#", plan_of(out))
+    sets = {o: {i for p, i in rows if p == o and i is not None} for o in range(12)}
+    want = [(a, b, len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9)) for a in sets for b in sets if a < b and sets[a] & sets[b]]
+    assert sorted((r.a, r.b, r.n_both, round(r.iou, 9)) for r in out.collect()) == sorted(want)
+
+
+def test_pairs_of_one_hour_are_dealt_over_tasks(spark):
+    gt = spark.createDataFrame([(i, "", 5) for i in range(40)], "g long, go string, gh long")
+    found = spark.createDataFrame([(i, str(i % 3) if i % 2 else None, 6) for i in range(40)], "c long, co string, ch long")
+    out = joins.event_pairs(gt, found, "go", "co", [("gh", "ch", 2)])
+    assert sorted((r.g, r.c) for r in out.collect()) == [(a, b) for a in range(40) for b in range(40)]
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1
