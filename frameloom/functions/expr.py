@@ -18,6 +18,12 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """c times a power of ten, rounded to a whole number, halves away from zero, and divided again, as SQL engines round
+    doubles. F.round rounds the shortest decimal text of c instead, which may lie below a half that c stands for."""
+    return F.round(c * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0 or missing."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

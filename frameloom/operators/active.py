@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import label
+from ..functions.expr import label, rounded
 from . import scoring
 from .signal import medians
 
@@ -52,7 +52,7 @@ def candidate_tasks(candidates: DataFrame, include_reviewed: bool = False) -> Da
     score = priority + unsure + against + F.when(new, scoring.UNLABELLED).otherwise(0.0)
     tasks = rows.select(
         F.concat(F.lit("candidate:"), F.col("candidate_id").cast("string")).alias("task_id"), F.lit("candidate").alias("task_type"), F.col("candidate_id").cast("string").alias("subject_id"),
-        F.round(score, 6).alias("active_score"), F.round(priority, 6).alias("priority_score"), F.round(unsure, 6).alias("uncertainty_score"),
+        rounded(score, 6).alias("active_score"), rounded(priority, 6).alias("priority_score"), rounded(unsure, 6).alias("uncertainty_score"),
         F.when(F.col("state") == "", "unlabeled").otherwise(F.col("state")).alias("state"), codes.alias("reason_codes"),
     ).withColumn("selected_by", F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.lit(UNLABELED))))
     return _largest(tasks.select(*_TASK))
@@ -74,8 +74,8 @@ def cluster_tasks(clusters: DataFrame, candidates: DataFrame, include_reviewed:
     top = F.col("_top")
     score = top + CLUSTER_BASE + CLUSTER_MEMBER * F.col("_many") + F.when(issue, CLUSTER_ISSUE).otherwise(0.0)
     tasks = out.select(
-        F.concat(F.lit("cluster:"), F.col("cluster_id").cast("string")).alias("task_id"), F.lit("cluster").alias("task_type"), F.col("cluster_id").cast("string").alias("subject_id"), F.round(score, 6).alias("active_score"),
-        F.round(top, 6).alias("priority_score"), F.lit(0.0).alias("uncertainty_score"), F.lit(None).cast("string").alias("state"), F.array(F.lit(SPLIT_MERGE)).alias("selected_by"),
+        F.concat(F.lit("cluster:"), F.col("cluster_id").cast("string")).alias("task_id"), F.lit("cluster").alias("task_type"), F.col("cluster_id").cast("string").alias("subject_id"), rounded(score, 6).alias("active_score"),
+        rounded(top, 6).alias("priority_score"), F.lit(0.0).alias("uncertainty_score"), F.lit(None).cast("string").alias("state"), F.array(F.lit(SPLIT_MERGE)).alias("selected_by"),
         F.array_sort(F.array_distinct(F.concat(codes, F.array(F.lit(SPLIT_MERGE))))).alias("reason_codes"),
     )
     return tasks.select(*_TASK)

@@ -290,7 +290,7 @@ def feature_violations(spark: SparkSession, d: str) -> DataFrame:
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     rows = _features(spark, d)
     score = candidates.priority({c: F.col(c) for c in candidates.PRIORITY_TERMS}, F.col("peak_z"))
-    return candidates.ranked(rows.withColumn("score", F.round(score, 6)).select("p_partkey", "score"), "score", "p_partkey")
+    return candidates.ranked(rows.withColumn("score", X.rounded(score, 6)).select("p_partkey", "score"), "score", "p_partkey")
 
 
 @query(f"WITH {_FEATURES}, s AS (SELECT p_partkey, round({_SCORE}, 6) AS score FROM f) SELECT *, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM s")
@@ -618,10 +618,10 @@ def active_batch(spark: SparkSession, d: str) -> DataFrame:
     """The thirty parts whose review teaches most."""
     rows, c = _region(spark, d)
     own = {name: F.col(name) for name in candidates.PRIORITY_TERMS}
-    rows = rows.withColumn("score", F.round(candidates.priority(own, F.col("peak_z")), 6))
+    rows = rows.withColumn("score", X.rounded(candidates.priority(own, F.col("peak_z")), 6))
     middle = F.broadcast(rows.agg(F.median("score").alias("mid")))  # one row
     score = scoring.active_score(c, F.col("score"), F.col("mid"), F.col("peak_z") > 25)
-    return rows.crossJoin(middle).select("p_partkey", F.round(score, 6).alias("active_score")).orderBy(F.desc("active_score"), "p_partkey").limit(30)
+    return rows.crossJoin(middle).select("p_partkey", X.rounded(score, 6).alias("active_score")).orderBy(F.desc("active_score"), "p_partkey").limit(30)
 
 
 _TASKS = f"""{_FEATURES}, {_REGION}, s AS (SELECT *, round({_SCORE}, 6) AS score, CASE WHEN p_partkey % 5 = 0 THEN 'accepted' WHEN p_partkey % 7 = 0 THEN 'unlabeled' ELSE '' END AS state FROM f2), m AS (SELECT median(score) AS mid FROM s),
@@ -644,7 +644,7 @@ def _tasks(spark: SparkSession, d: str) -> DataFrame:
     own = {name: F.col(name) for name in candidates.PRIORITY_TERMS}
     key = F.col("p_partkey")
     found = rows.select(
-        key.alias("candidate_id"), F.round(candidates.priority(own, F.col("peak_z")), 6).alias("priority_score"), F.when(key % 5 == 0, "Accepted").when(key % 7 == 0, "unlabeled").otherwise("").alias("state"),
+        key.alias("candidate_id"), X.rounded(candidates.priority(own, F.col("peak_z")), 6).alias("priority_score"), F.when(key % 5 == 0, "Accepted").when(key % 7 == 0, "unlabeled").otherwise("").alias("state"),
         "trace_snr", F.col("lc").alias("local_correlation"), F.col("es").alias("event_support"), "artifact_score", "event_count",
     )
     brands = table(spark, d, "part").where("p_size <= 3").groupBy(F.col("p_brand").alias("cluster_id")).agg(F.collect_list("p_partkey").alias("candidate_ids"))
@@ -1198,7 +1198,7 @@ def _looked_at(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     own = {name: F.col(name) for name in candidates.PRIORITY_TERMS}
     pick = lambda texts, k: F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % k).cast("int") + 1)
     found = rows.select(
-        "p_partkey", F.round(candidates.priority(own, F.col("peak_z")), 6).alias("score"), "artifact_score", pick(["", "accepted", "rejected", "Unsure", "promoted"], 5).alias("state"),
+        "p_partkey", X.rounded(candidates.priority(own, F.col("peak_z")), 6).alias("score"), "artifact_score", pick(["", "accepted", "rejected", "Unsure", "promoted"], 5).alias("state"),
         pick(["high", "medium", "low", ""], 4).alias("confidence"), F.when(F.col("p_partkey") % 11 == 0, "Second look").alias("act"),
     )
     flag = F.col("l_returnflag")
