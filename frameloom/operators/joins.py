@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import _kept
+from .matching import greedy_events
 
 #: Pairs that greedy matching takes one after another in one task at most.
 AT_ONCE = 50_000
@@ -115,10 +116,15 @@ def event_pairs(truth: DataFrame, found: DataFrame, left: str, right: str, near:
 def match_events(truth: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
     """One-to-one matches of truth (gt_id, gt_object, gt_onset, gt_peak, gt_duration) and found (cand_...), by onset, then peak, then ids.
 
-    Onsets lie within the tolerance. Returns ids and onset_error, peak_error, duration_error (found less true).
+    Onsets lie within the tolerance. Returns ids and onset_error, peak_error, duration_error (found less true). Where
+    identifiers are unique, no row is made for a pair that is not taken.
     """
-    pairs = event_pairs(truth, found, "gt_object", "cand_object", [("gt_onset", "cand_onset", tolerance)])
-    pairs = pairs.select("gt_id", "cand_id", *[(F.col(f"cand_{c}") - F.col(f"gt_{c}")).alias(f"{c}_error") for c in ("onset", "peak", "duration")])
+    errors = [(F.col(f"cand_{c}") - F.col(f"gt_{c}")).alias(f"{c}_error") for c in ("onset", "peak", "duration")]
+    if all(df.groupBy(key).count().where("count > 1").isEmpty() for df, key in ((truth, "gt_id"), (found, "cand_id"))):
+        taken = greedy_events(truth, found, tolerance)
+        known = lambda df, key: taken[key].eqNullSafe(df[key])
+        return taken.join(truth, known(truth, "gt_id")).drop(truth["gt_id"]).join(found, known(found, "cand_id")).drop(found["cand_id"]).select("gt_id", "cand_id", *errors)
+    pairs = event_pairs(truth, found, "gt_object", "cand_object", [("gt_onset", "cand_onset", tolerance)]).select("gt_id", "cand_id", *errors)
     pairs = pairs.withColumns({"_o": F.abs("onset_error"), "_p": F.abs("peak_error")})
     return greedy_match(pairs, "gt_id", "cand_id", ["_o", "_p", "gt_id", "cand_id"]).drop("_o", "_p")
 

@@ -1,12 +1,13 @@
 """Pairs of many candidates: what they cost, and that forms that need no row for each pair say the same."""
 
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.operators import candidates, diagnostics, joins
+from frameloom.operators import candidates, diagnostics, joins, matching
 
 
 def plan_of(df):
@@ -107,3 +108,26 @@ def test_pairs_of_one_hour_are_dealt_over_tasks(spark):
     out = joins.event_pairs(gt, found, "go", "co", [("gh", "ch", 2)])
     assert sorted((r.g, r.c) for r in out.collect()) == [(a, b) for a in range(40) for b in range(40)]
     assert out.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+@pytest.mark.parametrize(("at_once", "tolerance", "kind"), [(50_000, 2, "int"), (0, 2, "int"), (0, 1, "int"), (0, 0, "int"), (3, 1.5, "double")])
+def test_event_matches_make_no_pairs(spark, monkeypatch, at_once, tolerance, kind):
+    monkeypatch.setattr(matching, "AT_ONCE", at_once)
+    monkeypatch.setattr(joins, "event_pairs", lambda *a: pytest.fail("a row for each pair"))
+    rng = random.Random(f"{at_once} {tolerance}")
+    at = lambda high: rng.randint(0, high) if kind == "int" else rng.choice([rng.uniform(0, high), float(rng.randint(-5, high)), -0.0])
+    side = lambda n, base: [(base - k, rng.choice(["a", "b", " a", "", None]), at(70), rng.choice([at(9), None]), rng.randint(1, 9)) for k in range(n)]
+    gt, found = [*side(140, 900), (7, "a", None, at(9), 1)], side(150, 5000)
+    schema = ", ".join(f"{{0}}_{c}" for c in ("id long", "object string", f"onset {kind}", f"peak {kind}", "duration int"))
+    got = joins.match_events(spark.createDataFrame(gt, schema.replace("{0}", "gt")), spark.createDataFrame(found, schema.replace("{0}", "cand")), tolerance)
+    name = lambda x: (x or "").strip()
+    less = lambda b, a: None if a is None or b is None else b - a
+    pairs = [(g, c) for g in gt for c in found if g[2] is not None and abs(g[2] - c[2]) <= tolerance and (not name(g[1]) or not name(c[1]) or name(g[1]) == name(c[1]))]
+    taken, want = (set(), set()), []
+    last = lambda x: (x is None, abs(x or 0))
+    for g, c in sorted(pairs, key=lambda p: (abs(p[1][2] - p[0][2]), last(less(p[1][3], p[0][3])), p[0][0], p[1][0])):
+        if g[0] not in taken[0] and c[0] not in taken[1]:
+            taken[0].add(g[0])
+            taken[1].add(c[0])
+            want.append((g[0], c[0], c[2] - g[2], less(c[3], g[3]), c[4] - g[4]))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
