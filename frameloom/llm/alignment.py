@@ -1,14 +1,12 @@
-"""Alignment of two tokenizers' tokens of the same texts, as relations.
-
-1. Both tokenizers encode a text in the task that reads it; its ids are dealt by row, which is the only shuffle of tokens.
-2. On either side tokens are exploded with their positions, and a window's running sum of their lengths gives the byte
-   offset at which each ends.
-3. An equi-join on row and end gives the cuts: offsets at which a token of both sides ends. Their running number is the
-   group's, and the positions at the cut before and at this one are the ranges of the tokens in it.
-4. A range join of the groups with their row's ids gives the tokens of each group: links are all pairs of a token of
-   one side and one of the other.
-5. For every pair of ids the documents that hold it linked are counted, and the highest count of each id of side A. The
-   counts go back to the links: broadcast while they are at most MOST_BROADCAST rows, joined by shuffle beyond.
+"""Alignment of two tokenizers' tokens of the same texts, and counts of the pairs of ids that it links.
+
+1. Both tokenizers encode a text in the task that reads it; running sums of the tokens' lengths give the byte offset at
+   which each ends, on either side.
+2. Offsets at which a token of both sides ends are cuts; the tokens between two cuts are a group. Texts of a batch are
+   lined up at once, as both sides spell the same bytes.
+3. Links, all pairs of a token of one side and one of the other in a group, are given out with their text.
+4. For every pair of ids the documents that hold it linked are counted by a shuffle, and the highest count of each id of
+   side A. The counts go back to the links: broadcast while they are at most MOST_BROADCAST rows, joined by shuffle beyond.
 
 Token bytes of side A and B must both give a space and the text; texts that are null, empty or not so have no tokens, and
 zeros. Very long texts are aligned whole, in one row as they come. Repeated rows are documents of their own, so are rows
@@ -18,24 +16,22 @@ Rows are numbered where they are read; a table whose rows a lost executor may co
 
 from __future__ import annotations
 
-import contextlib
+import functools
 import hashlib
-import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_width, slices
+from .common import saved, slices
 from .tokenmodels import PieceEncoder
 
 #: Rows of pair counts that are broadcast at most (some 60 bytes each).
 MOST_BROADCAST = 300_000
-#: A token takes so many times its text's bytes as a row; tasks get a share of the texts that is smaller by it.
-EXPANDS = 8
-#: Groups that are put in order as one list, and links of a text that a task holds before it gives them out.
+#: Groups that are spelled at a time, and links of a text, or of a batch, that a task gives out at a time.
 SEGMENT, HELD = 1 << 13, 1 << 20
 #: Text bytes that are encoded at a time, and pieces that an encoder remembers.
 ENCODE_BYTES, PIECES = 1 << 20, 100_000
@@ -111,157 +107,106 @@ def _side(vocabulary: str) -> SideEncoder:
     return _SIDES[vocabulary]
 
 
-def _encoded(docs: DataFrame, a: str, b: str, kind: str, key: str, text: str) -> DataFrame:
-    """(row, t) of every row of docs; t: ids under a, ids under b, and the identifier in four parts of 16 bits, none if missing.
-
-    One column, so that all that is made of it reads the same shuffle.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    small = np.int16 if kind == "smallint" else np.int32
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = _side(a), _side(b)
-        for batch in slices(batches, "text", ENCODE_BYTES):
-            texts = batch.column("text")
-            (ids1, n1, ok1), (ids2, n2, ok2) = one.encode(texts), two.encode(texts)
-            good = ok1 & ok2 & (np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) > 0)
-            named = batch.column("doc_id")
-            has = named.is_valid().to_numpy(zero_copy_only=False)
-            parts = named.fill_null(0).to_numpy().astype("<i8").view("<u2").reshape(-1, 4)
-            n = np.stack([np.where(good, n1, 0), np.where(good, n2, 0), np.where(has, 4, 0)], axis=1).reshape(-1)
-            flat = np.zeros(int(n.sum()), np.int64)
-            owner = np.repeat(np.arange(len(n)), n)
-            for k, values in enumerate((ids1[np.repeat(good, n1)], ids2[np.repeat(good, n2)], parts[has].reshape(-1))):
-                flat[owner % 3 == k] = values
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.astype(np.uint32).astype(small)))
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "t": pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * 3), inner)})
-
-    # the condition holds always; a join infers it for its own side, and the sides are to read the same shuffle
-    dealt = rows.mapInArrow(run, f"row long, t array<array<{kind}>>").where("row is not null")
-    return dealt.repartition(EXPANDS * shuffle_width(docs.sparkSession), "row")
-
-
-@contextlib.contextmanager
-def _partitioned_by_row(spark: SparkSession) -> Iterator[None]:
-    """Lets a join on row and end take both sides as they lie, dealt by row."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def _placed(encoded: DataFrame, k: int, lengths: np.ndarray, name: str, mask: int) -> DataFrame:
-    """Tokens of side k: row, the offset at which each ends, its position and id."""
-    running = Window.partitionBy("row").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the outer form infers no filters, which would keep both sides from reading the same shuffle
-    tokens = encoded.select("row", F.posexplode_outer(F.col("t")[k]).alias("_pos", "_t")).withColumn("_t", F.col("_t").cast("int").bitwiseAND(mask))
-    length = F.element_at(F.lit(lengths.astype(np.int16)), F.col("_t") + 1)
-    return tokens.select("row", F.sum(length).over(running).alias("end"), F.col("_pos").alias(f"{name}_pos"), F.col("_t").alias(name))
-
-
-def links(encoded: DataFrame, lengths: tuple[np.ndarray, np.ndarray], mask: int) -> DataFrame:
-    """row, g, i, j, a, b, last, and doc: token i of side A and token j of side B of group g; last: i is the group's last of side A.
-
-    A text without tokens has one row of nulls. doc (identifier, n_a, n_b) stands with the first link of a text.
-    """
-    cuts = _placed(encoded, 0, lengths[0], "a", mask).join(_placed(encoded, 1, lengths[1], "b", mask), ["row", "end"])
-    order = Window.partitionBy("row").orderBy("end")
-    many = lambda c: F.col(c) - F.lag(c, 1, -1).over(order)
-    ranges = cuts.select("row", F.row_number().over(order).alias("g"), "a_pos", "b_pos", many("a_pos").alias("a_many"), many("b_pos").alias("b_many"))
-    part = lambda k: F.shiftleft(F.col("t")[2][k].cast("long").bitwiseAND(0xFFFF), 16 * k)
-    number = F.when(F.size(F.col("t")[2]) == 4, part(0).bitwiseOR(part(1)).bitwiseOR(part(2)).bitwiseOR(part(3)))
-    owner = encoded.select("row", F.col("t")[0].alias("_ta"), F.col("t")[1].alias("_tb"), number.alias("doc_id"), F.size(F.col("t")[0]).alias("n_a"), F.size(F.col("t")[1]).alias("n_b"))
-    span = lambda n: F.slice(f"_t{n}", F.col(f"{n}_pos") - F.col(f"{n}_many") + 2, F.col(f"{n}_many")).alias(f"_{n}")
-    # the slices are taken where the rows meet, so no row carries its whole text's ids along
-    sliced = ranges.hint("merge").join(owner, "row", "right").select("row", "doc_id", "n_a", "n_b", "g", "a_many", span("a"), span("b"))
-    pairs = sliced.select("*", F.posexplode_outer("_b").alias("j", "b")).drop("_b")
-    pairs = pairs.select("*", F.posexplode_outer("_a").alias("i", "a")).drop("_a")
-    unsigned = lambda c: F.col(c).cast("int").bitwiseAND(mask).alias(c)
-    leads = F.col("g").isNull() | ((F.col("g") == 1) & (F.col("i") == 0) & (F.col("j") == 0))
-    return pairs.select("row", "g", "i", "j", unsigned("a"), unsigned("b"), (F.col("i") == F.col("a_many") - 1).alias("last"), F.when(leads, F.struct("doc_id", "n_a", "n_b")).alias("doc"))
+@functools.cache
+def _digits(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of 0 to most, one row each, and how many there are."""
+    shown = [str(k) for k in range(most + 1)]
+    wide = len(shown[-1])
+    return np.frombuffer("".join(x.ljust(wide) for x in shown).encode(), np.uint8).reshape(-1, wide), np.array([len(x) for x in shown], np.int64)
+
+
+class _Lined:
+    """Groups of a batch of texts, from the ids of both sides, their lengths in bytes, and how many of side A a text has."""
+
+    def __init__(self, ids: tuple[np.ndarray, np.ndarray], lengths: tuple[np.ndarray, np.ndarray], many: np.ndarray):
+        self.ids = ids
+        ends = [np.cumsum(x[k]) for x, k in zip(lengths, ids, strict=True)]
+        cuts = np.intersect1d(*ends)
+        self.stops = [np.searchsorted(x, cuts, "right") for x in ends]
+        self.many = [np.diff(x, prepend=0) for x in self.stops]
+        self.starts = [x - n for x, n in zip(self.stops, self.many, strict=True)]
+        #: Groups, and links of groups, before each text and group, and of all.
+        self.groups = np.concatenate([[0], np.searchsorted(cuts, np.concatenate([[0], ends[0]])[np.cumsum(many)], "right")])
+        self.links = np.concatenate([[0], np.cumsum(self.many[0] * self.many[1])])
+
+    def pairs(self, first: int, stop: int) -> np.ndarray:
+        """The links from first to stop, by group, token of side B, token of side A: each a * 2^32 + b."""
+        at = np.arange(first, stop)
+        g = np.searchsorted(self.links, at, "right") - 1
+        b, a = np.divmod(at - self.links[g], self.many[0][g])
+        return (self.ids[0][self.starts[0][g] + a] << 32) | self.ids[1][self.starts[1][g] + b]
+
+    def spelled(self, segment: int) -> tuple[bytes, np.ndarray]:
+        """All groups as ;a1,a2|b1;a3|b2,b3 and where each begins, and the end."""
+        out, sizes = [], [np.zeros(1, np.int64)]
+        most = max((int(x.max()) for x in self.ids if len(x)), default=0)
+        digits, wide = _digits(1 << most.bit_length())
+        for low in range(0, len(self.stops[0]), segment):
+            own = slice(low, low + segment)
+            first, stops, many = ([x[own] for x in y] for y in (self.starts, self.stops, self.many))
+            a0, b0 = int(first[0][0]), int(first[1][0])
+            values = np.empty(int(stops[0][-1]) - a0 + int(stops[1][-1]) - b0, np.int64)
+            signs = np.full(len(values), ord(","), np.uint8)
+            # a group's tokens of side A stand behind all of side B before it, its tokens of side B behind its own of side A
+            places = first[0] - a0 + first[1] - b0, stops[0] - a0 + first[1] - b0
+            for ids, at, begin, n, sign in zip(self.ids, places, first, many, b";|", strict=True):
+                took = np.arange(int(begin[0]), int(begin[-1] + n[-1]))
+                values[np.repeat(at - begin, n) + took] = ids[took]
+                signs[at] = sign
+            shown = np.column_stack([signs, digits[values]])
+            size = wide[values] + 1
+            out.append(shown[np.arange(shown.shape[1]) < size[:, None]].tobytes())
+            sizes.append(np.add.reduceat(size, places[0]))
+        return b"".join(out), np.cumsum(np.concatenate(sizes))
 
 
 _ALIGNED = "row long, last boolean, chunk int, doc_id long, n_a long, n_b long, n_groups long, groups string, links array<long>"
 
 
-class _Open:
-    """A text whose links are still coming."""
-
-    def __init__(self, row: int, doc: tuple, digest: bool):
-        self.row, self.doc, self.groups, self.links, self.held, self.chunk = row, doc, 0, [], 0, 0
-        self.signs = hashlib.sha256() if digest else io.BytesIO()
-
-    def add(self, signs: memoryview, groups: int, links: np.ndarray) -> None:
-        self.signs.update(signs) if hasattr(self.signs, "update") else self.signs.write(signs)
-        self.groups, self.held = groups, self.held + len(links)
-        self.links.append(links)
-
-    def given(self, last: bool) -> tuple:
-        """The row of the text, or of its links so far."""
-        links, self.links, self.held = self.links, [], 0
-        if not last:
-            self.chunk += 1
-            return (self.row, False, self.chunk - 1, None, None, None, None, None, links)
-        shown = "" if not self.groups else self.signs.hexdigest() if hasattr(self.signs, "hexdigest") else self.signs.getvalue().decode()
-        return (self.row, True, self.chunk, *self.doc, self.groups, shown, links)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    *plain, links = zip(*rows, strict=True)
-    sizes = [sum(map(len, x)) for x in links]
-    flat = np.concatenate([np.zeros(0, np.int64), *(y for x in links for y in x)])
-    listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-    kinds = [pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 4, pa.string()]
-    return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(plain, kinds, strict=True)), listed], ["row", "last", "chunk", "doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
-
-
 def aligned(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", shown: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups (a1,a2|b1;a3|b2) and links (pairs of ids, each a * 2^32 + b) of every text, saved.
 
-    shown: "sha256" gives the digest of groups in their place, in memory that does not grow with a text. A text of more
-    than HELD links has further rows, numbered by chunk, which hold links alone; last marks the row that has the rest.
+    shown: "sha256" gives the digest of groups in their place. A text of more than HELD links has further rows, numbered
+    by chunk, which hold links alone; last marks the row that has the rest.
     """
-    spark = docs.sparkSession
-    lengths = tuple(SideEncoder(x).lengths for x in (a, b))
-    kind, mask = ("smallint", 0xFFFF) if max(map(len, lengths)) <= 1 << 16 else ("int", 0x7FFFFFFF)
-    first = F.when(F.col("i") > 0, ",").when(F.col("g") > 1, ";").otherwise("")
-    sign = F.when(F.col("j") == 0, F.concat(first, F.col("a").cast("string"), F.when(F.col("last"), F.concat(F.lit("|"), F.col("b").cast("string"))).otherwise("")))
-    sign = sign.when(F.col("i") == 0, F.concat(F.lit(","), F.col("b").cast("string")))  # each token is shown by one of its links
-    pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    held, segment = HELD, SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            signs = batch.column("sign").cast(pa.large_string())
-            at = np.frombuffer(signs.buffers()[1], np.int64)[signs.offset : signs.offset + len(signs) + 1].tolist()
-            body, pairs = memoryview(signs.buffers()[2] or b""), batch.column("pairs")
-            for k, (row, groups, doc) in enumerate(zip(batch.column("row").to_pylist(), batch.column("groups").to_pylist(), batch.column("doc").to_pylist(), strict=True)):
-                if now is None or now.row != row:
-                    if now is not None:
-                        out.append(now.given(True))
-                    now = _Open(row, tuple(doc.values()), shown == "sha256")
-                if groups:
-                    now.add(body[at[k] : at[k + 1]], groups, pairs[k].values.to_numpy())
-                if now.held >= HELD:
-                    out.append(now.given(False))
-            if out:
-                yield _batch(out)
-                out = []
-        if now is not None:
-            yield _batch([now.given(True)])
-
-    with _partitioned_by_row(spark):
-        # all links of a row are in one partition, as whatever they are made of was dealt by row
-        rows = links(_encoded(docs, a, b, kind, key, text), lengths, mask).select("row", F.floor(F.col("g") / SEGMENT).alias("part"), "g", "doc", F.struct("g", "j", "i", sign.alias("s"), pair.alias("p")).alias("_l"))
-        parts = rows.groupBy("row", "part").agg(F.max("g").alias("groups"), F.first("doc", True).alias("doc"), F.collect_list("_l").alias("_l"))
-        parts = parts.select("row", "part", "groups", "doc", F.explode(F.array(F.sort_array("_l"))).alias("_l"))  # a generator, so lists are sorted once
-        shown_parts = parts.select("row", "part", "groups", "doc", F.array_join("_l.s", "").alias("sign"), F.col("_l.p").alias("pairs"))
-        return saved(shown_parts.sortWithinPartitions("row", "part").drop("part").mapInArrow(run, _ALIGNED), "aligned")
+        one, two = _side(a), _side(b)
+        for batch in slices(batches, "text", ENCODE_BYTES):
+            texts = batch.column("text")
+            (ids1, n1, ok1), (ids2, n2, ok2) = one.encode(texts), two.encode(texts)
+            good = ok1 & ok2 & (np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) > 0)
+            ids = ids1[np.repeat(good, n1)], ids2[np.repeat(good, n2)]
+            n1, n2 = np.where(good, n1, 0), np.where(good, n2, 0)
+            lined = _Lined(ids, (one.lengths, two.lengths), n1)
+            body, at = lined.spelled(segment)
+            signs = [body[s + 1 : e] for s, e in zip(at[lined.groups[:-1]].tolist(), at[lined.groups[1:]].tolist(), strict=True)]
+            told = [(hashlib.sha256(x).hexdigest() if shown == "sha256" else x.decode()) if x else "" for x in signs]
+            # rows of at most `held` links; a text's last row has what is left, perhaps none
+            before = lined.links[lined.groups]
+            chunks = np.maximum(0, np.diff(before) - 1) // held
+            owner = np.repeat(np.arange(len(texts)), chunks + 1)
+            chunk = np.arange(len(owner)) - np.repeat(np.cumsum(chunks + 1) - chunks - 1, chunks + 1)
+            last = chunk == chunks[owner]
+            bounds = np.append(before[owner] + chunk * held, before[-1])
+            low = 0
+            while low < len(owner):
+                high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + held, "right")) - 1)
+                mine, whole = owner[low:high], last[low:high]
+                links = pa.ListArray.from_arrays(pa.array((bounds[low : high + 1] - bounds[low]).astype(np.int32)), pa.array(lined.pairs(int(bounds[low]), int(bounds[high]))))
+                of = lambda x: pa.array(x[mine], pa.int64(), mask=~whole)  # noqa: B023, E731
+                names = batch.column("doc_id").take(pa.array(mine))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "row": batch.column("row").take(pa.array(mine)), "last": pa.array(whole), "chunk": pa.array(chunk[low:high].astype(np.int32)), "doc_id": pc.if_else(pa.array(whole), names, None), "n_a": of(n1), "n_b": of(n2),
+                        "n_groups": of(np.diff(lined.groups)), "groups": pa.array([told[k] if w else None for k, w in zip(mine.tolist(), whole.tolist(), strict=True)], pa.string()), "links": links,
+                    }
+                )
+                low = high
+
+    return saved(rows.mapInArrow(run, _ALIGNED), "aligned")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

@@ -159,3 +159,11 @@ def test_alignment_is_brute_force_s(spark, prose, odd, empty, monkeypatch):
     check_alignment(df, alignment.alignment(df, A, B).collect())
     digests = {r.groups for r in alignment.aligned(df, A, B, shown="sha256").where("last").collect()}
     assert digests == {hashlib.sha256(x[7].encode()).hexdigest() if x[7] else "" for x in want}
+
+
+def test_alignment_shuffles_no_tokens(spark, monkeypatch):
+    plans, own = {}, alignment.saved
+    monkeypatch.setattr(alignment, "saved", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and own(df, name))
+    df = spark.createDataFrame([(1, "one two"), (2, None), (None, "two")], SCHEMA)
+    check_alignment(df, alignment.alignment(df, A, B).collect())
+    assert "Exchange" not in plans["aligned"] and "Exchange" in plans["pairs"]
