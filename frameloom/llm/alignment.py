@@ -121,7 +121,10 @@ class _Lined:
     def __init__(self, ids: tuple[np.ndarray, np.ndarray], lengths: tuple[np.ndarray, np.ndarray], many: np.ndarray):
         self.ids = ids
         ends = [np.cumsum(x[k]) for x, k in zip(lengths, ids, strict=True)]
-        cuts = np.intersect1d(*ends)
+        met = np.zeros((2, max((int(x[-1]) for x in ends if len(x)), default=0) + 1), bool)
+        for row, x in zip(met, ends, strict=True):
+            row[x] = True
+        cuts = np.flatnonzero(met[0] & met[1])
         self.stops = [np.searchsorted(x, cuts, "right") for x in ends]
         self.many = [np.diff(x, prepend=0) for x in self.stops]
         self.starts = [x - n for x, n in zip(self.stops, self.many, strict=True)]
