@@ -16,6 +16,8 @@ from .matching import greedy_events
 AT_ONCE = 50_000
 #: Widths of squares that the search for the nearest goes through at most.
 MOST_WIDTHS = 10
+#: Rows of a task where owners of items are paired.
+ITEM_ROWS = 100_000
 #: Shares that the rows of a bin are dealt into where a bin may hold very many of all rows.
 SHARES = 8
 
@@ -155,6 +157,17 @@ def nearest(points: DataFrame, targets: DataFrame, xy: tuple[str, str], target_x
     return found.select(*points.columns, F.col("_best._id").alias(f"nearest_{target_id}"), F.col("_best.distance").alias("distance"))
 
 
+def shared_pairs(left: DataFrame, right: DataFrame, item: str, a: str, b: str) -> DataFrame:
+    """(a, b, n_both): owners of left (a, item) and right (b, item) that share items, and how many; rows are distinct.
+
+    Tasks become more as rows do, so what one of them holds of pairs stays the same; pairs are dealt before they are counted.
+    """
+    left, right = _kept(left.select(a, item)), _kept(right.select(b, item))
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(left.count() + right.count()) // ITEM_ROWS))
+    pairs = left.repartition(parts, item).join(right.repartition(parts, item).hint("merge"), item).select(a, b)
+    return pairs.repartition(parts, a, b).groupBy(a, b).agg(F.count("*").alias("n_both"))
+
+
 def greedy_match(pairs: DataFrame, left: str, right: str, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """One-to-one matching of candidate pairs: the first pair in order is taken, both its ends go, and so on.
 

@@ -425,8 +425,8 @@ def object_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one matching of orders of two customers' segments by shared parts."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     sets = rows.where("o_orderstatus in ('O', 'F')").select("o_orderkey", "o_orderstatus", "l_partkey").distinct()
-    pairs = sets.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("gt"), "l_partkey").join(sets.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("cand"), "l_partkey"), "l_partkey")
-    shared = pairs.groupBy("gt", "cand").agg(F.count("*").alias("n_both")).where("n_both >= 2").withColumn("far", -F.col("n_both"))
+    side = lambda status, name: sets.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias(name), "l_partkey")
+    shared = joins.shared_pairs(side("O", "gt"), side("F", "cand"), "l_partkey", "gt", "cand").where("n_both >= 2").withColumn("far", -F.col("n_both"))
     return joins.greedy_match(shared, "gt", "cand", ["far", "gt", "cand"])
 
 

@@ -131,3 +131,14 @@ def test_event_matches_make_no_pairs(spark, monkeypatch, at_once, tolerance, kin
             taken[1].add(c[0])
             want.append((g[0], c[0], c[2] - g[2], less(c[3], g[3]), c[4] - g[4]))
     assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_shared_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ITEM_ROWS", 10)
+    sides = [[(o, i) for o in range(25) for i in range(6) if (o * i + k) % 3 == 0] for k in range(2)]
+    a, b = (spark.createDataFrame(x, f"{c} long, item long") for x, c in zip(sides, "ab", strict=True))
+    out = joins.shared_pairs(a, b, "item", "a", "b")
+    sets = [{o: {i for p, i in x if p == o} for o in range(25)} for x in sides]
+    want = [(p, q, len(x & y)) for p, x in sets[0].items() for q, y in sets[1].items() if x & y]
+    assert sorted(map(tuple, out.collect())) == want
+    assert out.rdd.getNumPartitions() == -(-(len(sides[0]) + len(sides[1])) // 10)
