@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import _kept
@@ -157,13 +157,18 @@ def nearest(points: DataFrame, targets: DataFrame, xy: tuple[str, str], target_x
     return found.select(*points.columns, F.col("_best._id").alias(f"nearest_{target_id}"), F.col("_best.distance").alias("distance"))
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks that give each ITEM_ROWS rows at most, as many as a shuffle makes at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ITEM_ROWS))
+
+
 def shared_pairs(left: DataFrame, right: DataFrame, item: str, a: str, b: str) -> DataFrame:
     """(a, b, n_both): owners of left (a, item) and right (b, item) that share items, and how many; rows are distinct.
 
     Tasks become more as rows do, so what one of them holds of pairs stays the same; pairs are dealt before they are counted.
     """
     left, right = _kept(left.select(a, item)), _kept(right.select(b, item))
-    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(left.count() + right.count()) // ITEM_ROWS))
+    parts = tasks_for(left.sparkSession, left.count() + right.count())
     pairs = left.repartition(parts, item).join(right.repartition(parts, item).hint("merge"), item).select(a, b)
     return pairs.repartition(parts, a, b).groupBy(a, b).agg(F.count("*").alias("n_both"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..graph import connected_components
+from ..graph import _kept, connected_components
 from ..operators import active, activity, annotations, candidates, detection, diagnostics, evidence, images, joins, proposals, regions, review, scans, scoring, signal
 from ..session import workers_import_this
 from .tables import DAYS, EVENTS_SQL, HOURS, events, table
@@ -423,8 +423,10 @@ def object_overlap(spark: SparkSession, d: str) -> DataFrame:
     SELECT p.gt, p.cand, n_both, -n_both AS far FROM p JOIN m USING (gt, cand)""")
 def object_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one matching of orders of two customers' segments by shared parts."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    sets = rows.where("o_orderstatus in ('O', 'F')").select("o_orderkey", "o_orderstatus", "l_partkey").distinct()
+    items, owners = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "orders").where("o_orderstatus in ('O', 'F')").select("o_orderkey", "o_orderstatus")
+    parts = joins.tasks_for(spark, items.count())
+    rows = items.repartition(parts, "l_orderkey").join(owners.repartition(parts, "o_orderkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sets = _kept(rows.select("o_orderkey", "o_orderstatus", "l_partkey").distinct())
     side = lambda status, name: sets.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias(name), "l_partkey")
     shared = joins.shared_pairs(side("O", "gt"), side("F", "cand"), "l_partkey", "gt", "cand").where("n_both >= 2").withColumn("far", -F.col("n_both"))
     return joins.greedy_match(shared, "gt", "cand", ["far", "gt", "cand"])
