@@ -142,3 +142,27 @@ def test_shared_pairs_are_dealt_by_their_number(spark, monkeypatch):
     want = [(p, q, len(x & y)) for p, x in sets[0].items() for q, y in sets[1].items() if x & y]
     assert sorted(map(tuple, out.collect())) == want
     assert out.rdd.getNumPartitions() == -(-(len(sides[0]) + len(sides[1])) // 10)
+
+
+def test_box_links_meet_lists_in_tasks_that_grow_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "LISTED", 3)
+    monkeypatch.setattr(candidates, "TASK_PAIRS", 20, raising=False)
+    calls = spark.sparkContext.accumulator(0)
+
+    def said(reasons):
+        calls.add(1)
+        return "+".join(reasons)
+
+    df = boxes(spark, [*SOME, (80, 2, 1, 4, 4), (81, 2, 1, 4, 4), (82, 2, 1, 4, 4), (83, 2, 1, 4, 4)])
+    out = candidates.box_links(df, "id", 2.0, 0.2, {"reasons": F.udf(said)("reasons")})
+    got = sorted((r.a, r.b, r.reasons) for r in out.collect())
+    x, y = df.alias("x"), df.alias("y")
+    wide, high = (F.expr(f"greatest(0, least(x.bbox_{c} + x.bbox_{s}_px, y.bbox_{c} + y.bbox_{s}_px) - greatest(x.bbox_{c}, y.bbox_{c}))") for c, s in (("x", "width"), ("y", "height")))
+    pairs = x.join(y, F.expr("x.id < y.id")).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("hypot(x.centroid_x - y.centroid_x, x.centroid_y - y.centroid_y) <= 2").alias("near"),
+        (wide * high / (F.expr("x.area_px + y.area_px") - wide * high) >= 0.2).alias("over"),
+    )
+    want = [(r.a, r.b, "+".join(t for t, holds in (("nearby_centroids", r.near), ("overlapping_bboxes", r.over)) if holds)) for r in pairs.where("near or over").collect()]
+    assert got == sorted(want)
+    assert out.rdd.getNumPartitions() > len(want) // 20 > 4
+    assert calls.value < 12 < 90 < len(want)
