@@ -166,3 +166,25 @@ def test_box_links_meet_lists_in_tasks_that_grow_with_the_pairs(spark, monkeypat
     assert got == sorted(want)
     assert out.rdd.getNumPartitions() > len(want) // 20 > 4
     assert calls.value < 12 < 90 < len(want)
+
+
+@pytest.mark.parametrize("piece", [1000, 5])
+def test_event_pairs_are_those_of_lists(spark, monkeypatch, piece):
+    monkeypatch.setattr(joins, "PIECE", piece, raising=False)
+    met, own = [], joins.binned_join
+    monkeypatch.setattr(joins, "binned_join", lambda a, b, *rest, **k: met.append(a.count() + b.count()) or own(a, b, *rest, **k))
+    rng = random.Random(piece)
+    name = lambda: rng.choice(["a", "b", " a", "", None])
+    gt = [(k, name(), rng.choice([0.5, 2.5, 3.0, None]), rng.choice([None, 1, 2])) for k in range(200)]
+    found = [(k, name(), rng.choice([1.0, 4.0]), rng.randint(1, 2)) for k in range(240)]
+    a, b = (spark.createDataFrame(x, f"{c} long, {c}o string, {c}h double, {c}p int") for x, c in ((gt, "g"), (found, "c")))
+    out = joins.event_pairs(a, b, "go", "co", [("gh", "ch", 1.0)])
+    assert out.dtypes == [*a.dtypes, *b.dtypes]
+    rows = [list(map(tuple, part)) for part in out.rdd.glom().collect()]
+    plain = lambda x: (x or "").strip()
+    want = [(*g, *c) for g in gt for c in found if g[2] is not None and abs(g[2] - c[2]) <= 1 and (not plain(g[1]) or not plain(c[1]) or plain(g[1]) == plain(c[1]))]
+    assert sorted(map(repr, (r for part in rows for r in part))) == sorted(map(repr, want))
+    if piece == 1000:
+        assert sum(met) < 150  # lists; the rows are more than a thousand
+        turns = sum(x[0] != y[0] for part in rows for x, y in zip(part, part[1:]))
+        assert turns < len(want) / 5  # an event's pairs follow each other
